@@ -31,14 +31,20 @@ def pick(index: dict[str, str], field: str) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
-def pick_key(entries: Column, field: str) -> Column:
-    """F-02 on a record whose keys differ from row to row."""
+def normalized_record(record: Column) -> Column:
+    """F-01 on a record of its own keys: ``map`` under trimmed lower-case keys, a later clash wins."""
+    keys = F.transform(F.map_keys(record), lambda k: F.lower(trim(k)))
+    values = F.map_values(record)
+    pairs = F.arrays_zip(F.reverse(keys).alias("k"), F.reverse(values).alias("v"))
+    last = F.filter(pairs, lambda p, i: F.array_position(F.reverse(keys), p["k"]) == i + 1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
+        F.map_from_entries(last)
+    )
 
-    def value(alias: str) -> Column:
-        found = F.filter(entries, lambda e: F.lower(trim(e["key"])) == alias)
-        return F.try_element_at(found, F.lit(-1))["value"]
 
-    return F.coalesce(*[value(a) for a in ALIASES[field]])
+def pick_key(record: Column, field: str) -> Column:
+    """F-02 on a normalized record."""
+    return F.coalesce(*[F.try_element_at(record, F.lit(a)) for a in ALIASES[field]])
 
 
 def _canonical(pick_field) -> dict[str, Column]:
@@ -75,24 +81,24 @@ def missing_message(columns: Sequence[str]) -> Column:
     )
 
 
-def map_columns(raw: DataFrame, source_columns: Sequence[str]) -> DataFrame:
-    """F-01..F-06 for a wide table of text cells."""
+def map_columns(raw: DataFrame, source_columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """F-01..F-06 for a wide table of text cells; ``keep`` names columns to carry along."""
     index = normalize_columns(source_columns)
     mapped = blank_cells(raw, source_columns)
     lineage = [c for c in LINEAGE if c in raw.columns]
     fields = _canonical(lambda f: pick(index, f))
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in source_columns]))
     return mapped.select(
-        *lineage, *[e.alias(f) for f, e in fields.items()], row.alias("csv_row")
+        *lineage, *[e.alias(f) for f, e in fields.items()], row.alias("csv_row"), *keep
     )
 
 
 def map_records(events: DataFrame, record: str = "record") -> DataFrame:
     """F-01..F-06 for key/value records (``map<string,string>``)."""
     lineage = [c for c in LINEAGE if c in events.columns]
-    fields = _canonical(lambda f: pick_key(F.col("_entries"), f))
+    fields = _canonical(lambda f: pick_key(F.col("_record"), f))
     return (
-        events.withColumn("_entries", F.map_entries(record))
+        events.withColumn("_record", normalized_record(F.col(record)))
         .select(*lineage, *[e.alias(f) for f, e in fields.items()], F.to_json(record).alias("csv_row"))
     )
 

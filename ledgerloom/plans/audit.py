@@ -71,7 +71,7 @@ def job_runs(outcomes: DataFrame, policy: Mapping | None = None) -> DataFrame:
     )
 
 
-def _stage(name: str, reached: Column, status: Column, **data: Column) -> Column:
+def _stage(name: str, reached: Column, state: Column, **data: Column) -> Column:
     keys = ("fingerprint", "source", "duplicate", "normalized_amount", "negative_amount_detected",
             "reason", "base_amount", "tipo_cambio", "rate_source", "status", "alertas_count", "alertas")
     types = {"duplicate": "boolean", "normalized_amount": "double", "negative_amount_detected": "boolean",
@@ -85,7 +85,7 @@ def _stage(name: str, reached: Column, status: Column, **data: Column) -> Column
         F.struct(
             F.lit(name).alias("stage"),
             F.lit(STAGES.index(name) + 1).alias("stage_order"),
-            status.alias("status"),
+            state.alias("status"),
             payload.alias("data"),
         ),
     )

@@ -34,16 +34,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once and return it as a table scan.
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as Parquet.
 
     With ``partition_by`` the rows are rebalanced on those columns first, so a
     partition value with few rows gets one file and a hot one gets many.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
     if partition_by:
         df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
     else:
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return it as a table scan."""
+    path = write_table(df, new_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ledgerloom.functions.text import compose_result, is_csv_name, parse_result
+from ledgerloom.functions.text import compose_result, is_csv_name
 from ledgerloom.operators.mapping import blank_cells
 
 CORRUPT = "_corrupt_record"
@@ -75,7 +75,11 @@ def write_results_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def read_results_csv(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
-    """S-08: a results file with its golden column parsed into ``expected``."""
-    rows, _ = read_expense_csv(spark, path, multi_line=True)
-    return rows.drop(CORRUPT).withColumn("expected", parse_result(F.col(RESULT_COLUMN), first_only))
+def read_results_csv(
+    spark: SparkSession, path: str, multi_line: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """S-08: a results file, its golden column as text, and the names of its columns."""
+    rows, columns = read_expense_csv(spark, path, multi_line=multi_line)
+    if RESULT_COLUMN not in columns:
+        raise ValueError(f"{RESULT_COLUMN} es requerida para los casos históricos")
+    return rows.drop(CORRUPT), columns
