@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.constants import DUPLICATE, DUPLICATE_DB
 from ledgerloom.functions.identity import arrival
 from ledgerloom.operators.lookup import HOT_ROWS, group_join
+from ledgerloom.session import stage
 
 KEYS = ["process_id", "fingerprint"]
 
@@ -29,8 +30,9 @@ def mark_duplicates(
     duplicate in a later one.  ``persisted`` are fingerprints stored before this
     run, ``seen`` are (process_id, fingerprint) keys still alive from earlier runs.
 
-    Everything is decided on one row per (process, fingerprint), reduced map-side;
-    the rows themselves move once, in ``group_join``.
+    Everything is decided on one row per (process, fingerprint), reduced map-side and
+    stored, since several joins read it; the rows themselves move once, in
+    ``group_join``.
     """
     if candidates is None:
         candidates = rows.withColumn("persistable", F.lit(True))
@@ -39,6 +41,7 @@ def mark_duplicates(
     groups = candidates.groupBy(*KEYS, "process_seq").agg(
         F.count("*").alias("_rows"), F.min(code).alias("_first")
     )
+    groups = stage(groups, "dedup-groups")
     if seen is not None:
         groups = groups.join(seen.select(*KEYS).distinct().withColumn("_seen", F.lit(True)), KEYS, "left")
     else:

@@ -12,6 +12,17 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` for conditions on costly computed columns.
+
+    A plain filter is moved below the projections it reads from, where each column is
+    replaced by its whole expression and everything is computed twice.  A filter on
+    the output of a generator stays where it is written.
+    """
+    hit = F.when(condition, F.array(F.lit(True)))
+    return df.withColumn("_keep", F.explode_outer(hit)).where(F.col("_keep")).drop("_keep")
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Reads at most ``limit + 1`` rows to learn whether ``df`` may be broadcast."""
     return df.limit(limit + 1).count() <= limit

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.constants import ALIASES, NUMERIC, REQUIRED
 from ledgerloom.functions.numbers import parse_number
 from ledgerloom.functions.text import str_field, trim
+from ledgerloom.operators.lookup import keep_where
 
 LINEAGE = ("process_id", "process_seq", "batch_index", "record_index", "created_at")
 
@@ -108,6 +109,11 @@ def valid(mapped: DataFrame) -> DataFrame:
     return mapped.where(is_valid())
 
 
+def valid_records(mapped: DataFrame) -> DataFrame:
+    """P-01 after ``map_records``, whose columns are costly to compute twice."""
+    return keep_where(mapped, is_valid())
+
+
 def quarantined(mapped: DataFrame, columns: Sequence[str]) -> DataFrame:
     """P-01: the other records, with the reason."""
     return (

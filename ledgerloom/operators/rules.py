@@ -253,16 +253,27 @@ def short_response(evaluated: DataFrame) -> DataFrame:
 
 
 def alert_rows(evaluated: DataFrame, *keep: str) -> DataFrame:
-    """N-04: one row per alert."""
-    return evaluated.select(*keep, F.posexplode("alertas").alias("orden", "alerta")).select(
-        *keep, "orden", "alerta.codigo", "alerta.mensaje"
+    """N-04: one row per alert.
+
+    The outer form keeps Spark from testing the array for emptiness, with all rules
+    in it, before the rules are computed.
+    """
+    return (
+        evaluated.select(*keep, F.posexplode_outer("alertas").alias("orden", "alerta"))
+        .where(F.col("alerta").isNotNull())
+        .select(*keep, "orden", "alerta.codigo", "alerta.mensaje")
     )
 
 
-def alert_counts(evaluated: DataFrame, *by: str) -> DataFrame:
-    """A-10"""
+def suggestion_rows(evaluated: DataFrame, *keep: str) -> DataFrame:
+    """R-06: one row per rule."""
     return (
-        evaluated.select(*by, "status", F.explode("alertas.codigo").alias("codigo"))
-        .groupBy(*by, "codigo", "status")
-        .agg(F.count("*").alias("alerts"))
+        evaluated.select(*keep, F.posexplode_outer("sugerencias").alias("orden", "s"))
+        .where(F.col("s").isNotNull())
+        .select(*keep, "orden", "s.regla", "s.estado")
     )
+
+
+def alert_counts(evaluated: DataFrame, *by: str) -> DataFrame:
+    """A-10"""
+    return alert_rows(evaluated, *by, "status").groupBy(*by, "codigo", "status").agg(F.count("*").alias("alerts"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import to_fixed2
 from ledgerloom.functions.text import parse_result
 from ledgerloom.operators.fx import attach_rate
+from ledgerloom.operators.lookup import keep_where
 from ledgerloom.operators.policy import literal_policy
 from ledgerloom.operators.rules import evaluate
 from ledgerloom.sources.files import RESULT_COLUMN, result_text
@@ -19,7 +20,7 @@ from ledgerloom.sources.files import RESULT_COLUMN, result_text
 def historical_amount(base: str) -> Column:
     """F-36: two decimals after conversion; the base currency stays as it is."""
     return F.when(F.col("moneda_original") == base, F.col("monto_original")).otherwise(
-        to_fixed2(F.col("monto_original") * F.col("rate"))
+        to_fixed2(F.col("_product"))
     )
 
 
@@ -28,7 +29,8 @@ def evaluate_history(
 ) -> DataFrame:
     view = literal_policy(policy)
     priced = attach_rate(expenses, rates, F.col("moneda_original"), view.base)
-    return evaluate(priced, view, as_of, tz, amount=historical_amount(policy["moneda_base"]))
+    priced = priced.withColumn("_product", F.col("monto_original") * F.col("rate"))
+    return evaluate(priced, view, as_of, tz, amount=historical_amount(policy["moneda_base"])).drop("_product")
 
 
 def with_results(evaluated: DataFrame) -> DataFrame:
@@ -45,14 +47,9 @@ def mismatches(evaluated: DataFrame, first_only: bool = False) -> DataFrame:
     fresh = F.transform("alertas", lambda a: a["mensaje"])
     if first_only:
         fresh = F.slice(fresh, 1, 1)
-    return (
-        evaluated.withColumns({"expected": expected, "messages": fresh})
-        .where(
-            ~F.coalesce(
-                (F.col("expected.status") == F.col("status")) & (F.col("expected.alertas") == F.col("messages")),
-                F.lit(False),
-            )
-        )
+    same = (F.col("expected.status") == F.col("status")) & (F.col("expected.alertas") == F.col("messages"))
+    return keep_where(
+        evaluated.withColumns({"expected": expected, "messages": fresh}), ~F.coalesce(same, F.lit(False))
     )
 
 

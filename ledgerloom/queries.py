@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ledgerloom.operators.abort import abort_batches, cut_at
 from ledgerloom.operators.contract import contract_errors
 from ledgerloom.operators.dedup import first_seen, mark_duplicates, not_persisted
 from ledgerloom.operators.lookup import dimension_join
-from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid
+from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.policy import (
     base_currency,
     literal_policy,
@@ -40,7 +41,7 @@ from ledgerloom.plans.ingest import file_batches, file_totals, progress
 from ledgerloom.plans.outcomes import normalize_amount, price, with_fingerprint
 from ledgerloom.plans.regression import evaluate_history, mismatches, with_results
 from ledgerloom.plans.validate import status_breakdown, status_by_process, validate, validate_priced
-from ledgerloom.session import new_path
+from ledgerloom.session import new_path, tune
 from ledgerloom.sources import bridge
 from ledgerloom.sources.events import write_batch_events
 from ledgerloom.sources.files import RESULT_COLUMN, admissible_files, read_results_csv, write_results_csv
@@ -55,9 +56,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    """Register ``q_name`` as ``name``."""
-    REGISTRY[build.__name__.removeprefix("q_")] = build
-    return build
+    """Register ``q_name`` as ``name``, run under the recommended settings."""
+
+    @wraps(build)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(tune(spark), sf_dir)
+
+    REGISTRY[build.__name__.removeprefix("q_")] = run
+    return run
 
 
 def _text_time(name: str) -> Column:
@@ -124,9 +130,8 @@ def validation_alerts(spark, sf_dir):
 @query
 def rule_suggestions(spark, sf_dir):
     return (
-        _evaluated(spark, sf_dir)
-        .select("process_id", F.posexplode("sugerencias").alias("orden", "s"))
-        .groupBy("process_id", "orden", F.col("s.regla").alias("regla"), F.col("s.estado").alias("estado"))
+        rules.suggestion_rows(_evaluated(spark, sf_dir), "process_id")
+        .groupBy("process_id", "orden", "regla", "estado")
         .agg(F.count("*").alias("expenses"))
     )
 
@@ -225,7 +230,7 @@ def alias_mapping(spark, sf_dir):
     for i in (1, 2):
         chosen = chosen.when(style == i, record(spellings[i]))
     mapped = map_records(raw.withColumn("record", chosen.otherwise(record(spellings[3]))))
-    return valid(mapped).select(
+    return valid_records(mapped).select(
         "process_id", "id", "empleado_id", "fecha", "monto_original", "moneda_original", "categoria", "cost_center"
     )
 

@@ -15,6 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 _local_dirs: dict[str, str] = {}
 
 
+# Generated methods above 8000 bytes are never compiled by the JVM; Spark's own limit is higher.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Set the recommended values the cluster has not chosen itself."""
+    chosen = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in RECOMMENDED.items():
+        if key not in chosen:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
