@@ -23,6 +23,16 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_keep", F.explode_outer(hit)).where(F.col("_keep")).drop("_keep")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share a small input among all cores.
+
+    A scan with fewer partitions than cores (one small file) would leave the row-wise
+    work to a few tasks.  Large inputs have more partitions and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Reads at most ``limit + 1`` rows to learn whether ``df`` may be broadcast."""
     return df.limit(limit + 1).count() <= limit

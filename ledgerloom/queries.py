@@ -24,7 +24,7 @@ from ledgerloom.operators import fx, rules
 from ledgerloom.operators.abort import abort_batches, cut_at
 from ledgerloom.operators.contract import contract_errors
 from ledgerloom.operators.dedup import first_seen, mark_duplicates, not_persisted
-from ledgerloom.operators.lookup import dimension_join
+from ledgerloom.operators.lookup import dimension_join, spread
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.policy import (
     base_currency,
@@ -683,15 +683,17 @@ def result_text(spark, sf_dir):
 
 @query
 def result_text_parsed(spark, sf_dir):
-    rows = with_results(_history(spark, sf_dir))
-    full = parse_result(F.col(RESULT_COLUMN))
-    first = parse_result(F.col(RESULT_COLUMN), first_only=True)
+    texts = with_results(_history(spark, sf_dir)).select(RESULT_COLUMN)
+    parsed = texts.select(
+        parse_result(F.col(RESULT_COLUMN)).alias("full"),
+        parse_result(F.col(RESULT_COLUMN), first_only=True).alias("first"),
+    )
     return (
-        rows.select(
-            full["status"].alias("status"),
-            F.size(full["alertas"]).alias("alerts"),
-            F.size(first["alertas"]).alias("first_alerts"),
-            F.try_element_at(first["alertas"], F.lit(1)).alias("first_message"),
+        parsed.select(
+            "full.status",
+            F.size("full.alertas").alias("alerts"),
+            F.size("first.alertas").alias("first_alerts"),
+            F.try_element_at("first.alertas", F.lit(1)).alias("first_message"),
         )
         .groupBy("status", "alerts", "first_alerts", "first_message")
         .agg(F.count("*").alias("expenses"))
@@ -718,7 +720,7 @@ def historical_regression(spark, sf_dir):
 # -------------------------------------------------------------------- policies
 def _documents(spark, sf_dir) -> DataFrame:
     """One policy document per customer, some of them broken in one way each."""
-    customers = bridge.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    customers = spread(bridge.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
     key = F.col("c_custkey").cast("string")
     limit = F.pmod("c_custkey", F.lit(90)) + 10
     base = F.element_at(F.array(*[F.lit(c) for c in ("USD", "CLP", " mxn ", "EUR")]), F.pmod("c_nationkey", F.lit(4)) + 1)

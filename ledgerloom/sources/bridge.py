@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.lookup import spread
+
 BATCH_SIZE = 500
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 COLUMNS = ["gasto_id", "empleado_id", "fecha", "monto", "moneda", "categoria", "empleado_cost_center"]
@@ -51,6 +53,7 @@ def records(spark: SparkSession, sf_dir: str, quantity: Column | None = None) ->
     lines = table(
         spark, sf_dir, "lineitem", *ORDER, "l_returnflag", "l_linestatus", "l_shipdate", "l_discount"
     )
+    lines = spread(lines, "l_orderkey", "l_linenumber", "l_partkey")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     parts = table(spark, sf_dir, "part", "p_partkey", "p_type")
