@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from ledgerloom.constants import WHITESPACE
 
 
+ASCII_WHITESPACE = "".join(c for c in WHITESPACE if c.isascii())
+
+
 def trim(c: Column) -> Column:
-    """Remove every kind of blank at both ends, not only spaces."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove every kind of blank at both ends, not only spaces.
+
+    The search per character grows with the set, so plain text gets the short one.
+    """
+    return F.when(F.octet_length(c) == F.length(c), F.btrim(c, F.lit(ASCII_WHITESPACE))).otherwise(
+        F.btrim(c, F.lit(WHITESPACE))
+    )
 
 
 def str_field(c: Column) -> Column:

@@ -30,6 +30,7 @@ from ledgerloom.operators.lookup import HOT_ROWS
 from ledgerloom.operators.policy import base_currency, literal_policy
 from ledgerloom.operators.rules import STANDARD_RULES, Rule, evaluate
 from ledgerloom.schemas import ALERTS
+from ledgerloom.session import stage
 
 
 def with_fingerprint(expenses: DataFrame, fields: Sequence[str] = FINGERPRINT_FIELDS) -> DataFrame:
@@ -122,12 +123,17 @@ def run_records(
     rules: Sequence[Rule] = STANDARD_RULES,
     default_base: str | None = None,
     hot_rows: int = HOT_ROWS,
+    store_parsed: bool = True,
 ) -> DataFrame:
     """C-04/N-01: the outcome of every valid record.
 
-    Order of exits as in a run: duplicate, negative, failed, success.
+    Order of exits as in a run: duplicate, negative, failed, success.  The plan passes
+    over the records twice; with ``store_parsed`` they are parsed and fingerprinted
+    once, into a columnar table of which the first pass reads a few columns.
     """
     marked = with_fingerprint(expenses, fields)
+    if store_parsed:
+        marked = stage(marked, "parsed")
     storable = assess(marked, policy, rates, default_base).withColumn(
         "persistable", ~F.col("negative_amount_detected") & F.col("failed_stage").isNull()
     )
