@@ -1,4 +1,4 @@
-"""The registered queries of the numbered operators, and their SQL where SQL can say it."""
+"""The registered queries of the numbered operators."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, mixing, ngram_join
-from ledgerloom.llm.tables import read
+from ledgerloom.llm import ctw, decontaminate, embedding_dedup, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc
+from ledgerloom.llm.tables import fold, read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,19 +16,55 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold("doc_id", 3) != 1)
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", predicted, "spans")
+
+
+def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.score_documents(docs, fold("doc_id", 7) != 2)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = ngram_join.ngram_components(docs, n=3, num=9, den=10)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matched_pairs(docs, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": op1_line_dedup,
-    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
-    "op9_mix_sources": op9_mix_sources,
-}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_embedding_near_dedup, op3_toxicity, op4_context_tree_weighting, op5_license_scan,
+        op6_url_filter, op7_ngram_jaccard_join, op8_warc, op9_mix_sources, op10_decontaminate,
+    )
+}
