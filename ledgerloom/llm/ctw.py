@@ -354,7 +354,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     counted = rows.mapInArrow(_count_runs, "run long, n long, seen long")
     counted = stage(counted.groupBy("run").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "ctw-runs")
-    many = partitions(spark, counted.count(), AT_ONCE)
+    many = partitions(counted.count(), AT_ONCE)
     group = F.shiftright("run", 8).bitwiseAND((1 << (8 * TOP)) - 1)
     schema = "run long, p array<float>, two int, node int, zeros double, ones double, weighted double"
     levels = stage(counted.select("run", "n", group.alias("top")).repartition(many, "top").select("run", "n").mapInArrow(_evaluate, schema), "ctw-levels")

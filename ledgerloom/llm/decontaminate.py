@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters with A-Z lower-cased. Every
 run of ``SEED`` words of a test item is a seed (an item with fewer words is one seed). One scan counts in how many documents each
-seed stands; an item keeps its rare seeds, at least ``MIN_SEEDS`` and at least half of them, so a
-much copied item keeps seeds too. A second scan finds the kept seeds, puts hits on near diagonals of one item
+seed stands; an item keeps its rare seeds: those in at most a share ``RARE`` of the documents, or not much more frequent than its
+median seed, so a much copied item keeps seeds too. A second scan finds the kept seeds, puts hits on near diagonals of one item
 together, and aligns the passage around them with the item word by word: +2 for a match, -1 for
 a substitution, insertion or deletion. ``score`` is the best alignment over the best possible one. Both
 scans read whole texts and move only counts.
@@ -27,8 +27,8 @@ from ledgerloom.llm.share import Shared
 from ledgerloom.llm.text import U, flat, mix, runs, slices, word_hashes, words
 
 SEED = 3
-MIN_SEEDS = 12
 RARE = 0.001  # share of the documents up to which a seed is rare
+TIMES_MEDIAN = 4
 MIN_SCORE = 0.55
 BLOCK_BYTES = 8 << 20  # text of the items sent at once
 
@@ -99,11 +99,10 @@ class Items:
     def keep_rare(self, df: np.ndarray, docs: int) -> None:
         """``df``: documents per distinct seed."""
         own = df[np.searchsorted(self.distinct, self.seed)]
-        order = np.lexsort((self.at, own, self.item))
+        order = np.lexsort((own, self.item))
         size = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = (own <= RARE * docs) | (rank < np.maximum(MIN_SEEDS, size[self.item] / 2))
+        middle = (np.cumsum(size) - size + np.maximum(size - 1, 0) // 2)[self.item]
+        keep = own <= np.maximum(RARE * docs, TIMES_MEDIAN * own[order[middle]])
         self.seed, self.item, self.at = self.seed[keep], self.item[keep], self.at[keep]
         self._index()
 

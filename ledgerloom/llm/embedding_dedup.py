@@ -125,7 +125,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     alike = ["label", "h1", "h2"]
     groups = keyed.where("usable").groupBy(*alike).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     groups = stage(groups, "vector-groups")
-    member = stage(ids.where("usable").join(groups, alike).select("id", "rep", "copies"), "vector-members")
+    member = stage(ids.where("usable").join(groups, alike).select(*alike, "id", "rep", "copies").distinct(), "vector-members")
     # A group's smallest id brings its vector; an id may stand in several groups, so the key is part of the join.
     distinct = keyed.where("usable").join(groups.withColumnRenamed("rep", "id"), [*alike, "id"]).dropDuplicates(alike)
     distinct = stage(distinct.select("label", F.size("vector").alias("dim"), F.col("id").alias("rep"), "copies", "vector"), "vector-distinct")

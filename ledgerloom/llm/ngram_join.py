@@ -35,9 +35,10 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.tables import partitions, stage
 from ledgerloom.llm.text import C1, C2, U, flat, longs, mix, shingle_sets, slices, word_hashes, words
 
-PER_PARTITION = 4_000_000  # routed rows a task sorts in memory
+PER_PARTITION = 2_000_000  # routed rows a task sorts in memory
 FEW_IDS = 1 << 20  # candidates up to this many (8 bytes each) are sent to every task
-BLOCK = 48  # sets in a block
+BLOCK = 48  # sets in a block of the first rounds
+CLOSING_BLOCK = 112  # in a block that is compared with others: larger, as copies per set fall with it
 BLOCK_SHINGLES = 1 << 18  # shingles in a block, unless one set alone has more
 
 
@@ -218,11 +219,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc", "own"])
 
 
-def _in_blocks(rows: DataFrame, *by: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, *by: str, block: int | None = None) -> DataFrame:
     """``rows`` with ``block``: each ``by`` group dealt by hash into blocks of about BLOCK rows and BLOCK_SHINGLES shingles."""
+    block = block or BLOCK
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
     sizes = stage(sizes, "ngram-sizes")
-    many = F.greatest(F.ceil(F.col("_k") / BLOCK), F.ceil(F.col("_n") / BLOCK_SHINGLES))
+    many = F.greatest(F.ceil(F.col("_k") / block), F.ceil(F.col("_n") / BLOCK_SHINGLES))
     many = F.least(many, F.col("_k"))
     return rows.join(sizes, list(by)).withColumn("block", F.pmod(F.xxhash64("doc"), many)).drop("_k", "_n")
 
@@ -233,7 +235,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = stage(texts.mapInArrow(lambda it: _describe(it, n, num, den), "doc long, n long, d1 long, d2 long, keys array<long>"), "ngram-routes")
     routed = seen.where("doc is not null").select("doc", F.explode("keys").alias("key"))
     rows = seen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    ties = routed.repartition(partitions(docs.sparkSession, rows, PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
+    ties = routed.repartition(partitions(rows, PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
     maybe = components(ties)
 
     # One member per distinct set of a component: exact copies link without looking further.
@@ -297,9 +299,9 @@ def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFram
         return more
     # Large linked parts have blocks of their own, small ones share some; two blocks of one part need no look.
     counts = stage(now.groupBy("part", "sub").agg(F.count(F.lit(1)).alias("k")), "ngram-sub-sizes")
-    home = F.when(F.col("k") * 2 >= BLOCK, F.col("sub")).otherwise(F.lit(-1).cast("long"))
+    home = F.when(F.col("k") * 2 >= CLOSING_BLOCK, F.col("sub")).otherwise(F.lit(-1).cast("long"))
     now = stage(now.join(counts, ["part", "sub"]).select("part", "doc", "n", home.alias("home")), "ngram-homes")
-    parts = stage(_in_blocks(now, "part", "home"), "ngram-parts")
+    parts = stage(_in_blocks(now, "part", "home", block=CLOSING_BLOCK), "ngram-parts")
     kinds = stage(parts.select("part", "home", "block").distinct(), "ngram-kinds")
     other = kinds.select("part", F.col("home").alias("home2"), F.col("block").alias("block2"))
     ordered = F.struct("home", "block") <= F.struct("home2", "block2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
-__all__ = ["conf_partitions", "fold", "partitions", "read", "stage"]
+__all__ = ["fold", "partitions", "read", "stage"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,6 @@ def fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def conf_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """At least the session's shuffle partitions, and as many as keep each one below a size."""
-    return max(conf_partitions(spark), -(-rows // per_partition))
+def partitions(rows: int, per_partition: int) -> int:
+    """As many as keep each one below a size."""
+    return max(4, -(-rows // per_partition))

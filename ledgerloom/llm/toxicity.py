@@ -33,7 +33,7 @@ from ledgerloom.llm.text import C1, MASKS, U, eights, flat, mix, runs, slices, w
 
 SAMPLE = 4000  # labelled documents of either class that the model is fitted to, chosen by hash
 SAMPLE_BYTES = 100_000  # longer texts are not fitted to (they are scored like all)
-MIN_DOCS = 5
+MIN_DOCS = 3
 MIN_ODDS = 3.0
 MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6)

@@ -54,6 +54,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     again = stage(again.select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), "first").distinct(), "warc-revisits")
     small = again.count() <= FEW_IDS
     joined = rows.join(F.broadcast(again) if small else again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    # Before the chunks are spread: the number tells rows apart, and a record's chunks share it.
+    page = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).cast("binary"))
+    joined = joined.withColumn("record", F.concat(page, F.lit("-"), F.monotonically_increasing_id()))
     joined = joined.withColumn("record_type", F.when(F.col("first").isNull(), "response").otherwise("revisit"))
     chunks = F.transform(
         F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("payload") - 1, F.lit(0)) / CHUNK).cast("int")),
@@ -61,8 +64,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     )
     chunks = F.when(F.col("first").isNull(), F.flatten(chunks)).otherwise(F.array(F.lit("")))
     return joined.select(
-        F.concat(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).cast("binary")), F.lit("-"), F.monotonically_increasing_id()).alias("record"),
-        "page_id", "url", "record_type", F.col("first").alias("refers_to"), F.lit(date).alias("date"),
+        "record", "page_id", "url", "record_type", F.col("first").alias("refers_to"), F.lit(date).alias("date"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
         F.size(chunks).alias("chunks"), F.posexplode(chunks).alias("chunk_no", "chunk"),
     )
