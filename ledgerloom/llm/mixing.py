@@ -62,9 +62,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken, repeats counted) added."""
+    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (how often a document is taken) and ``taken`` (its words, repeats counted) added."""
     names = docs.columns
-    added = ("size", "source_size", "target", "taken")
+    added = ("size", "source_size", "target", "taken", "copies")
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: f"c{names.index(c)}" for c in (id_col, text_col, source_col)}
     sized = own.withColumn("_size", n_words(F.col(at[text_col]).cast("string"))).withColumn("_hash", _hash(at[id_col]))
@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edge = edge.select("source", "source_size", "target", "repeats", left.alias("left"), F.coalesce(low, beyond).alias("low"))
         edge = stage(edge, "mix-edge-plan")
     last = edge.select(F.col("source").alias("_s"), "source_size", "target", "repeats", "low")
-    taken = F.col("_size") * (F.col("repeats") + F.when(F.col("_hash") < F.col("low"), 1).otherwise(0))
+    copies = F.col("repeats") + F.when(F.col("_hash") < F.col("low"), 1).otherwise(0)
     out = sized.join(last, F.col(at[source_col]).eqNullSafe(F.col("_s")))
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in added]
-    return out.select(*kept, F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    return out.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).alias("taken"), copies.alias("copies"))

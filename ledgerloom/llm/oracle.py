@@ -1,3 +1,131 @@
-"""SQL (DuckDB) for the operators that SQL can express."""
+"""SQL (DuckDB) for the operators that SQL can express: 1, 2, 6, 7, 8 and 9.
 
-SQL: dict[str, str] = {}
+The others are models or searches; tests/llm holds them against plain versions.
+"""
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+BLANK = r"[^\x20\x09-\x0D]+"
+
+
+def _components(nodes: str, links: str) -> str:
+    """CTEs ``reach`` and ``component`` (node, root) from CTEs of nodes (node) and of links (a, b) in both directions."""
+    return f"""
+reach AS (
+  SELECT node AS a, node AS b FROM {nodes}
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN {links} l ON r.b = l.a
+),
+component AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)"""
+
+
+OP1 = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {LOWER}) AS key FROM lines),
+hot AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, h.key IS NOT NULL AND h.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP2 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) >= 0.93),
+nodes AS (SELECT vec_id AS node FROM embeddings),
+{_components("nodes", "links")},
+degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, root AS component_id, root = vec_id AS kept
+FROM embeddings JOIN component ON node = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+OP6 = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+split AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^?#]*') AS rest FROM parts),
+addressed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), {LOWER}) AS host, regexp_replace(rest, '^[^/]*', '') AS path FROM split
+),
+rules(rule, h, p, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fit AS (
+  SELECT a.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  FROM addressed a LEFT JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM fit WHERE k = 1
+"""
+
+OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{BLANK}') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+overlap AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM overlap JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * c >= 90 * (s.n + t.n - c)),
+nodes AS (SELECT doc_id AS node FROM documents),
+{_components("nodes", "links")}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
+FROM documents d JOIN component ON node = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
+"""
+
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = " || ".join(
+    f"substr({_DIGITS}, (((('0x' || substr(h, {1 + 10 * part}, 10))::BIGINT >> {35 - 5 * k}) & 31) + 1)::INT, 1)" for part in range(4) for k in range(8)
+)
+OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, sha256(html) AS key FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY key) AS first FROM d)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+OP9 = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{BLANK}'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+  FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+o AS (
+  SELECT *, row_number() OVER by_limit AS rank, sum(source_size::DOUBLE) OVER () AS total, sum(weight) OVER () AS weights,
+         coalesce(sum(most) OVER before, 0) AS full_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+  FROM w WINDOW by_limit AS (ORDER BY most / weight, source NULLS LAST), before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT *, (total - full_before) / (weights - weight_before) AS level_here FROM o),
+plan AS (
+  SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level_here, rank) FROM l WHERE most / weight > level_here), 'infinity'::DOUBLE)) AS target FROM l
+),
+budget AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM plan),
+tied AS (SELECT source, hash, sum(size) AS size FROM sized GROUP BY source, hash),
+run AS (
+  SELECT t.*, b.target - b.repeats * b.source_size AS amount, sum(t.size) OVER (PARTITION BY t.source ORDER BY hash) AS upto
+  FROM tied t JOIN budget b ON t.source IS NOT DISTINCT FROM b.source
+),
+edge AS (SELECT *, row_number() OVER (PARTITION BY source, upto > amount ORDER BY hash) AS k FROM run),
+more AS (SELECT source, hash FROM edge WHERE upto <= amount OR (k = 1 AND size < 2 * (amount - (upto - size))))
+SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.repeats + CASE WHEN m.hash IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM sized d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN more m ON m.source IS NOT DISTINCT FROM d.source AND m.hash = d.hash
+"""
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1,
+    "op2_embedding_near_dedup": OP2,
+    "op6_url_filter": OP6,
+    "op7_ngram_jaccard_join": OP7,
+    "op8_warc": OP8,
+    "op9_mix_sources": OP9,
+}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
-__all__ = ["fold", "partitions", "read", "stage"]
+__all__ = ["fold", "partitions", "read", "stage", "without"]
+
+FEW_IDS = 1 << 20  # ids up to this many (8 bytes each) are sent to every task
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,3 +24,9 @@ def fold(id_column: str, folds: int) -> Column:
 def partitions(rows: int, per_partition: int) -> int:
     """As many as keep each one below a size."""
     return max(4, -(-rows // per_partition))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` less those with one of the ids; rows without an id stay."""
+    ids = stage(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, id_col, "left_anti").select(docs.columns)

@@ -33,7 +33,8 @@ from ledgerloom.llm.text import C1, MASKS, U, eights, flat, mix, runs, slices, w
 
 SAMPLE = 4000  # labelled documents of either class that the model is fitted to, chosen by hash
 SAMPLE_BYTES = 100_000  # longer texts are not fitted to (they are scored like all)
-MIN_DOCS = 3
+MIN_DOCS = 3  # toxic sample documents that a feature stands in, at least
+MIN_SHARE = 0.005  # and at least this share of them
 MIN_ODDS = 3.0
 MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6)
@@ -249,7 +250,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Crf:
     at = np.minimum(np.searchsorted(counts[1][0], names), max(len(counts[1][0]) - 1, 0))
     good = np.where(counts[1][0][at] == names, counts[1][1][at], 0) if len(counts[1][0]) else np.zeros(len(names))
     odds = np.log((bad + 0.5) / (n[0] + 1)) - np.log((good + 0.5) / (n[1] + 1))
-    ok = (names != 0) & (bad >= MIN_DOCS) & (odds >= MIN_ODDS)
+    ok = (names != 0) & (bad >= max(MIN_DOCS, MIN_SHARE * n[0])) & (odds >= MIN_ODDS)
     best = np.argsort(-(odds * np.sqrt(bad)) * ok, kind="stable")[: min(MAX_FEATURES, int(ok.sum()))]
     model = Crf(names[best])
     word, name = model.chosen(feats)
