@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trim
 
-# at most 200 whole digits and a two-digit exponent, so every match is a finite double
-DECIMAL_TEXT = r"^[+-]?(\d{1,200}\.?\d*|\.\d+)([eE][+-]?0*\d{1,2})?$"
+# the usual case: at most 200 whole digits and a two-digit exponent, so every match is a finite double
+DECIMAL_TEXT = r"^[+-]?(\d{1,200}(\.\d*)?|\.\d+)([eE][+-]?0*\d{1,2})?$"
+ANY_DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+# from here on every double is a whole number, and from 2^46 on neighbours are more than 0.01 apart
+WHOLE_FROM = float(1 << 52)
+CENTS_BELOW = float(1 << 46)
 
 
 def parse_number(c: Column) -> Column:
@@ -19,7 +24,9 @@ def parse_number(c: Column) -> Column:
     an exception per cell, and blank cells are common.
     """
     dotted = trim(F.translate(c, ",", "."))
-    return F.when(dotted.rlike(DECIMAL_TEXT), dotted.try_cast("double"))
+    number = dotted.try_cast("double")
+    finite = F.when(F.abs(number) < float("inf"), number)
+    return F.when(dotted.rlike(DECIMAL_TEXT), number).when(dotted.rlike(ANY_DECIMAL_TEXT), finite)
 
 
 def js_number(name: str) -> Column:
@@ -51,11 +58,11 @@ def js_text(value: float) -> str:
 
 
 def round_half_up(c: Column) -> Column:
-    """Nearest whole number, halves toward plus infinity (up to 4e18).
+    """Nearest whole number, halves toward plus infinity; doubles of 2^52 and more are whole already.
 
     Doubling is exact, so a value just below a half stays below it.
     """
-    return F.ceil(F.floor(c * 2.0) / 2.0).cast("double")
+    return F.when(F.abs(c) >= WHOLE_FROM, c).otherwise(F.ceil(F.floor(c * 2.0) / 2.0).cast("double"))
 
 
 def round_base(amount: Column, currency: Column) -> Column:
@@ -80,4 +87,4 @@ def to_fixed2(c: Column) -> Column:
     whole = F.floor(product).cast("double")
     part = (product - whole) + error
     cents = whole + F.when(part >= 0.5, F.lit(1.0)).when(part < -0.5, F.lit(-1.0)).otherwise(F.lit(0.0))
-    return F.when(x >= 1e13, c).otherwise(F.signum(c) * cents / 100.0)
+    return F.when(x >= CENTS_BELOW, c).otherwise(F.signum(c) * cents / 100.0)

@@ -42,20 +42,20 @@ def cut_at(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def abort_batches(rows: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def abort_batches(rows: DataFrame) -> DataFrame:
     """The cut of every aborted batch: process_id, batch_index, first_error.
 
     Removing rows makes later copies of their fingerprints first arrivals, so cut
     and dedup repeat until the cuts stay the same.  Every round settles at least one
-    more batch per process, and the stable state is unique.  ``rows`` needs
+    more batch per process, so the rounds end, and the stable state is unique.  ``rows`` needs
     process_id, batch_index, record_index, fingerprint and boolean ``error``.
     """
     narrow = stage(rows.select(*BATCH, "record_index", "fingerprint", "error"), "abort-rows")
     cuts = stage(_first_errors(narrow), "abort-cuts")
-    for _ in range(max_rounds):
+    while True:
         again = stage(_first_errors(cut_at(narrow, cuts)), "abort-cuts")
-        changed = not again.exceptAll(cuts).isEmpty() or not cuts.exceptAll(again).isEmpty()
+        # a batch has one cut: equal numbers and none without its equal mean equal tables
+        same = again.count() == cuts.count() and again.join(cuts, [*BATCH, "first_error"], "left_anti").isEmpty()
         cuts = again
-        if not changed:
+        if same:
             return cuts
-    raise RuntimeError("batch cuts did not settle")

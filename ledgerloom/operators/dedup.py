@@ -26,8 +26,9 @@ def mark_duplicates(
     ``rows`` needs process_id, process_seq, batch_index, record_index and
     fingerprint.  ``candidates`` holds the same rows with ``persistable``: would
     this row be stored if it came first?  With ``in_sequence`` the processes run one
-    after another, so a fingerprint stored by an earlier process is a stored
-    duplicate in a later one.  ``persisted`` are fingerprints stored before this
+    after another (by process_seq, then process_id), so a fingerprint stored by an earlier
+    process is a stored duplicate in a later one.  Positions must be unique; see
+    ``delivered_once`` for events that may come twice.  ``persisted`` are fingerprints stored before this
     run, ``seen`` are (process_id, fingerprint) keys still alive from earlier runs.
 
     Everything is decided on one row per (process, fingerprint), reduced map-side and
@@ -53,13 +54,14 @@ def mark_duplicates(
         groups = groups.withColumn("_stored", F.lit(None).cast("boolean"))
     if in_sequence:
         storable = (F.col("_first") % 2 == 1) & F.col("_seen").isNull()
-        first_process = (
-            groups.groupBy("fingerprint")
-            .agg(F.min(F.when(storable, F.col("process_seq"))).alias("_first_process"))
-            .where(F.col("_first_process").isNotNull())
+        turn = F.struct("process_seq", "process_id")
+        facts = groups.groupBy("fingerprint").agg(
+            F.count("*").alias("_prints"), F.min(F.when(storable, turn)).alias("_first_process")
         )
-        groups = groups.join(first_process, "fingerprint", "left")
-        earlier = F.coalesce(F.col("_first_process") < F.col("process_seq"), F.lit(False))
+        # a common fingerprint stands in most processes: hot ones get keys of their own
+        spread = F.abs(F.xxhash64(*KEYS) % (1 << 40)) + 1
+        groups = group_join(groups, stage(facts, "dedup-prints"), ["fingerprint"], "_prints", spread, hot_rows)
+        earlier = F.coalesce(F.col("_first_process") < turn, F.lit(False))
     else:
         earlier = F.lit(False)
     verdicts = groups.select(
@@ -79,6 +81,11 @@ def mark_duplicates(
     return joined.withColumn("duplicate", reason).drop("_rows", "_first", "_seen", "_db")
 
 
+def delivered_once(events: DataFrame) -> DataFrame:
+    """ST-3: one row per record position, whichever delivery of it is read first."""
+    return events.dropDuplicates(["process_id", "batch_index", "record_index"])
+
+
 def first_seen(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """W-02 alone: processes do not see each other."""
     return mark_duplicates(rows, in_sequence=False, hot_rows=hot_rows)

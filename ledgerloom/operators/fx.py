@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.lookup import dimension_join
 from ledgerloom.schemas import RATES
+from ledgerloom.session import stage
 
 LATEST = "latest"
 NO_RATE = "No existe tipo de cambio"
@@ -19,7 +20,7 @@ Provider = Callable[[SparkSession], DataFrame]
 
 
 def rates_from_map(spark: SparkSession, rates: Mapping[str, float], base: str) -> DataFrame:
-    """S-06: a static list as a long table without dates."""
+    """S-06: a static list as a long table without dates; such a rate answers any date."""
     rows = [(None, base, cur, float(rate), None, None) for cur, rate in rates.items()]
     return spark.createDataFrame(rows, RATES)
 
@@ -41,21 +42,21 @@ def rates_from_tables(tables: DataFrame) -> DataFrame:
 
 def live(rates: DataFrame, as_of: Column | datetime) -> DataFrame:
     """P-08: entries still inside their time to live."""
-    end = F.timestamp_add("SECOND", F.col("ttl_seconds"), F.col("fetched_at"))
-    return rates.where(F.lit(as_of) < end)
+    return rates.where(F.lit(as_of) < _end())
 
 
 def cross_rates(rates: DataFrame, to: str) -> DataFrame:
     """J-04: pairs (from, to, date) through the table's own base: rates[to] / rates[from]."""
-    target = rates.where(F.upper("currency") == to.upper()).select("date", F.col("rate").alias("_to"))
+    target = rates.where(F.upper("currency") == to.upper()).select(F.col("date").alias("_day"), F.col("rate").alias("_to"))
     return (
-        rates.join(target, "date")
+        rates.join(target, F.col("date").eqNullSafe(F.col("_day")))
         .where(F.col("rate") != 0)
         .select(
             F.upper("currency").alias("from_ccy"),
             F.lit(to.upper()).alias("to_ccy"),
             "date",
             (F.col("_to") / F.col("rate")).alias("rate"),
+            *[c for c in ("fetched_at", "ttl_seconds") if c in rates.columns],
         )
     )
 
@@ -63,10 +64,29 @@ def cross_rates(rates: DataFrame, to: str) -> DataFrame:
 def pair_rates(rates: DataFrame) -> DataFrame:
     """A long table whose rate already leads from ``currency`` to ``base``."""
     return rates.select(
-        F.upper("currency").alias("from_ccy"), F.upper("base").alias("to_ccy"), "date", "rate"
+        F.upper("currency").alias("from_ccy"),
+        F.upper("base").alias("to_ccy"),
+        "date",
+        "rate",
+        *[c for c in ("fetched_at", "ttl_seconds") if c in rates.columns],
     )
 
 
+def usable_pairs(pairs: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
+    """One rate per (from, to, date): positive and finite, alive at ``as_of`` if given, the newest fetched."""
+    if as_of is not None and {"fetched_at", "ttl_seconds"} <= set(pairs.columns):
+        pairs = pairs.where(F.coalesce(F.lit(as_of) < _end(), F.lit(True)))
+    keys = ["from_ccy", "to_ccy", "date"]
+    pairs = pairs.where((F.col("rate") > 0) & (F.col("rate") < float("inf")))
+    at = F.col("fetched_at") if "fetched_at" in pairs.columns else F.lit(None).cast("timestamp")
+    newest = F.max(F.struct(at.alias("at"), "rate"))["rate"]
+    return pairs.groupBy(*keys).agg(newest.alias("rate"))
+
+
+def _end() -> Column:
+    return F.timestamp_add("SECOND", F.col("ttl_seconds"), F.col("fetched_at"))
+
+
 def identity(from_ccy: Column, to_ccy: Column) -> Column:
     """F-15: nothing to convert."""
     return (from_ccy == "") | (from_ccy == to_ccy)
@@ -78,11 +98,13 @@ def attach_rate(
     from_ccy: Column,
     to_ccy: Column,
     date: Column | None = None,
+    as_of: Column | datetime | None = None,
 ) -> DataFrame:
     """J-03/F-15: add ``rate`` and ``rate_source``; no rate leaves both null.
 
     A mapping holds rates into the one base in use and becomes a literal.  A table
-    of pairs is looked up by (from, to, date); a missing date means ``latest``.
+    of pairs is looked up by (from, to, date); a missing date means ``latest``.  Rows of
+    the table without a date answer any date that has no row of its own.
     """
     from_ccy, to_ccy = F.upper(from_ccy), F.upper(to_ccy)
     same = identity(from_ccy, to_ccy)
@@ -93,10 +115,14 @@ def attach_rate(
     else:
         keys = ["from_ccy", "to_ccy", "date"]
         when = F.lit(LATEST) if date is None else F.coalesce(F.trim(date), F.lit(LATEST))
-        pairs = rates.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rate").alias("_found"))
+        pairs = stage(usable_pairs(rates, as_of), "rates")
+        dated = pairs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rate").alias("_dated"))
         keyed = df.withColumns({"_from_ccy": from_ccy, "_to_ccy": to_ccy, "_date": when})
         spread = [F.col(c) for c in df.columns[:6]]
-        out = dimension_join(keyed, pairs, [f"_{k}" for k in keys], spread).drop(*[f"_{k}" for k in keys])
+        out = dimension_join(keyed, dated.where("_date is not null"), [f"_{k}" for k in keys], spread)
+        anytime = dated.where("_date is null").select("_from_ccy", "_to_ccy", F.col("_dated").alias("_anytime"))
+        out = dimension_join(out, anytime, ["_from_ccy", "_to_ccy"], spread)
+        out = out.withColumn("_found", F.coalesce("_dated", "_anytime")).drop(*[f"_{k}" for k in keys], "_dated", "_anytime")
     return out.withColumns(
         {
             "rate": F.when(same, F.lit(1.0)).otherwise(F.col("_found")),
@@ -109,12 +135,13 @@ def convert(
     items: DataFrame,
     rates: Mapping[str, float] | DataFrame,
     base: str = "USD",
+    as_of: Column | datetime | None = None,
 ) -> DataFrame:
     """C-02: convert every item; its own ``moneda_base`` and ``fecha`` come first.  No rounding."""
     own = F.col("moneda_base") if "moneda_base" in items.columns else F.lit(None).cast("string")
     date = F.col("fecha") if "fecha" in items.columns else None
     to = F.upper(F.coalesce(own, F.lit(base)))
-    priced = attach_rate(items.withColumn("_to", to), rates, F.col("moneda_original"), F.col("_to"), date)
+    priced = attach_rate(items.withColumn("_to", to), rates, F.col("moneda_original"), F.col("_to"), date, as_of)
     same = identity(F.upper("moneda_original"), F.col("_to"))
     return priced.withColumns(
         {
@@ -153,14 +180,22 @@ def materialize_pairs(needed: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ listing and purge
-def listing(
+LIST_ROWS, LIST_CAP = 200, 2000
+
+
+def listing(entries: DataFrame, limit: int = LIST_ROWS) -> DataFrame:
+    """P-07/L-06: the first entries by key; 200 unless told otherwise, 2000 at most."""
+    return entries.orderBy("key").limit(max(1, min(limit, LIST_CAP)))
+
+
+def live_entries(
     pairs: DataFrame,
     tables: DataFrame,
     as_of: Column | datetime,
     kind: str = "all",
     date: str | None = None,
 ) -> DataFrame:
-    """P-07/N-06/F-38: both kinds of entries in one listing, malformed ones dropped."""
+    """P-07/N-06/F-38: both kinds of entries that are alive at ``as_of``, malformed ones dropped."""
     remaining = (
         F.unix_timestamp("fetched_at") + F.col("ttl_seconds") - F.unix_timestamp(F.lit(as_of))
     ).alias("ttl_left")
@@ -198,6 +233,7 @@ def listing(
             )
         )
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    out = out.where(F.col("ttl_left") > 0)
     return out.where(F.col("date") == date) if date else out
 
 

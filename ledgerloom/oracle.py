@@ -176,11 +176,11 @@ ENTRIES = (
 entries AS (
   SELECT 'fx:' || from_ccy || ':USD:' || date AS key, 'fx' AS prefix, date, from_ccy, to_ccy, rate, CAST(NULL AS VARCHAR) AS base,
     CAST(NULL AS INTEGER) AS currencies,
-    CAST(epoch(CAST(d AS TIMESTAMP)) + 86400 - epoch(TIMESTAMP '1998-06-01 00:00:00') AS BIGINT) AS ttl_left
+    CAST(epoch(CAST(d AS TIMESTAMP)) + 86400 - epoch(TIMESTAMP '1998-06-01 12:00:00') AS BIGINT) AS ttl_left
   FROM pairs
   UNION ALL
   SELECT DISTINCT 'fx_table:' || date, 'fx_table', date, NULL, NULL, NULL, 'USD', 4,
-    CAST(epoch(CAST(d AS TIMESTAMP)) + 86400 - epoch(TIMESTAMP '1998-06-01 00:00:00') AS BIGINT)
+    CAST(epoch(CAST(d AS TIMESTAMP)) + 86400 - epoch(TIMESTAMP '1998-06-01 12:00:00') AS BIGINT)
   FROM tables
 )"""
 )
@@ -192,7 +192,7 @@ priced AS (
   SELECT *, CASE WHEN moneda = 'USD' THEN monto ELSE round(CAST(monto * static_rate AS DECIMAL(30, 8)), 2)::DOUBLE END AS amount,
     greatest(0, date_diff('day', CAST(fecha AS DATE), DATE '2001-01-01')) AS days,
     greatest(0, date_diff('day', CAST(fecha AS DATE), DATE '2000-11-20')) AS old_days
-  FROM raw WHERE monto >= 0
+  FROM raw
 ),"""
     + judged("priced", "amount")
     + """,
@@ -390,19 +390,14 @@ FROM (SELECT raw.*, CASE WHEN moneda = 'EUR' THEN 1e0 ELSE t2.rate / t1.rate END
   coalesce(given_rate, CASE WHEN given_base IS NULL THEN r END, b / abs(monto)) AS exchange_rate,
   CASE WHEN given_base IS NOT NULL THEN NULL WHEN moneda = 'USD' THEN 'cache' WHEN r IS NOT NULL THEN 'api' END AS rate_source
 FROM (SELECT *, floor(coalesce(given_base, abs(monto) * r) * 10 + 0.5) / 10 AS b
-  FROM (SELECT *, CASE WHEN moneda <> 'EUR' THEN static_rate END AS r FROM raw))
-WHERE given_base IS NOT NULL OR given_rate IS NOT NULL""",
+  FROM (SELECT *, CASE WHEN moneda <> 'EUR' THEN static_rate END AS r FROM raw))""",
     )
     q["fx_pairs_needed"] = _with(
         BASE + "," + FX,
         """SELECT n.from_ccy, 'USD' AS to_ccy, n.date, p.rate FROM (SELECT DISTINCT moneda AS from_ccy, fecha AS date FROM raw WHERE moneda <> 'USD') n
 LEFT JOIN pairs p ON p.from_ccy = n.from_ccy AND p.date = n.date AND p.from_ccy <> 'EUR'""",
     )
-    q["fx_listing"] = _with(ENTRIES, "SELECT * FROM entries ORDER BY key LIMIT 200")
-    q["fx_live"] = _with(
-        FX,
-        "SELECT date, 'USD' AS base, currency, rate FROM tables WHERE d = DATE '1998-01-01' OR (d = DATE '1997-12-31' AND FALSE)",
-    )
+    q["fx_listing"] = _with(ENTRIES, "SELECT * FROM entries WHERE ttl_left > 0 ORDER BY key LIMIT 200")
     q["fx_live"] = _with(
         FX,
         """SELECT date, 'USD' AS base, currency, rate FROM tables
@@ -410,8 +405,8 @@ WHERE TIMESTAMP '1998-01-01 12:00:00' < CAST(d AS TIMESTAMP) + INTERVAL 86400 SE
     )
     q["fx_purged"] = _with(
         ENTRIES,
-        """SELECT prefix, count(*) AS entries FROM entries WHERE NOT (prefix = 'fx' AND date = '1998-01-01') GROUP BY prefix
-UNION ALL SELECT 'deleted', count(*) FROM entries WHERE prefix = 'fx' AND date = '1998-01-01'""",
+        """SELECT prefix, count(*) AS entries FROM entries WHERE ttl_left > 0 AND NOT (prefix = 'fx' AND date = '1998-06-01') GROUP BY prefix
+UNION ALL SELECT 'deleted', count(*) FROM entries WHERE ttl_left > 0 AND prefix = 'fx' AND date = '1998-06-01'""",
     )
     q["contract_violations"] = _with(
         BASE,
@@ -521,7 +516,9 @@ FROM numbered WHERE process_id = 'P4' GROUP BY 1, 2""",
     q["merge_meta"] = _with(
         OUTCOMES,
         """SELECT 'state' AS key, run_status AS value, count(*) AS entries FROM outcomes GROUP BY 2
-UNION ALL SELECT 'reason', CASE WHEN outcome LIKE 'duplicate%' THEN outcome ELSE '-' END, count(*) FROM outcomes GROUP BY 2""",
+UNION ALL SELECT 'reason', CASE WHEN outcome LIKE 'duplicate%' THEN outcome ELSE '-' END, count(*) FROM outcomes GROUP BY 2
+UNION ALL SELECT 'id', id, count(*) FROM outcomes GROUP BY 2
+UNION ALL SELECT 'fecha', fecha, count(*) FROM outcomes GROUP BY 2""",
     )
     doomed = "(process_id = 'P1' AND run_status <> 'skipped')"
     q["jobs_deleted"] = _sizes(
@@ -587,10 +584,10 @@ FROM docs0 GROUP BY 1, 2, 3""",
     )
     q["policy_upsert"] = _with(
         DOCUMENTS,
-        """SELECT name, CASE WHEN c_custkey % 2 = 0 THEN base END AS base,
+        """SELECT name, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN base END AS base,
   CASE WHEN c_custkey % 3 <> 0 THEN '2000' ELSE '2001' END || '-01-01 00:00:00' AS created_at,
-  CASE WHEN c_custkey % 2 = 0 THEN '2001' ELSE '2000' END || '-01-01 00:00:00' AS updated_at
-FROM docs0 WHERE kind NOT IN (1, 2, 3, 8, 9) AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)""",
+  CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN '2001' ELSE '2000' END || '-01-01 00:00:00' AS updated_at
+FROM docs0 WHERE kind NOT IN (1, 2, 3, 8, 9)""",
     )
     q["tenant_policies"] = _with(
         BASE

@@ -23,14 +23,21 @@ class Tables:
 
 def detach(expenses: DataFrame, jobs: DataFrame) -> DataFrame:
     """Expenses of ``jobs`` stay but lose their ``job_id``."""
+    held, free = _by_job(expenses)
     marked = jobs.select("job_id").distinct().withColumn("_gone", F.lit(True))
     return (
-        expenses.join(marked, "job_id", "left")
+        held.join(marked, "job_id", "left")
         .withColumn("job_id", F.when(F.col("_gone").isNull(), F.col("job_id")))
         .select(*expenses.columns)
+        .unionByName(free)
     )
 
 
+def _by_job(expenses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Expenses with a run and those without: the latter may be most, and would all join on one null key."""
+    return expenses.where(F.col("job_id").isNotNull()), expenses.where(F.col("job_id").isNull())
+
+
 def delete_jobs(tables: Tables, jobs: DataFrame) -> tuple[Tables, DataFrame]:
     """C-09/J-09/A-09: (tables without the runs, one-row count of the removed runs)."""
     keys = jobs.select("job_id").distinct()
@@ -67,7 +74,8 @@ def delete_process(
     if not hard:
         expenses = detach(tables.expenses, jobs)
     else:
-        expenses = tables.expenses.join(jobs, "job_id", "left_anti")
+        held, free = _by_job(tables.expenses)
+        expenses = held.join(jobs, "job_id", "left_anti").select(*tables.expenses.columns).unionByName(free)
         if not strict_scope:
             expenses = expenses.join(batch_ids(tables.batches.where(mine)), "id", "left_anti")
         expenses = expenses.select(*tables.expenses.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import APROBADO, PENDIENTE, RECHAZADO
@@ -45,11 +45,18 @@ def validate_priced(
     return evaluate(priced, literal_policy(policy), as_of, tz, rules, amount=F.col("base_amount"))
 
 
+def total_amount(amount: Column) -> Column:
+    """The exact sum of amounts with one decimal; amounts beyond 28 digits are added as doubles."""
+    exact = amount.try_cast("decimal(28,1)")
+    beyond = F.sum(F.when(exact.isNull(), amount))
+    return F.coalesce(F.sum(exact).cast("double") + beyond, F.sum(exact).cast("double"), beyond)
+
+
 def status_breakdown(evaluated: DataFrame) -> DataFrame:
     """A-02"""
     return evaluated.groupBy("status").agg(
         F.count("*").alias("expenses"),
-        F.sum(F.col("base_amount").cast("decimal(20,1)")).cast("double").alias("total_base"),
+        total_amount(F.col("base_amount")).alias("total_base"),
     )
 
 

@@ -153,13 +153,10 @@ def custom_rule(spark, sf_dir):
         )
 
     provider = fx.static_provider(STATIC_RATES, "USD")
-    table = fx.pair_rates(provider(spark)).select("from_ccy", "rate")
     positive = normalize_amount(_expenses(spark, sf_dir)).where(~F.col("negative_amount_detected"))
-    keyed = positive.withColumn("from_ccy", F.upper("moneda_original"))
-    priced = dimension_join(keyed, table, ["from_ccy"], [F.col("id"), F.col("fecha")])
-    amount = F.floor(F.col("monto_normalizado") * F.col("rate") * 10 + 0.5) / 10
+    priced = price(positive, fx.pair_rates(provider(spark)), "USD")
     judged = rules.evaluate(
-        priced.withColumn("monto_base", amount),
+        priced.drop("monto_base").withColumnRenamed("base_amount", "monto_base"),
         literal_policy(STANDARD_POLICY),
         AS_OF,
         rules=[*rules.STANDARD_RULES, rules.Rule("RoundAmountRule", round_amount)],
@@ -362,7 +359,7 @@ def convert_cross_rates(spark, sf_dir):
 @query
 def effective_rates(spark, sf_dir):
     priced = price(normalize_amount(_expenses(spark, sf_dir, extra=True)), RATES, None, "usd")
-    return priced.where(F.col("monto_base").isNotNull() | F.col("tipo_cambio").isNotNull()).select(
+    return priced.select(
         "process_id", "id", "fecha", "monto_original", "base_currency", "base_amount", "exchange_rate", "rate_source"
     )
 
@@ -374,7 +371,7 @@ def fx_pairs_needed(spark, sf_dir):
 
 
 def _entries(spark, sf_dir, as_of: str, kind: str = "all", day: str | None = None) -> DataFrame:
-    return fx.listing(
+    return fx.live_entries(
         bridge.dated_pairs(spark, sf_dir, STATIC_RATES),
         bridge.dated_tables(spark, sf_dir, STATIC_RATES),
         F.lit(as_of).cast("timestamp"),
@@ -385,7 +382,7 @@ def _entries(spark, sf_dir, as_of: str, kind: str = "all", day: str | None = Non
 
 @query
 def fx_listing(spark, sf_dir):
-    listed = _entries(spark, sf_dir, "1998-06-01 00:00:00").orderBy("key").limit(200)
+    listed = fx.listing(_entries(spark, sf_dir, "1998-06-01 12:00:00"))
     return listed.select("key", "prefix", "date", "from_ccy", "to_ccy", "rate", "base", "currencies", "ttl_left")
 
 
@@ -397,8 +394,8 @@ def fx_live(spark, sf_dir):
 
 @query
 def fx_purged(spark, sf_dir):
-    entries = _entries(spark, sf_dir, "1998-06-01 00:00:00")
-    left, removed = fx.purge(entries, "fx", "1998-01-01")
+    entries = _entries(spark, sf_dir, "1998-06-01 12:00:00")
+    left, removed = fx.purge(entries, "fx", "1998-06-01")
     counted = left.groupBy("prefix").agg(F.count("*").alias("entries"))
     return counted.unionByName(removed.select(F.lit("deleted").alias("prefix"), F.col("deleted").alias("entries")))
 
@@ -623,9 +620,7 @@ def q_merge_meta(spark, sf_dir):
     )
     patch = F.create_map(F.lit("state"), F.col("status"), F.lit("reason"), F.coalesce("meta.dedup.reason", F.lit("-")))
     merged = workspace(spark, sf_dir).runs.select("job_id", F.explode(merge_meta(meta, patch)).alias("key", "value"))
-    return merged.where(F.col("key") != "fecha").groupBy("key", "value").agg(F.count("*").alias("entries")).where(
-        F.col("key") != "id"
-    )
+    return merged.groupBy("key", "value").agg(F.count("*").alias("entries"))
 
 
 # ----------------------------------------------------------------- maintenance
@@ -673,7 +668,7 @@ def process_deleted_hard(spark, sf_dir):
 # ----------------------------------------------------------------- regressions
 def _history(spark, sf_dir) -> DataFrame:
     expenses = map_columns(bridge.records(spark, sf_dir), bridge.COLUMNS)
-    return evaluate_history(valid(expenses).where(F.col("monto_original") >= 0), STANDARD_POLICY, STATIC_RATES, AS_OF)
+    return evaluate_history(valid(expenses), STANDARD_POLICY, STATIC_RATES, AS_OF)
 
 
 @query
@@ -704,7 +699,7 @@ def result_text_parsed(spark, sf_dir):
 def historical_regression(spark, sf_dir):
     """A results file recorded some days earlier, checked against today's evaluation."""
     raw = bridge.records(spark, sf_dir).select("process_id", *bridge.COLUMNS)
-    expenses = valid(map_columns(raw, bridge.COLUMNS, keep=["gasto_id", "monto", "moneda", "empleado_cost_center"])).where(F.col("monto_original") >= 0)
+    expenses = valid(map_columns(raw, bridge.COLUMNS, keep=["gasto_id", "monto", "moneda", "empleado_cost_center"]))
     recorded = with_results(evaluate_history(expenses, STANDARD_POLICY, STATIC_RATES, date(2000, 11, 20)))
     path = new_path(spark, "results")
     write_results_csv(recorded.select("process_id", *bridge.COLUMNS, RESULT_COLUMN), path)
@@ -796,14 +791,14 @@ def policy_resolution(spark, sf_dir):
 
 @query
 def policy_upsert(spark, sf_dir):
-    """Documents of one half of the tenants replace or join those of the other two thirds."""
+    """Documents of the even tenants and of every third one replace or join those of the other two thirds."""
     rows = _documents(spark, sf_dir).withColumn("document", unwrap_policy(F.col("policies")))
     fine = rows.where(F.size(policy_errors(F.col("document"))) == 0)
     at = lambda text: F.lit(text).cast("timestamp")
     existing = fine.where(F.col("c_custkey") % 3 != 0).select(
         "name", F.lit("{}").alias("policies"), at("2000-01-01 00:00:00").alias("created_at"), at("2000-01-01 00:00:00").alias("updated_at")
     )
-    new = fine.where(F.col("c_custkey") % 2 == 0).select("name", F.col("document").alias("policies"))
+    new = fine.where((F.col("c_custkey") % 2 == 0) | (F.col("c_custkey") % 3 == 0)).select("name", F.col("document").alias("policies"))
     saved = upsert_policies(existing, new, at("2001-01-01 00:00:00"))
     return saved.select(
         "name",

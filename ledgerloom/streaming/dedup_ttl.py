@@ -61,7 +61,8 @@ def mark_first(
         # a key without a new start has no later event either
         open_keys = found.select(*keys, "_rows", "expires")
     if not rounds:
-        return events.withColumn("mark", F.lit(SKIPPED)), state
+        none = sizes.select(*keys, F.lit(None).cast("long").alias("expires")).limit(0)
+        return events.withColumn("mark", F.lit(SKIPPED)), none if state is None else state
     started = reduce(DataFrame.unionByName, rounds)
     accepted = started.select(F.col("_first")[order].alias(order), F.lit(True).alias("_new"))
     marked = (
