@@ -60,7 +60,7 @@ def mark_duplicates(
         )
         # a common fingerprint stands in most processes: hot ones get keys of their own
         spread = F.abs(F.xxhash64(*KEYS) % (1 << 40)) + 1
-        groups = group_join(groups, stage(facts, "dedup-prints"), ["fingerprint"], "_prints", spread, hot_rows)
+        groups = group_join(groups, facts, ["fingerprint"], "_prints", spread, hot_rows)
         earlier = F.coalesce(F.col("_first_process") < turn, F.lit(False))
     else:
         earlier = F.lit(False)

@@ -82,10 +82,15 @@ def missing_message(columns: Sequence[str]) -> Column:
     )
 
 
-def map_columns(raw: DataFrame, source_columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """F-01..F-06 for a wide table of text cells; ``keep`` names columns to carry along."""
+def map_columns(
+    raw: DataFrame, source_columns: Sequence[str], keep: Sequence[str] = (), blank: bool = True
+) -> DataFrame:
+    """F-01..F-06 for a wide table of text cells; ``keep`` names columns to carry along.
+
+    Without ``blank`` a null cell is a column that the record's file does not have.
+    """
     index = normalize_columns(source_columns)
-    mapped = blank_cells(raw, source_columns)
+    mapped = blank_cells(raw, source_columns) if blank else raw
     lineage = [c for c in LINEAGE if c in raw.columns]
     fields = _canonical(lambda f: pick(index, f))
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in source_columns]))
@@ -128,6 +133,6 @@ def batch_expense_id(columns: Sequence[str]) -> Column:
 
     Only these two exact column names count.
     """
-    present = [F.col(c) for c in ("gasto_id", "id") if c in columns]
+    present = [F.col(f"`{c}`") for c in ("gasto_id", "id") if c in columns]
     text = str_field(F.coalesce(*present)) if present else F.lit("")
     return F.nullif(text, F.lit(""))

@@ -87,16 +87,3 @@ def running_sum(df: DataFrame, group: str, position: str, values: Sequence[str],
         .drop("_chunk", *[f"_before_{v}" for v in values])
     )
 
-
-def keep_until_error(rows: DataFrame, error: str = "error") -> DataFrame:
-    """W-04: per batch, the rows up to and including its first error.
-
-    A batch has at most its configured size, so the window is bounded.
-    """
-    batch = Window.partitionBy("process_id", "batch_index")
-    first = F.min(F.when(F.col(error), F.col("record_index"))).over(batch)
-    return (
-        rows.withColumn("_first_error", first)
-        .where(F.col("_first_error").isNull() | (F.col("record_index") <= F.col("_first_error")))
-        .drop("_first_error")
-    )

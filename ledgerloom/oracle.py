@@ -435,6 +435,10 @@ FROM numbered GROUP BY 1, 2""",
         NUMBERED,
         "SELECT process_id, count(*) AS total_records, max(batch_index) AS published_batches FROM numbered GROUP BY 1",
     )
+    q["csv_ingest"] = _with(
+        BASE,
+        """SELECT process_id, moneda AS moneda_original, count(*) AS records, sum(monto) AS amount, TRUE AS completed FROM raw GROUP BY ALL""",
+    )
     q["record_outcomes"] = _with(OUTCOMES, FLAT)
     q["stream_outcomes"] = q["record_outcomes"]
     q["job_stages"] = _with(

@@ -188,7 +188,3 @@ def upsert_expenses(existing: DataFrame | None, outcomes: DataFrame) -> DataFram
     """K-01"""
     new = new_expenses(outcomes)
     return new if existing is None else upsert(existing, new, "id")
-
-
-def failed_runs(outcomes: DataFrame) -> DataFrame:
-    return outcomes.where(F.col("outcome") == FAILED)

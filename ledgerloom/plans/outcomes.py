@@ -186,7 +186,3 @@ def run_records(
         F.when(failed, F.col("failed_stage")).alias("failed_stage"),
         F.when(failed, _reason()).alias("error"),
     )
-
-
-def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("process_id", "outcome").agg(F.count("*").alias("records"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import (
     APROBADO,
+    COMPLETADO,
     PENDIENTE,
     STANDARD_POLICY,
     STATIC_RATES,
@@ -37,8 +38,8 @@ from ledgerloom.operators.policy import (
 from ledgerloom.operators.upsert import upsert_policies
 from ledgerloom.plans import maintenance, reports
 from ledgerloom.plans.audit import new_expenses, upsert_expenses
-from ledgerloom.plans.ingest import file_batches, file_totals, progress
-from ledgerloom.plans.outcomes import normalize_amount, price, with_fingerprint
+from ledgerloom.plans.ingest import file_batches, file_totals, ingest_into, progress
+from ledgerloom.plans.outcomes import normalize_amount, price, run_records, with_fingerprint
 from ledgerloom.plans.regression import evaluate_history, mismatches, with_results
 from ledgerloom.plans.validate import status_breakdown, status_by_process, validate, validate_priced
 from ledgerloom.session import new_path, tune
@@ -453,6 +454,35 @@ def q_file_totals(spark, sf_dir):
     return file_totals(workspace(spark, sf_dir).records)
 
 
+@query
+def csv_ingest(spark, sf_dir):
+    """The records as CSV files with three different headers and line breaks in cells: ingested, stored, run."""
+    space = workspace(spark, sf_dir)
+    root = new_path(spark, "csv-ingest")
+    headers = {
+        "a": ["gasto_id", "empleado_id", "fecha", "monto", "moneda", "categoria", "empleado_cost_center"],
+        "b": ["Amount", " DATE ", "expense_id", "currency", "Category", "costcenter", "employee"],
+        "c": ["nota", "moneda", "importe", "ID", "fecha_gasto", "empleado_id", "cost_center", "category"],
+    }
+    source = {
+        "Amount": "monto", " DATE ": "fecha", "expense_id": "gasto_id", "currency": "moneda", "Category": "categoria", "costcenter": "empleado_cost_center",
+        "employee": "empleado_id", "importe": "monto", "ID": "gasto_id", "fecha_gasto": "fecha", "cost_center": "empleado_cost_center", "category": "categoria",
+    }
+    rows = space.records.withColumn("nota", F.concat(F.lit('línea 1, "x"\n'), F.col("gasto_id")))
+    for i, (folder, names) in enumerate(headers.items()):
+        mine = rows.where(F.pmod("process_seq", F.lit(3)) == i)
+        mine.select(*[F.col(source.get(n, n)).alias(n) for n in names]).write.option("header", True).option("quoteAll", True).option(
+            "escape", '"'
+        ).csv(f"{root}/{folder}")
+    store = Store(spark, f"{root}-store")
+    outcomes = run_records(ingest_into(store, f"{root}/*", bridge.BATCH_SIZE), STANDARD_POLICY, STATIC_RATES, AS_OF)
+    known = reports.list_processes(store.read("file_processes"), 200).agg(F.count_if(F.col("status") == COMPLETADO) > 0).first()[0]
+    order = F.split(F.substring("id", 2, 40), "-")[0].cast("long")
+    return outcomes.groupBy(F.concat(F.lit("P"), order % 8).alias("process_id"), "moneda_original").agg(
+        F.count("*").alias("records"), F.sum("monto_original").alias("amount"), F.lit(known).alias("completed")
+    )
+
+
 # -------------------------------------------------------------------- outcomes
 def _flat_outcomes(outcomes: DataFrame) -> DataFrame:
     return outcomes.select(

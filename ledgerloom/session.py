@@ -8,11 +8,15 @@ may fall back to a fresh folder of its own.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scopes = threading.local()  # streams run their micro-batches on threads of their own
 
 
 # Generated methods above 8000 bytes are never compiled by the JVM; Spark's own limit is higher.
@@ -66,5 +70,27 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan."""
-    path = write_table(df, new_path(df.sparkSession, name))
+    path = new_path(df.sparkSession, name)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: write the result to its place before.
+
+    Runs that return a table to be read later (the registered queries) stage outside of any scope;
+    their folders stay until the application's shared folder is cleared.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)

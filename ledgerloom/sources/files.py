@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,27 @@ def admissible_files(files: DataFrame, name: str = "filename") -> DataFrame:
     return files.where(is_csv_name(F.col(name)))
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The first line of the first file; every file under ``path`` shares it."""
-    first = spark.read.option("pathGlobFilter", CSV_GLOB).text(path).where(F.trim("value") != "").first()
-    if first is None:
+def headers_of(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Every header under ``path`` with its files: the first non-blank line of each file.
+
+    Headers and file names are few beside the rows; Spark's scan lists the files on the
+    driver as well.
+    """
+    lines = spark.read.option("pathGlobFilter", CSV_GLOB).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    first = (
+        lines.select("value", at.alias("at"), F.col("_metadata.file_path").alias("file"))
+        .where(F.trim(F.regexp_replace("value", "\ufeff", "")) != "")
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("value"))
+    )
+    files: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(first.collect()):
+        header = tuple(c.strip() for c in next(csv.reader([r.value.lstrip("\ufeff")])))
+        files.setdefault(header, []).append(r.file)
+    if not files:
         raise ValueError(f"no CSV rows under {path}")
-    return [c.strip() for c in next(csv.reader([first.value.lstrip("﻿")]))]
+    return files
 
 
 def unique_names(header: list[str]) -> list[str]:
@@ -35,15 +51,8 @@ def unique_names(header: list[str]) -> list[str]:
     return [name if last[name.lower()] == i else f"_shadowed_{i}" for i, name in enumerate(header)]
 
 
-def read_expense_csv(
-    spark: SparkSession, path: str, mode: str = "PERMISSIVE", multi_line: bool = False
-) -> tuple[DataFrame, list[str]]:
-    """S-01: (text cells plus ``_corrupt_record``, names of the usable columns).
-
-    ``FAILFAST`` aborts on the first malformed row.  Without ``multi_line`` large
-    files are read in splits.
-    """
-    header = header_of(spark, path)
+def _scan(spark: SparkSession, header: list[str], files: list[str], mode: str, multi_line: bool) -> DataFrame:
+    """The rows of the files that share one header."""
     names = unique_names(header)
     usable = [n for n in names if not n.startswith("_shadowed_")]
     schema = StructType([StructField(n, StringType()) for n in names])
@@ -52,17 +61,34 @@ def read_expense_csv(
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", names != header)
+        .option("enforceSchema", True)
         .option("mode", mode)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("multiLine", multi_line)
-        .option("pathGlobFilter", CSV_GLOB)
-        .csv(path)
+        .csv(files)
     )
-    return blank_cells(df, usable), usable
+    extra = [CORRUPT] if mode == "PERMISSIVE" else []
+    return blank_cells(df, usable).select(*[f"`{n}`" for n in usable], *extra, F.col("_metadata").alias("_file"))
+
+
+def read_expense_csv(
+    spark: SparkSession, path: str, mode: str = "PERMISSIVE", multi_line: bool = True
+) -> tuple[DataFrame, list[str]]:
+    """S-01: (text cells plus ``_corrupt_record`` and ``_file``, names of the usable columns).
+
+    Every file is read under its own header, whatever the order or names of its columns; a
+    column that a file lacks is null in its rows, an empty cell is ''.  ``FAILFAST``
+    aborts on the first malformed row.  Quoted cells may hold line breaks; with
+    ``multi_line=False`` they may not, and large files are read in splits.
+    """
+    parts = []
+    for header, files in headers_of(spark, path).items():
+        parts.append(_scan(spark, list(header), files, mode, multi_line))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows, [c for c in rows.columns if c not in (CORRUPT, "_file")]
 
 
 def result_text(status: Column, alerts: Column) -> Column:
@@ -76,10 +102,10 @@ def write_results_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_results_csv(
-    spark: SparkSession, path: str, multi_line: bool = False
+    spark: SparkSession, path: str, multi_line: bool = True
 ) -> tuple[DataFrame, list[str]]:
     """S-08: a results file, its golden column as text, and the names of its columns."""
     rows, columns = read_expense_csv(spark, path, multi_line=multi_line)
     if RESULT_COLUMN not in columns:
         raise ValueError(f"{RESULT_COLUMN} es requerida para los casos históricos")
-    return rows.drop(CORRUPT), columns
+    return rows.drop(CORRUPT, "_file"), columns

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.lookup import HOT_ROWS, group_join
-from ledgerloom.session import stage
+from ledgerloom.session import stage, staging
 from ledgerloom.sources.tables import Store
 
 FIRST = "first"
@@ -98,9 +98,10 @@ def ttl_stream(
         timed = batch.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
         path = f"{store.root}/state"
         state = session.read.parquet(f"{path}/epoch={epoch - 1}") if epoch > 0 else None
-        marked, now = mark_first(timed, keys, order, "_micros", ttl_seconds, state)
-        marked.drop("_micros").write.mode("overwrite").parquet(f"{store.root}/marked/epoch={epoch}")
-        now.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        with staging(session):
+            marked, now = mark_first(timed, keys, order, "_micros", ttl_seconds, state)
+            marked.drop("_micros").write.mode("overwrite").parquet(f"{store.root}/marked/epoch={epoch}")
+            now.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

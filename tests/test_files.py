@@ -6,10 +6,15 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
+from ledgerloom.operators.lookup import dimension_join, is_small
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.numbering import number_in_order, running_sum
 from ledgerloom.operators.upsert import last_per_key, upsert_policies
-from ledgerloom.plans.ingest import ingest_files, progress
+from ledgerloom.plans.ingest import ingest_files, ingest_into, progress
+from ledgerloom.plans.outcomes import run_records
+from ledgerloom.plans.reports import list_processes
+from ledgerloom.session import stage, staging
 from ledgerloom.sources.events import bad_envelopes, known_patterns, read_batch_events, read_record_events
 from ledgerloom.sources.files import read_expense_csv, unique_names
 from ledgerloom.sources.tables import Store
@@ -108,3 +113,45 @@ def test_keyed_writes(spark, tmp_path):
     new = spark.createDataFrame([("current", "{1}"), ("t", "{2}")], "name string, policies string")
     saved = {r.name: (r.policies, r.created_at.year, r.updated_at.year) for r in upsert_policies(old, new, at("2001-01-01")).collect()}
     assert saved == {"current": ("{1}", 2000, 2001), "t": ("{2}", 2001, 2001)}
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('gasto_id,empleado_id,fecha,monto,moneda,categoria,empleado_cost_center\ng1,e1,2000-12-01,"1,5",USD,food,"a\nb"\ng2,e2,2000-12-02,,USD,food,c\n')
+    (tmp_path / "b.csv").write_text("moneda , AMOUNT,id,date,employee,Category,costcenter\nCLP,4,h1,2000-12-03,e3,food,d\n")
+    (tmp_path / "c.csv").write_text('﻿"id","Monto","fecha","moneda","empleado_id","categoria","cost_center","nota"\n"k1","7","2000-12-04","EUR","e4","food","x","n"\n')
+    (tmp_path / "d.csv").write_text("id,monto\nbroken\n")
+    store = Store(spark, str(tmp_path / "store"))
+    rows = {r.id: r for r in ingest_into(store, f"{tmp_path}/*.csv", 10).collect()}
+    assert {i: (r.monto_original, r.moneda_original, r.cost_center) for i, r in rows.items()} == {
+        "g1": (1.5, "USD", "a\nb"), "h1": (4.0, "CLP", "d"), "k1": (7.0, "EUR", "x"),
+    }
+    assert json.loads(rows["h1"].csv_row) == {"moneda": "CLP", "AMOUNT": "4", "id": "h1", "date": "2000-12-03", "employee": "e3", "Category": "food", "costcenter": "d"}
+    listed = list_processes(store.read("file_processes"), 10).collect()
+    assert {r.filename: (r.status, r.total_records) for r in listed} == {"a.csv": ("COMPLETADO", 2), "b.csv": ("COMPLETADO", 1), "c.csv": ("COMPLETADO", 1), "d.csv": ("ERROR", 0)}
+    assert sorted(r.process_seq for r in listed) == [0, 1, 2, 3] and all(r.created_at for r in listed)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "e.csv").write_text("id,monto\nz,1\n")
+    ingest_into(store, str(tmp_path / "more"), 10)
+    assert {r.filename: r.process_seq for r in store.read("file_processes").collect()}["e.csv"] == 4
+    first = spark.read.parquet(str(tmp_path / "store" / "file_processes" / "v1"))
+    assert {r.status for r in first.collect()} == {"PROCESANDO"} and store.read("file_process_batches").count() == 4
+    outcomes = run_records(ingest_into(Store(spark, str(tmp_path / "other")), f"{tmp_path}/*.csv", 10), STANDARD_POLICY, STATIC_RATES)
+    assert outcomes.count() == 3
+
+
+def test_staging_leaves_nothing_behind(spark, tmp_path):
+    with staging(spark):
+        table = stage(spark.range(5), "scoped")
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
+def test_salted_dimension(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"), "id")
+    dimension = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    for how in ("left", "inner", "left_anti"):
+        want = sorted(map(str, rows.join(dimension, "k", how).collect()))
+        assert sorted(map(str, dimension_join(rows, dimension, ["k"], [F.col("id")], how, limit=1, hot_rows=100).collect())) == want
+    assert not is_small(spark.range(3).select(F.repeat(F.lit("x"), 100).alias("t")), size=200)
