@@ -20,7 +20,8 @@ from ledgerloom.llm import decontaminate as benchmark
 from ledgerloom.llm import line_dedup as lines
 from ledgerloom.llm import mixing, ngram_join
 from ledgerloom.llm import toxicity as toxic
-from ledgerloom.llm.tables import fold, read, stage, without
+from ledgerloom.llm.tables import fold, read, without
+from ledgerloom.session import new_path, staging, write_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with staging(spark):
+            write_table(step(spark, docs, sf_dir), path)
+        docs = spark.read.parquet(path)
     return docs
