@@ -1,7 +1,7 @@
 """Toxicity (operator 3): a linear-chain conditional random field over words.
 
-Words are runs of ASCII letters, digits and non-ASCII characters with A-Z lower-cased; a word's
-features are the word itself and its first four to six bytes. Labels are given per document, so words get
+Words are runs of ASCII letters, digits and non-ASCII characters, capitals of ASCII and Latin-1 lower-cased; a word's
+features are the word itself and its first four to eight bytes. Labels are given per document, so words get
 theirs first: in a toxic document a word is toxic when one of its features stands in toxic documents far
 more often than in others. The CRF (states clean and toxic, one emission weight per chosen
 feature, transitions) is fitted to those word labels on a sample of at most ``SAMPLE`` documents of
@@ -9,8 +9,8 @@ either class, near copies left out, by gradient ascent on the conditional likeli
 
 Scoring reads whole texts in one scan without a shuffle. Only words with a chosen feature have an emission of their own; the
 words between them share one transition matrix, whose powers are exact, so forward and backward run over
-the chosen words alone. The probability that any word is toxic, from the same forward pass, is calibrated
-on the sample's labels and is the document's score; words whose marginal is at least one half are the spans,
+the chosen words alone. The probability that any word is toxic, from the same forward pass, and the expected number of toxic words, from
+the marginals, are calibrated together on the sample's labels, at the classes' true shares, and give the document's score; words whose marginal is at least one half are the spans,
 with character offsets into the text as it was given.
 
 Null and empty texts have the score of a text without words. Without both classes in the labels every score is the share
@@ -31,17 +31,25 @@ from ledgerloom.llm.decontaminate import NOT_WORD
 from ledgerloom.llm.share import Shared
 from ledgerloom.llm.text import C1, MASKS, U, eights, flat, mix, runs, slices, whole, word_hashes, words
 
-SAMPLE = 4000  # labelled documents of either class that the model is fitted to, chosen by hash
-SAMPLE_BYTES = 100_000  # longer texts are not fitted to (they are scored like all)
+SAMPLE = 2500  # labelled documents of either class that the model is fitted to, chosen by hash
+SAMPLE_BYTES = 50_000  # longer texts are not fitted to (they are scored like all)
 MIN_DOCS = 3  # toxic sample documents that a feature stands in, at least
-MIN_SHARE = 0.005  # and at least this share of them
 MIN_ODDS = 3.0
+MARGIN = 2.0  # beyond a correction for the number of features
 MAX_FEATURES = 50_000
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 SEGMENT = 64
 CALM_SEGMENTS = 4000
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` with the capitals of Latin-1 (two bytes in UTF-8, the second 0x20 below the small one) lower-cased too."""
+    data, offsets = flat(column)
+    after = data[1:]
+    after[(data[:-1] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 0x20
+    return data, offsets
+
+
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """One row per kind of feature: the word, then its prefixes (0 where the word is no longer)."""
     length, head = end - start, eights(data)[start] if len(start) else np.zeros(0, np.uint64)
@@ -64,7 +72,7 @@ class Crf:
         self.names = np.sort(names)
         self.weight = np.zeros(len(names))
         self.bias, self.to, self.back, self.stay = -6.0, 0.0, 0.0, 0.0
-        self.scale, self.offset = 1.0, 0.0
+        self.beta = np.array([1.0, 0.0, 0.0])
         self.screen = np.zeros(1 << 16, bool)
         self.screen[(self.names >> U(48)).astype(np.int64)] = True
 
@@ -191,12 +199,13 @@ class Crf:
             done = int(at[k])
         return logz, marg
 
-    def scores(self, odds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * odds + self.offset, -500, 500)))
+    def scores(self, facts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(facts @ self.beta, -500, 500)))
 
     def raw(self, piece: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]], tuple]:
-        """Log odds that any word of a text is toxic, the (row, words, marginals) of the chosen words, and the word positions."""
-        data, offsets = flat(piece)
+        """Per text the calibrated facts (log odds that any word is toxic, log of one plus the expected number, 1); the
+        (row, words, marginals) of the chosen words; and the word positions."""
+        data, offsets = lowered(piece)
         start, end, first = words(data, offsets, NOT_WORD)
         word, name = self.chosen(features(data, start, end))
         at, begin = np.unique(word, return_index=True)
@@ -207,90 +216,123 @@ class Crf:
         for size in np.unique(n):
             calm[n == size] = self.chain(int(size), np.zeros(0, int), np.zeros(0), powers)[0]
         cuts = np.searchsorted(at, first)
+        expected = np.zeros(len(n))
         marked = []
         for r in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[r], cuts[r + 1])
             calm[r], marg = self.chain(int(n[r]), at[own] - first[r], emission[own], powers)
+            expected[r] = marg.sum()
             marked.append((int(r), at[own], marg))
         # P(any) = 1 - 1 / (Z / Z0), so its log odds are log(Z / Z0 - 1).
         odds = np.where(calm < 30, np.log(np.maximum(np.expm1(np.minimum(calm, 30)), 1e-13)), calm)
-        return odds, marked, (start, end, offsets, data)
-
-
-def _distinct_rows(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows that are no near copy of an earlier one: any of four smallest-shingle values in common."""
-    seen: set[tuple[int, int]] = set()
-    keep = []
-    every = runs(hashes, 5)
-    for r, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        own = every[lo : max(lo + 1, hi - 4)]
-        mins = {(k, int(mix(own + U(k)).min())) for k in range(1, 5)} if len(own) and hi > lo else set()
-        if not mins & seen:
-            keep.append(r)
-        seen |= mins
-    return np.array(keep, np.int64)
-
-
-def train(texts: list[str], toxic: np.ndarray) -> Crf:
-    """A fitted and calibrated model from sampled texts and their labels."""
-    data, offsets = flat(pa.array(texts, pa.large_string()))
-    start, end, first = words(data, offsets, NOT_WORD)
-    feats = features(data, start, end)
-    keep = _distinct_rows(feats[0], first)
-    row_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    used = np.zeros(len(texts), bool)
-    used[keep] = True
-    counts = []
-    for y in (1, 0):
-        own = np.flatnonzero((used & (toxic == y))[row_of])
-        names = [np.unique(np.stack([kind[own], row_of[own].astype(np.uint64)]), axis=1)[0] for kind in feats]
-        counts.append(np.unique(np.concatenate(names), return_counts=True))
-    n = [max(1, int((used & (toxic == y)).sum())) for y in (1, 0)]
-    names, bad = counts[0]
-    at = np.minimum(np.searchsorted(counts[1][0], names), max(len(counts[1][0]) - 1, 0))
-    good = np.where(counts[1][0][at] == names, counts[1][1][at], 0) if len(counts[1][0]) else np.zeros(len(names))
-    odds = np.log((bad + 0.5) / (n[0] + 1)) - np.log((good + 0.5) / (n[1] + 1))
-    ok = (names != 0) & (bad >= max(MIN_DOCS, MIN_SHARE * n[0])) & (odds >= MIN_ODDS)
-    best = np.argsort(-(odds * np.sqrt(bad)) * ok, kind="stable")[: min(MAX_FEATURES, int(ok.sum()))]
-    model = Crf(names[best])
-    word, name = model.chosen(feats)
-    if len(word):
-        label = np.zeros(len(start), bool)
-        label[word] = toxic[row_of[word]] == 1
-        model_segments(model, first, used, word, name, label)
-    odds = np.concatenate([model.raw(whole(pa.array(texts[i : i + 500], pa.large_string())))[0] for i in range(0, len(texts), 500)])
-    a, c, y = 1.0, 0.0, toxic[used].astype(float)
-    x = odds[used]
-    # Calibration with the sample's classes weighted alike; Newton steps with a little ridge.
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    X = np.stack([np.clip(x, -15, 15), np.ones(len(x))], 1)
-    beta = np.array([a, c])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        g = X.T @ (share * (y - p)) - 0.01 * beta
-        H = (X * (share * p * (1 - p))[:, None]).T @ X + 0.01 * np.eye(2)
-        beta = beta + np.clip(np.linalg.solve(H, g), -2, 2)
-    model.scale, model.offset = float(max(beta[0], 0.0)), float(beta[1])
+        facts = np.stack([np.clip(odds, -15, 15), np.log1p(expected), np.ones(len(n))], 1)
+        return facts, marked, (start, end, offsets, data)
+
+
+class _Copies:
+    """Tells near copies of earlier texts: any of four smallest-shingle values in common."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def new(self, hashes: np.ndarray) -> bool:
+        own = runs(hashes, min(5, len(hashes)))
+        mins = {(k, int(mix(own + U(k)).min())) for k in range(1, 5)} if len(own) else set()
+        fresh = not mins & self.seen
+        self.seen |= mins
+        return fresh
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, its features, the words' bounds) for a few texts at a time."""
+    for i in range(0, len(texts), 200):
+        data, offsets = lowered(pa.array(texts[i : i + 200], pa.large_string()))
+        start, end, first = words(data, offsets, NOT_WORD)
+        yield i, features(data, start, end), first
+
+
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Crf:
+    """A fitted and calibrated model from sampled texts, their labels, and how many rows each stands for."""
+    copies, used = _Copies(), np.zeros(len(texts), bool)
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for i, feats, first in _pieces(texts):
+        for k, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            used[i + k] = copies.new(feats[0, lo:hi])
+            if used[i + k]:
+                held[toxic[i + k]].append(np.unique(feats[:, lo:hi]))
+    model = Crf(_choose(held[1], held[0]))
+    segments = _Segments()
+    for i, feats, first in _pieces(texts):
+        word, name = model.chosen(feats)
+        for k in np.flatnonzero(used[i : i + len(first) - 1]):
+            own = (word >= first[k]) & (word < first[k + 1])
+            segments.add(first[k + 1] - first[k], word[own] - first[k], name[own], bool(toxic[i + k]))
+    if len(model.names):
+        model.fit(*segments.arrays())
+    facts = np.concatenate([model.raw(whole(pa.array(texts[i : i + 200], pa.large_string())))[0] for i in range(0, len(texts), 200)])
+    model.beta = _calibrate(facts[used], toxic[used].astype(float), weight[used])
     return model
 
 
-def model_segments(model: Crf, first: np.ndarray, used: np.ndarray, word: np.ndarray, name: np.ndarray, label: np.ndarray) -> None:
-    """Cut the sampled texts into segments and fit the model to all with a chosen word and to some of the others."""
-    lo, hi = first[:-1][used], first[1:][used]
-    begins = np.concatenate([np.zeros(0, int), *[np.arange(a, b, SEGMENT) for a, b in zip(lo, hi, strict=True)]])
-    ends = np.concatenate([np.zeros(0, int), *[np.minimum(np.arange(a, b, SEGMENT) + SEGMENT, b) for a, b in zip(lo, hi, strict=True)]])
-    seg = np.searchsorted(begins, word, "right") - 1
-    inside = (seg >= 0) & (word < ends[np.maximum(seg, 0)])
-    word, name, seg = word[inside], name[inside], seg[inside]
-    marked = np.unique(seg)
-    calm = np.setdiff1d(np.arange(len(begins)), marked)
-    calm = calm[np.argsort(mix(calm.astype(np.uint64)))][:CALM_SEGMENTS]
-    chosen = np.concatenate([marked, np.sort(calm)])
-    index = np.full(len(begins), -1)
-    index[chosen] = np.arange(len(chosen))
-    y = np.zeros((len(chosen), SEGMENT), bool)
-    y[index[seg], word - begins[seg]] = label[word]
-    model.fit(ends[chosen] - begins[chosen], index[seg], word - begins[seg], name, y)
+def _choose(toxic: list[np.ndarray], calm: list[np.ndarray]) -> np.ndarray:
+    """The features that stand in toxic documents far more often than in others, beyond chance."""
+    n = max(1, len(toxic)), max(1, len(calm))
+    names, bad = np.unique(np.concatenate([np.zeros(0, np.uint64), *toxic]), return_counts=True)
+    common = bad >= MIN_DOCS
+    names, bad = names[common], bad[common]
+    good = np.zeros(len(names))
+    for own in calm:
+        at = np.searchsorted(names, own)
+        at[at == len(names)] = 0
+        if len(names):
+            good[at[names[at] == own]] += 1
+    odds = np.log((bad + 0.5) / (n[0] + 1)) - np.log((good + 0.5) / (n[1] + 1))
+    # Chance must not explain it: a Chernoff bound on the share of toxic documents among those with the feature,
+    # against the number of features looked at.
+    share, rate = np.clip(bad / (bad + good), 1e-9, 1 - 1e-9), n[0] / (n[0] + n[1])
+    surprise = (bad + good) * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+    ok = (names != 0) & (odds >= MIN_ODDS) & (surprise >= np.log(max(1, len(names))) + MARGIN)
+    best = np.argsort(-surprise * ok, kind="stable")[: min(MAX_FEATURES, int(ok.sum()))]
+    return names[best]
+
+
+class _Segments:
+    """Texts cut into segments: all with a chosen word, and some of the others."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, np.ndarray, np.ndarray, bool]] = []
+        self.calm: list[int] = []
+
+    def add(self, n: int, word: np.ndarray, name: np.ndarray, toxic: bool) -> None:
+        for lo in range(0, int(n), SEGMENT):
+            length = min(SEGMENT, int(n) - lo)
+            own = slice(*np.searchsorted(word, (lo, lo + SEGMENT)))
+            if own.start < own.stop:
+                self.rows.append((length, word[own] - lo, name[own], toxic))
+            elif len(self.calm) < CALM_SEGMENTS:
+                self.calm.append(length)
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        lengths = np.array([r[0] for r in self.rows] + self.calm)
+        row = np.repeat(np.arange(len(self.rows)), [len(r[1]) for r in self.rows])
+        word = np.concatenate([np.zeros(0, int), *[r[1] for r in self.rows]])
+        name = np.concatenate([np.zeros(0, int), *[r[2] for r in self.rows]])
+        label = np.zeros((len(lengths), SEGMENT), bool)
+        label[row, word] = np.array([r[3] for r in self.rows])[row]
+        return lengths, row, word, name, label
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps with a little ridge; neither fact may lower the score."""
+    weight = weight / weight.mean()
+    beta = np.array([1.0, 0.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        g = x.T @ (weight * (y - p)) - 0.05 * beta
+        H = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        beta = beta + np.clip(np.linalg.solve(H, g), -1, 1)
+        beta[:2] = np.maximum(beta[:2], 0.0)
+    return beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf | float:
@@ -310,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col:
     y = got["y"].to_numpy()
     if not 0 < y.sum() < len(y):
         return float(y.sum() > 0)
-    return train(got["text"].tolist(), y)
+    weight = np.where(y == 1, n[1] / (y == 1).sum(), n[0] / (y == 0).sum())
+    return train(got["text"].tolist(), y, weight)
 
 
 SPANS = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("probability", T.DoubleType()))
@@ -334,8 +377,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Crf | float) -> Iterator[pa
             if isinstance(model, float):
                 scores = np.full(piece.num_rows, model)
             else:
-                odds, marked, (start, end, offsets, data) = model.raw(piece.column("_text"))
-                scores = model.scores(odds)
+                facts, marked, (start, end, offsets, data) = model.raw(piece.column("_text"))
+                scores = model.scores(facts)
                 for r, at, marg in marked:
                     for w, p in zip(at[marg >= 0.5], marg[marg >= 0.5], strict=True):
                         head = data[offsets[r] : end[w]]

@@ -150,11 +150,11 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
 
 
 def test_toxicity_held_out(spark):
-    sf = SF.replace("sf0.001", "sf0.01")
+    sf = SF.replace("sf0.001", "sf0.1")
     got = QUERIES[name(3)](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
     assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    assert sum(r["predicted"] for r in clean) <= 0.002 * len(clean)
     assert all(r["spans"] for r in toxic if r["predicted"])
 
 
