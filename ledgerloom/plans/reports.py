@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.constants import APROBADO, DUPLICATE, DUPLICATE_DB, PENDIENTE, RECHAZADO, SKIPPED, SUCCESS
 from ledgerloom.functions.meta import display_status, effective_status, result_label
 from ledgerloom.functions.numbers import js_number
+from ledgerloom.operators.paging import newest_first
 
 MAX_AUDIT_ROWS = 500
 DEFAULT_REPORT_ROWS = 2000
@@ -201,13 +202,8 @@ def process_report(
 def list_jobs(runs: DataFrame, page: int = 1, page_size: int | None = None, **filters: str) -> DataFrame:
     """C-08/W-06/L-01: newest first."""
     size = clamp(page_size, DEFAULT_PAGE, 1, MAX_PAGE)
-    return (
-        filter_runs(runs, **filters)
-        .orderBy(F.col("created_at").desc(), "job_id")
-        .offset((max(page, 1) - 1) * size)
-        .limit(size)
-        .withColumn("display_status", display_status(F.col("status"), F.col("meta.validation.status")))
-    )
+    found = newest_first(filter_runs(runs, **filters), (max(page, 1) - 1) * size, size)
+    return found.withColumn("display_status", display_status(F.col("status"), F.col("meta.validation.status")))
 
 
 def page_info(runs: DataFrame, page: int = 1, page_size: int | None = None, **filters: str) -> DataFrame:

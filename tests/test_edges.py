@@ -11,6 +11,7 @@ from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
 from ledgerloom.functions.numbers import parse_number, round_base, to_fixed2
 from ledgerloom.operators import fx
 from ledgerloom.operators.dedup import mark_duplicates
+from ledgerloom.operators.paging import newest_first
 from ledgerloom.plans.maintenance import detach
 from ledgerloom.plans.validate import total_amount
 from ledgerloom.session import new_path
@@ -104,3 +105,14 @@ def test_expenses_without_a_run_stay(spark):
     expenses = spark.createDataFrame([(i, None if i % 10 else f"j{i}") for i in range(100)], "id int, job_id string")
     out = detach(expenses, spark.createDataFrame([("j0",), ("j50",)], "job_id string"))
     assert out.count() == 100 and out.where("job_id is not null").count() == 8
+
+
+def test_deep_pages(spark):
+    rows = spark.range(3000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("job_id"),
+        F.when(F.col("id") % 50 != 0, F.timestamp_micros(F.lit(978307200000000) + F.when(F.col("id") < 1500, F.floor(F.col("id") / 7) * 40_000_000).otherwise(F.lit(5)))).alias("created_at"),
+    )
+    want = [tuple(r) for r in rows.orderBy(F.col("created_at").desc(), "job_id").collect()]
+    for offset in (0, 10, 700, 1500, 2500, 2935, 2950, 2990, 5000):
+        got = [tuple(r) for r in newest_first(rows, offset, 20, shallow=5).collect()]
+        assert got == want[offset : offset + 20], offset
