@@ -577,7 +577,8 @@ old AS (SELECT *, CASE WHEN old_days < 30 THEN 0 WHEN old_days < 60 THEN 1 ELSE
     WHEN 6 THEN 'limites_por_categoria.food.aprobado_hasta must be a positive number'
     WHEN 7 THEN 'reglas_centro_costo.categoria_prohibida must be a string; property nota should not exist'
     WHEN 8 THEN 'property politicas should not exist; moneda_base must be a string; {lacking}; {ages}'
-    ELSE '' END AS errors, count(*) AS documents FROM docs0 WHERE kind NOT IN (3, 9) GROUP BY 1, 2""",
+    WHEN 3 THEN 'moneda_base must be a string; {lacking}; {ages}' WHEN 9 THEN 'moneda_base must be a string; {lacking}; {ages}'
+    ELSE '' END AS errors, count(*) AS documents FROM docs0 GROUP BY 1, 2""",
     )
     q["policy_resolution"] = _with(
         DOCUMENTS,
