@@ -33,7 +33,7 @@ from ledgerloom.llm.text import C1, U, longs, slices, whole
 
 DEPTH = 5
 TOP = 3  # contexts that share so many bytes are evaluated together
-AT_ONCE = 200_000  # runs a task evaluates at a time, or one group of contexts
+AT_ONCE = 100_000  # runs a task evaluates at a time, or one group of contexts
 HEAD_RUNS = 1 << 20
 HEAD_WORDS = 1 << 18
 FLUSH = 2_000_000  # distinct runs or words a task holds before it passes them on

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 LONG_WORD = 256  # words of more bytes are hashed one by one
 
 U = np.uint64
