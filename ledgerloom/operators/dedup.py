@@ -47,22 +47,23 @@ def mark_duplicates(
         groups = groups.join(seen.select(*KEYS).distinct().withColumn("_seen", F.lit(True)), KEYS, "left")
     else:
         groups = groups.withColumn("_seen", F.lit(None).cast("boolean"))
+    # a common fingerprint stands in most processes: what is known of it is found once per fingerprint
+    turn = F.struct("process_seq", "process_id")
+    storable = (F.col("_first") % 2 == 1) & F.col("_seen").isNull() & F.lit(in_sequence)
+    facts = groups.groupBy("fingerprint").agg(
+        F.count("*").alias("_prints"), F.min(F.when(storable, turn)).alias("_first_process")
+    )
     if persisted is not None:
         stored = persisted.select("fingerprint").distinct().withColumn("_stored", F.lit(True))
-        groups = groups.join(stored, "fingerprint", "left")
+        facts = facts.join(stored, "fingerprint", "left")
     else:
-        groups = groups.withColumn("_stored", F.lit(None).cast("boolean"))
-    if in_sequence:
-        storable = (F.col("_first") % 2 == 1) & F.col("_seen").isNull()
-        turn = F.struct("process_seq", "process_id")
-        facts = groups.groupBy("fingerprint").agg(
-            F.count("*").alias("_prints"), F.min(F.when(storable, turn)).alias("_first_process")
-        )
-        # a common fingerprint stands in most processes: hot ones get keys of their own
+        facts = facts.withColumn("_stored", F.lit(None).cast("boolean"))
+    if in_sequence or persisted is not None:
         spread = F.abs(F.xxhash64(*KEYS) % (1 << 40)) + 1
         groups = group_join(groups, facts, ["fingerprint"], "_prints", spread, hot_rows)
         earlier = F.coalesce(F.col("_first_process") < turn, F.lit(False))
     else:
+        groups = groups.withColumn("_stored", F.lit(None).cast("boolean"))
         earlier = F.lit(False)
     verdicts = groups.select(
         *KEYS,
