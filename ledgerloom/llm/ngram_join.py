@@ -13,12 +13,14 @@ Exact at any threshold ``num / den``, in four steps.
 3. *Join.* A component's sets are cut into blocks of bounded size. A block's sets go into one prefix tree, ordered by how many
    of the block's sets hold a shingle; the tree is walked once for all sets together, partial overlaps
    are shared along a path, and a branch is left by every set that cannot reach the threshold with what remains.
-4. *Close.* Blocks of one component are first joined through one representative of each linked part. What is then still apart is compared
+4. *Close.* Blocks of one component are first joined through one representative of each linked part. What is then still apart is
+   gathered anew by its rarest shingles (prefixes in the order of document frequency), and compared
    in full, block against block, skipping blocks that are one linked part already.
 
 Words are runs of non-whitespace (ASCII) with A-Z lower-cased; fewer words than ``n`` are one shingle;
 without words the set is empty and links with nothing. Null ids get their own component (null) and link
-with nothing. Rows that repeat an id are merged into one document by their smallest set digest.
+with nothing. Rows that repeat an id are one document and should repeat its text; where they don't, one of the
+texts stands for the id in comparisons, and ``n_shingles`` is the smallest.
 """
 
 from __future__ import annotations
@@ -259,7 +261,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     blocked = stage(_in_blocks(ids, "part"), "ngram-blocks")
     links = [compare(blocked, "part", "block")]
-    links += _close(blocked, links[0], compare)
+    links += _close(blocked, links[0], compare, own, num, den)
     found = components(reduce(DataFrame.union, links).select("a", "b"))
     merged = copies.join(found, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("root", "first").alias("component"))
     sizes = seen.groupBy("doc").agg(F.min("n").alias("n_shingles"))
@@ -267,7 +269,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return sizes.join(merged, F.col("doc") == F.col("_doc"), "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
-def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFrame]) -> list[DataFrame]:
+def _rare_ties(docs: DataFrame, own: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties (a, b) between documents whose prefixes meet, in the order of rising document frequency.
+
+    Linked sets share one of the first ``n - ceil(n num / den) + 1`` shingles of any common order. With
+    the rare ones first, a prefix holds what few other documents have; shingles of one document alone tie nothing.
+    """
+    tokens = docs.join(own, "doc").select("doc", "n", F.explode("own").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = tokens.join(stage(shared, "ngram-shared"), "token").groupBy("doc", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("held"))
+    first = F.slice(F.array_sort("held"), F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
+    keys = stage(held.select("doc", F.explode(first["token"]).alias("key")), "ngram-prefixes")
+    return keys.repartition(partitions(keys.count(), PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
+
+
+def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFrame], own: DataFrame, num: int, den: int) -> list[DataFrame]:
     """Links between blocks of one component: through representatives first, then all that is left apart."""
     large = blocked.groupBy("part").agg(F.max("block").alias("last")).where("last > 0").select("part")
     large = stage(large, "ngram-large")
@@ -295,6 +312,14 @@ def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFram
         before = after
     apart = now.groupBy("part").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo < hi").select("part")
     now = stage(now.join(stage(apart, "ngram-apart"), "part"), "ngram-apart-rows")
+    if now.isEmpty():
+        return more
+    # Documents that share only common passages part here: the new components hold near copies.
+    tight = components(_rare_ties(now.select("doc", "n"), own, num, den))
+    now = now.drop("part").join(tight.select(F.col("node").alias("doc"), F.col("root").alias("part")), "doc")
+    now = stage(now.select("part", "doc", "n", "sub"), "ngram-tight")
+    apart = now.groupBy("part").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo < hi").select("part")
+    now = stage(now.join(stage(apart, "ngram-apart"), "part"), "ngram-apart-rows")
     if now.isEmpty():
         return more
     # Large linked parts have blocks of their own, small ones share some; two blocks of one part need no look.
