@@ -33,10 +33,10 @@ from ledgerloom.llm.text import C1, U, longs, slices, whole
 
 DEPTH = 5
 TOP = 3  # contexts that share so many bytes are evaluated together
-AT_ONCE = 100_000  # runs a task evaluates at a time, or one group of contexts
+AT_ONCE = 50_000  # runs a task evaluates at a time, or one group of contexts
 HEAD_RUNS = 1 << 20
 HEAD_WORDS = 1 << 18
-FLUSH = 2_000_000  # distinct runs or words a task holds before it passes them on
+FLUSH_RUNS, FLUSH_WORDS = 800_000, 150_000  # distinct ones that a task holds before it passes them on
 LOG10 = math.log(10)
 
 
@@ -108,9 +108,9 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs, first = byte_runs(piece.column("text"))
             train = np.repeat(piece.column("train").to_numpy(zero_copy_only=False), np.diff(first)).astype(np.uint64)
             held.append(_tally((runs << U(1)) | train))
-            if sum(len(k) for k, _ in held) > FLUSH:
+            if sum(len(k) for k, _ in held) > FLUSH_RUNS:
                 held = [merged()]
-                if len(held[0][0]) > FLUSH // 2:
+                if len(held[0][0]) > FLUSH_RUNS // 2:
                     yield out()
                     held = []
     if held:
@@ -131,7 +131,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, known in zip(whole(batch.column("text")), batch.column("train").to_pylist(), strict=True):
             (train if known else seen).update(text.as_buffer().to_pybytes().lower().split())
-        if len(seen) + len(train) > FLUSH // 4:
+        if len(seen) + len(train) > FLUSH_WORDS:
             yield out()
             seen.clear()
             train.clear()
@@ -354,7 +354,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     counted = rows.mapInArrow(_count_runs, "run long, n long, seen long")
     counted = stage(counted.groupBy("run").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "ctw-runs")
-    many = partitions(counted.count(), AT_ONCE)
+    many = partitions(counted.count(), 2 * AT_ONCE)
     group = F.shiftright("run", 8).bitwiseAND((1 << (8 * TOP)) - 1)
     schema = "run long, p array<float>, two int, node int, zeros double, ones double, weighted double"
     levels = stage(counted.select("run", "n", group.alias("top")).repartition(many, "top").select("run", "n").mapInArrow(_evaluate, schema), "ctw-levels")

@@ -12,7 +12,13 @@ __all__ = ["fold", "partitions", "read", "stage", "without"]
 FEW_IDS = 1 << 20  # ids up to this many (8 bytes each) are sent to every task
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A sample table. Rows go to Python workers a thousand at a time unless the session says otherwise: texts are long."""
+    if ROWS_PER_BATCH not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(ROWS_PER_BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
