@@ -9,12 +9,12 @@ Exact at any threshold ``num / den``, in four steps.
    are almost always near copies, and a passage shared by many documents does not gather them.
    A set with no more than ``d`` non-empty ranges also routes its empty ones.
 2. *Gather.* Documents of one group are tied to its smallest id; connected components of these ties
-   hold every link. Only members of components of two or more go on, one per distinct set.
+   hold every link. Only members of components of two or more go on, one per distinct set. Components above a block, which
+   common passages may chain together, are gathered anew by their rarest shingles (prefixes in the order of document frequency).
 3. *Join.* A component's sets are cut into blocks of bounded size. A block's sets go into one prefix tree, ordered by how many
    of the block's sets hold a shingle; the tree is walked once for all sets together, partial overlaps
    are shared along a path, and a branch is left by every set that cannot reach the threshold with what remains.
-4. *Close.* Blocks of one component are first joined through one representative of each linked part. What is then still apart is
-   gathered anew by its rarest shingles (prefixes in the order of document frequency), and compared
+4. *Close.* Blocks of one component are first joined through one representative of each linked part. What is then still apart is compared
    in full, block against block, skipping blocks that are one linked part already.
 
 Words are runs of non-whitespace (ASCII) with A-Z lower-cased; fewer words than ``n`` are one shingle;
@@ -259,9 +259,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = with_sets.groupBy(*keys).applyInArrow(lambda key, t: _join_block(key, t, num, den), "part long, a long, b long")
         return stage(found.where("a <> b"), "ngram-links")
 
+    # Common passages chain documents into large components: those are gathered anew by their rarest shingles.
+    chained = stage(ids.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("part"), "ngram-chained")
+    if not chained.isEmpty():
+        large = stage(ids.join(chained, "part"), "ngram-large-parts")
+        tight = components(_rare_ties(large.select("doc", "n"), own, num, den))
+        large = large.drop("part").join(tight.select(F.col("node").alias("doc"), F.col("root").alias("part")), "doc")
+        ids = stage(ids.join(chained, "part", "left_anti").unionByName(large.select(*ids.columns)), "ngram-parts")
     blocked = stage(_in_blocks(ids, "part"), "ngram-blocks")
     links = [compare(blocked, "part", "block")]
-    links += _close(blocked, links[0], compare, own, num, den)
+    links += _close(blocked, links[0], compare)
     found = components(reduce(DataFrame.union, links).select("a", "b"))
     merged = copies.join(found, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("root", "first").alias("component"))
     sizes = seen.groupBy("doc").agg(F.min("n").alias("n_shingles"))
@@ -284,7 +291,7 @@ def _rare_ties(docs: DataFrame, own: DataFrame, num: int, den: int) -> DataFrame
     return keys.repartition(partitions(keys.count(), PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
 
 
-def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFrame], own: DataFrame, num: int, den: int) -> list[DataFrame]:
+def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFrame]) -> list[DataFrame]:
     """Links between blocks of one component: through representatives first, then all that is left apart."""
     large = blocked.groupBy("part").agg(F.max("block").alias("last")).where("last > 0").select("part")
     large = stage(large, "ngram-large")
@@ -312,14 +319,6 @@ def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFram
         before = after
     apart = now.groupBy("part").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo < hi").select("part")
     now = stage(now.join(stage(apart, "ngram-apart"), "part"), "ngram-apart-rows")
-    if now.isEmpty():
-        return more
-    # Documents that share only common passages part here: the new components hold near copies.
-    tight = components(_rare_ties(now.select("doc", "n"), own, num, den))
-    now = now.drop("part").join(tight.select(F.col("node").alias("doc"), F.col("root").alias("part")), "doc")
-    now = stage(now.select("part", "doc", "n", "sub"), "ngram-tight")
-    apart = now.groupBy("part").agg(F.min("sub").alias("lo"), F.max("sub").alias("hi")).where("lo < hi").select("part")
-    now = stage(now.join(stage(apart, "ngram-apart"), "part"), "ngram-apart-rows")
     if now.isEmpty():
         return more
     # Large linked parts have blocks of their own, small ones share some; two blocks of one part need no look.
