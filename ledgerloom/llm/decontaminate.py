@@ -2,11 +2,12 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters with A-Z lower-cased. Every
 run of ``SEED`` words of a test item is a seed (an item with fewer words is one seed). One scan counts in how many documents each
-seed stands; an item keeps its rare seeds: those in at most a share ``RARE`` of the documents, or not much more frequent than its
-median seed, so a much copied item keeps seeds too. A second scan finds the kept seeds, puts hits on near diagonals of one item
+seed stands; an item's rare seeds are those in at most a share ``RARE`` of the documents, or not much more frequent than the
+median of its seeds that occur. A second scan finds all seeds, puts hits on near diagonals of one item
 together, and aligns the passage around them with the item word by word: +2 for a match, -1 for
-a substitution, insertion or deletion. ``score`` is the best alignment over the best possible one. Both
-scans read whole texts and move only counts.
+a substitution, insertion or deletion. A passage with frequent seeds only is aligned if it holds as many of the item's words as
+``MIN_SCORE`` needs at least, so a much copied or much edited item is found too. ``score`` is the best alignment over the best
+possible one. Both scans read whole texts and move only counts.
 
 Items are the query set: they are taken in blocks of bounded size, each sent to all tasks. Items that
 are null, without words or repeated: the first two match nothing, repeated ids are all tried. Null or empty
@@ -88,23 +89,22 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seed, self.item, self.at = seeds[order], np.array(item, np.int64)[order], np.array(at, np.int64)[order]
         self.lengths = sorted({min(SEED, len(w)) for w in self.words} - {0})
-        self._index()
-
-    def _index(self) -> None:
+        self.rare = np.ones(len(self.seed), bool)
         self.distinct, self.begin = np.unique(self.seed, return_index=True)
         self.begin = np.append(self.begin, len(self.seed))
         self.screen = np.zeros(1 << 16, bool)
         self.screen[(self.distinct >> U(48)).astype(np.int64)] = True
 
-    def keep_rare(self, df: np.ndarray, docs: int) -> None:
+    def mark_rare(self, df: np.ndarray, docs: int) -> None:
         """``df``: documents per distinct seed."""
         own = df[np.searchsorted(self.distinct, self.seed)]
-        order = np.lexsort((own, self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
-        middle = (np.cumsum(size) - size + np.maximum(size - 1, 0) // 2)[self.item]
-        keep = own <= np.maximum(RARE * docs, TIMES_MEDIAN * own[order[middle]])
-        self.seed, self.item, self.at = self.seed[keep], self.item[keep], self.at[keep]
-        self._index()
+        seen = np.flatnonzero(own)
+        order = seen[np.lexsort((own[seen], self.item[seen]))]
+        size = np.bincount(self.item[seen], minlength=len(self.ids))
+        middle = np.cumsum(size) - size + np.maximum(size - 1, 0) // 2
+        median = np.zeros(len(self.ids), np.int64)
+        median[size > 0] = own[order[middle[size > 0]]]
+        self.rare = own <= np.maximum(RARE * docs, TIMES_MEDIAN * median[self.item])
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, word, distinct seed) of the seeds in a piece, by row and word."""
@@ -150,22 +150,23 @@ def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
 
 def _matches(hashes: np.ndarray, lo: int, hi: int, word: np.ndarray, at: np.ndarray, items: Items) -> list[dict]:
     """One document's items: hits, their diagonals, and the alignment around each."""
-    spots: dict[int, list[int]] = {}
+    spots: dict[int, list[tuple[int, bool]]] = {}
     for w, s in zip(word.tolist(), at.tolist(), strict=True):
         for k in range(items.begin[s], items.begin[s + 1]):
-            spots.setdefault(int(items.item[k]), []).append(w - int(items.at[k]))
+            spots.setdefault(int(items.item[k]), []).append((w - int(items.at[k]), bool(items.rare[k])))
     out = []
-    for i, diagonals in spots.items():
+    for i, found in spots.items():
         own = items.words[i]
-        diagonals.sort()
+        found.sort()
         best = (0, -1, -1)
         begin = 0
-        for k in range(1, len(diagonals) + 1):
-            if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > len(own):
-                left = max(lo, diagonals[begin] - len(own))
-                right = min(hi, diagonals[k - 1] + 2 * len(own))
-                score, a, b = align(hashes[left:right], own)
-                best = max(best, (score, left + a - lo, left + b - lo), key=lambda x: x[0])
+        for k in range(1, len(found) + 1):
+            if k == len(found) or found[k][0] - found[k - 1][0] > len(own):
+                left = max(lo, found[begin][0] - len(own))
+                right = min(hi, found[k - 1][0] + 2 * len(own))
+                if any(rare for _, rare in found[begin:k]) or np.isin(own, hashes[left:right]).sum() / len(own) >= MIN_SCORE:
+                    score, a, b = align(hashes[left:right], own)
+                    best = max(best, (score, left + a - lo, left + b - lo), key=lambda x: x[0])
                 begin = k
         score = best[0] / (2 * len(own))
         if score >= MIN_SCORE:
@@ -218,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 total = r["n"]
             else:
                 df[r["seed"]] = r["n"]
-        block.keep_rare(df, total)
+        block.mark_rare(df, total)
         second = Shared(spark, block)
         rows = out.withColumn("_text", F.col(at).cast("string"))
         kind = T.StructType([f for f in rows.schema.fields if f.name != "_text"]).add("_found", MATCHES)

@@ -327,6 +327,30 @@ def test_decontamination(spark, odd_docs):
     assert decontaminate.matched_pairs(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_docs, copies", [(200, 2), (200, 40), (3000, 30)])
+@pytest.mark.parametrize("exact", [0, 1])
+def test_decontamination_finds_frequent_edited_copies(spark, n_docs, copies, exact):
+    pick = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    items = [(i, " ".join(pick.choices(vocabulary, k=30))) for i in range(3)]
+    edited = items[1][1].split()
+    for k in range(0, 30, 5):
+        edited[k] = "changed"
+    del edited[13]
+    rows = []
+    for d in range(n_docs):
+        own = pick.choices(vocabulary, k=40)
+        if d < copies:
+            own[20:20] = edited
+        elif d < copies + exact:
+            own[20:20] = items[1][1].split()
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matched_pairs(docs, bench).collect()}
+    assert got == {(d, 1) for d in range(copies + exact)}
+
+
 def test_alignment():
     import numpy as np
 
