@@ -7,7 +7,8 @@ median of its seeds that occur. A second scan finds all seeds, puts hits on near
 together, and aligns the passage around them with the item word by word: +2 for a match, -1 for
 a substitution, insertion or deletion. A passage with frequent seeds only is aligned if it holds as many of the item's words as
 ``MIN_SCORE`` needs at least, so a much copied or much edited item is found too. ``score`` is the best alignment over the best
-possible one. Both scans read whole texts and move only counts.
+possible one; a text matches from ``MIN_SCORE`` on, or if it holds ``MIN_RUN`` words of an item in a row, however long the
+item (``score`` and place are then those of the best alignment near such a run). Both scans read whole texts and move only counts.
 
 Items are the query set: they are taken in blocks of bounded size, each sent to all tasks. Items that
 are null, without words or repeated: the first two match nothing, repeated ids are all tried. Null or empty
@@ -17,6 +18,7 @@ documents match nothing. All columns of the documents are kept; a column named `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ SEED = 3
 RARE = 0.001  # share of the documents up to which a seed is rare
 TIMES_MEDIAN = 4
 MIN_SCORE = 0.55
+MIN_RUN = 13  # words of an item in a row that match without that score
 BLOCK_BYTES = 8 << 20  # text of the items sent at once
 
 NOT_WORD = np.ones(256, bool)
@@ -148,12 +151,21 @@ def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(n)], ["seed", "n"])
 
 
+def longest(hits: list[tuple[int, int, bool]]) -> int:
+    """The most hits in a row: on one diagonal at successive words. Hits are sorted."""
+    most = run = 1
+    for (d0, w0, _), (d1, w1, _) in pairwise(hits):
+        run = run + 1 if d0 == d1 and w1 == w0 + 1 else 1
+        most = max(most, run)
+    return most
+
+
 def _matches(hashes: np.ndarray, lo: int, hi: int, word: np.ndarray, at: np.ndarray, items: Items) -> list[dict]:
     """One document's items: hits, their diagonals, and the alignment around each."""
-    spots: dict[int, list[tuple[int, bool]]] = {}
+    spots: dict[int, list[tuple[int, int, bool]]] = {}
     for w, s in zip(word.tolist(), at.tolist(), strict=True):
         for k in range(items.begin[s], items.begin[s + 1]):
-            spots.setdefault(int(items.item[k]), []).append((w - int(items.at[k]), bool(items.rare[k])))
+            spots.setdefault(int(items.item[k]), []).append((w - int(items.at[k]), w, bool(items.rare[k])))
     out = []
     for i, found in spots.items():
         own = items.words[i]
@@ -162,14 +174,17 @@ def _matches(hashes: np.ndarray, lo: int, hi: int, word: np.ndarray, at: np.ndar
         begin = 0
         for k in range(1, len(found) + 1):
             if k == len(found) or found[k][0] - found[k - 1][0] > len(own):
-                left = max(lo, found[begin][0] - len(own))
-                right = min(hi, found[k - 1][0] + 2 * len(own))
-                if any(rare for _, rare in found[begin:k]) or np.isin(own, hashes[left:right]).sum() / len(own) >= MIN_SCORE:
+                near = found[begin:k]
+                left = max(lo, near[0][0] - len(own))
+                right = min(hi, near[-1][0] + 2 * len(own))
+                long = longest(near) + SEED - 1 >= MIN_RUN
+                if long or any(rare for *_, rare in near) or np.isin(own, hashes[left:right]).sum() / len(own) >= MIN_SCORE:
                     score, a, b = align(hashes[left:right], own)
-                    best = max(best, (score, left + a - lo, left + b - lo), key=lambda x: x[0])
+                    if long or score / (2 * len(own)) >= MIN_SCORE:
+                        best = max(best, (score, left + a - lo, left + b - lo), key=lambda x: x[0])
                 begin = k
-        score = best[0] / (2 * len(own))
-        if score >= MIN_SCORE:
+        if best[0]:
+            score = best[0] / (2 * len(own))
             held = np.isin(own, hashes[lo + best[1] : lo + best[2] + 1]).sum()
             out.append({"item_id": items.ids[i], "score": score, "matched": int(held), "first_word": best[1], "last_word": best[2]})
     return sorted(out, key=lambda m: m["item_id"])

@@ -351,6 +351,23 @@ def test_decontamination_finds_frequent_edited_copies(spark, n_docs, copies, exa
     assert got == {(d, 1) for d in range(copies + exact)}
 
 
+def test_decontamination_finds_long_passages_of_longer_items(spark):
+    pick = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    items = [(n, " ".join(pick.sample(vocabulary, k=n))) for n in (59, 400)]
+    rows, want = [], set()
+    for d, (n, held) in enumerate([(59, 30), (59, 13), (59, 12), (400, 200), (400, 13), (400, 12)]):
+        own = pick.choices(vocabulary, k=100)
+        own[50:50] = items[n == 400][1].split()[7 : 7 + held]
+        rows.append((d, " ".join(own)))
+        if held >= 13:
+            want.add((d, n, held))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.matched_pairs(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got} == want
+    assert all((r["first_word"], r["last_word"]) == (50, 49 + r["matched"]) and r["score"] < 0.55 for r in got)
+
+
 def test_alignment():
     import numpy as np
 
