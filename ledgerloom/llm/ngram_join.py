@@ -68,7 +68,8 @@ def routes(own: np.ndarray, num: int, den: int) -> np.ndarray:
     if not m:
         return np.zeros(0, np.uint64)
     out = []
-    for cls in {int(size_class(np.array([s]))[0]) for s in (m, m * den // num)}:
+    low, high = size_class(np.array([m, m * den // num])).tolist()
+    for cls in range(low, high + 1):  # a linked set that is larger has one of these classes
         d, n = class_ranges(cls, num, den)
         at = ((own >> U(32)) * U(n)) >> U(32)
         begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))

@@ -149,6 +149,17 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
         assert got == brute.jaccard(rows, n, num, den)
 
 
+def test_jaccard_at_low_thresholds(spark):
+    rows = []
+    for g in range(60):  # word counts that put sets of linked sizes in size classes apart
+        words = [f"g{g}w{i}" for i in range(10 + g % 9)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, *(f"g{g}x{i}" for i in range(4 + g % 5))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den in ((1, 2), (1, 3)):
+        got = {r[0]: tuple(r)[1:] for r in ngram_join.ngram_components(df, n=1, num=num, den=den).collect()}
+        assert got == brute.jaccard(rows, 1, num, den)
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     got = QUERIES[name(3)](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
