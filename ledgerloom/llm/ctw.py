@@ -314,13 +314,13 @@ def _score(batches: Iterator[pa.RecordBatch], head: Head, known: dict[bytes, int
             lists = np.concatenate(([0], np.cumsum([len(t) for t in tails])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("doc"), piece.column("train"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
+                    piece.column("doc"), piece.column("train"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(np.diff(first) - 1),
                     pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array([w for t in tails for w, _ in t], pa.binary())),
                     pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array([m for t in tails for _, m in t], pa.int64())),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest[new].astype(np.int64))),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times.astype(np.int64))),
                 ],
-                ["doc", "train", "n_tokens", "n_known", "base", "score", "words", "word_n", "runs", "run_n"],
+                ["doc", "train", "n_tokens", "n_known", "base", "score", "n_bytes", "words", "word_n", "runs", "run_n"],
             )
 
 
@@ -337,8 +337,9 @@ def _head(table: DataFrame, limit: int) -> tuple[Column, int]:
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte), one row per document.
 
+    ``bits_per_byte`` is the code length of text and end symbol over the text's bytes; 0 for an empty text.
     ``train`` tells which documents the model learns from.
     """
     spark = docs.sparkSession
@@ -368,7 +369,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     head = Head(top.column("run").to_numpy().astype(np.uint64), top.column("lp").to_numpy(), top.column("seen").to_numpy())
     shared = Shared(spark, (head, known))
 
-    schema = "doc {0}, train boolean, n_tokens long, n_known long, base double, score double, words array<binary>, word_n array<long>, runs array<long>, run_n array<long>"
+    schema = "doc {0}, train boolean, n_tokens long, n_known long, base double, score double, n_bytes long, words array<binary>, word_n array<long>, runs array<long>, run_n array<long>"
     schema = schema.format(rows.schema["doc"].dataType.simpleString())
     done = rows.mapInArrow(lambda it: _score(it, *shared.value, total, distinct, ends), schema).withColumn("row", F.monotonically_increasing_id())
     done = stage(done, "ctw-scored")
@@ -382,8 +383,11 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     rest = rest.join(table.select("run", "lp"), "run").groupBy("row").agg(F.sum(F.col("m") * F.col("lp")).alias("score2"))
     out = done.drop("words", "word_n", "runs", "run_n").join(tail, "row", "left").join(rest, "row", "left")
     zero = F.lit(0.0)
+    score = F.col("score") + F.coalesce("score2", zero)
+    bits = F.when(F.col("n_bytes") > 0, -score * math.log2(10) / F.col("n_bytes")).otherwise(zero)
     return out.select(
         F.col("doc").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), (F.col("score") + F.coalesce("score2", zero)).alias("score"),
+        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), score.alias("score"),
+        "n_bytes", bits.alias("bits_per_byte"),
     )

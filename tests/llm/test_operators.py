@@ -234,6 +234,17 @@ def test_ctw_equals_definition(spark, monkeypatch, heads):
     assert ctw.score_documents(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ctw_code_length(spark):
+    rows = [(0, "abracadabra"), (1, None), (2, ""), (3, "cadaver ábra")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ctw.score_documents(df, F.col("doc_id") == 0).collect()}
+    assert {d: r["n_bytes"] for d, r in got.items()} == {0: 11, 1: 0, 2: 0, 3: 13}
+    assert got[1]["bits_per_byte"] == got[2]["bits_per_byte"] == 0.0
+    for d in (0, 3):
+        bits = -brute.ctw([b"abracadabra"], rows[d][1].encode(), ctw.DEPTH) * math.log2(10)
+        assert math.isclose(got[d]["bits_per_byte"], bits / got[d]["n_bytes"], rel_tol=1e-5)
+
+
 def test_licence_scan(spark, odd_docs):
     got = {r["doc_id"]: r for r in QUERIES[name(5)](spark, SF).collect()}
     rows = sample(spark, "documents", "doc_id", "text")
