@@ -1,4 +1,4 @@
-"""SQL (DuckDB) for the operators that SQL can express: 1, 2, 6, 7, 8 and 9.
+"""SQL (DuckDB) for the operators that SQL can express: 1, 2, 6, 7, 8, 9, 11 and 13.
 
 The others are models or searches; tests/llm holds them against plain versions.
 """
@@ -121,6 +121,25 @@ SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (b.repeats + CASE WH
 FROM sized d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN more m ON m.source IS NOT DISTINCT FROM d.source AND m.hash = d.hash
 """
 
+OP11 = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+),
+positive AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM positive p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op2_embedding_near_dedup": OP2,
@@ -128,4 +147,5 @@ SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": OP7,
     "op8_warc": OP8,
     "op9_mix_sources": OP9,
+    "op11_hard_negatives": OP11,
 }

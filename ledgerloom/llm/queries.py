@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ctw, decontaminate, embedding_dedup, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc
+from ledgerloom.llm import (
+    ctw, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc,
+)
 from ledgerloom.llm.tables import fold, read
 
 
@@ -61,10 +63,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matched_pairs(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_embedding_near_dedup, op3_toxicity, op4_context_tree_weighting, op5_license_scan,
         op6_url_filter, op7_ngram_jaccard_join, op8_warc, op9_mix_sources, op10_decontaminate,
+        op11_hard_negatives,
     )
 }

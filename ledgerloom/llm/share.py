@@ -19,6 +19,10 @@ class Shared:
     def __getstate__(self) -> dict:
         return {"_sent": self._sent, "_value": []}
 
+    def close(self) -> None:
+        """Frees it everywhere; what was computed with it has been written before."""
+        self._sent.destroy()
+
     @property
     def value(self) -> Any:
         if not self._value:

@@ -188,3 +188,23 @@ def targets(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
         if not over:
             return target
         full |= over
+
+
+def hard_negatives(rows, positives=5, negatives=10, low=30, high=90, scale=256) -> set[tuple]:
+    """rows: (id, label, vector, is_anchor)."""
+    ok = {}
+    for i, y, v, a in rows:
+        if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            ok[i, y, tuple(min(max(math.floor(float(np.float64(scale) * x)), -(1 << 63)), (1 << 63) - 1024) if abs(x) < 1e300 else int(math.copysign((1 << 63) - 1024, x)) for x in v)] = a
+    chosen: dict = {}
+    for (i, y, v), a in ok.items():
+        if a and (i not in chosen or (y, v) < chosen[i]):
+            chosen[i] = (y, v)
+    top = (1 << 63) - 1
+    out = set()
+    for i, (y, v) in chosen.items():
+        scored = sorted({(-min(max(sum(p * q for p, q in zip(v, w, strict=True)), -top), top), j, z == y) for j, z, w in ok if j != i and len(w) == len(v)})
+        for s, j, _ in [x for x in scored if x[2]][:positives]:
+            inside = [x for x in scored if not x[2] and low * -s <= 100 * -x[0] <= high * -s][:negatives]
+            out |= {(i, j, k, n, -s, -t) for k, (t, n, _) in enumerate(inside, 1)}
+    return out
