@@ -1,7 +1,7 @@
 """Operators for preparing training text: one module per operator.
 
 Functions that run in tasks travel to the workers by value, so executors need numpy,
-pyarrow and xxhash, but not this package.
+pyarrow, xxhash and regex, but not this package.
 """
 
 import sys

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    ctw, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc,
+    bpe, ctw, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc,
 )
 from ledgerloom.llm.tables import fold, read
 
@@ -69,11 +70,20 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
+    both = bpe.decode(encoded, vocabulary)
+    numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_embedding_near_dedup, op3_toxicity, op4_context_tree_weighting, op5_license_scan,
         op6_url_filter, op7_ngram_jaccard_join, op8_warc, op9_mix_sources, op10_decontaminate,
-        op11_hard_negatives,
+        op11_hard_negatives, op12_byte_bpe,
     )
 }
