@@ -140,6 +140,70 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+# Every row's edit is up to two insertions and then one of K, R, D; the cheapest and ASCII-least way to each state is kept.
+OP13 = """
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS codes
+  FROM conversations
+),
+plain AS (
+  SELECT *, xor(list_reduce(codes, lambda crc, code: list_reduce(range(8), lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, code)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS how
+  FROM keyed
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM plain WHERE how <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS sign
+  FROM damaged
+),
+judged AS (
+  SELECT *, CASE WHEN sign = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN sign NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+),
+inserted(state, after, audit, cost, lines) AS (VALUES
+  ('-', '-', '', 0, ''), ('-', 'u', 'I', 3, chr(10) || 'user:'), ('-', 'a', 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('s', 's', '', 0, ''), ('s', 'u', 'I', 3, chr(10) || 'user:'), ('s', 'a', 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('u', 'u', '', 0, ''), ('u', 'a', 'I', 3, chr(10) || 'assistant:'), ('a', 'a', '', 0, ''), ('a', 'u', 'I', 3, chr(10) || 'user:')),
+legal(state, next) AS (VALUES ('-', 's'), ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+moves AS (
+  SELECT i.state, i.audit, i.cost, i.lines, l.next, l.state AS at FROM inserted i JOIN legal l ON i.after = l.state
+),
+edits AS (
+  SELECT state, audit || 'K' AS audit, cost, lines, next, 'K' AS edit FROM moves
+  UNION ALL SELECT state, audit || 'R', cost + 3, lines, next, 'R' FROM moves WHERE next <> 's'
+  UNION ALL SELECT state, audit || 'D', cost + 4, lines, after, 'D' FROM inserted
+),
+ways AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '-' AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS best FROM conversations
+  UNION ALL
+  SELECT w.conv_id, j.i, e.next, min({
+           'cost': w.best.cost + e.cost + CASE WHEN j.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END, 'audit': w.best.audit || e.audit,
+           'lines': w.best.lines || e.lines || CASE e.edit WHEN 'K' THEN chr(10) || j.role || ':' || j.text WHEN 'R' THEN chr(10) || CASE e.next WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text ELSE '' END})
+  FROM ways w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1 JOIN edits e ON e.state = w.state
+  WHERE e.edit = 'D' OR (j.fault IS DISTINCT FROM 'blank' AND j.fault IS DISTINCT FROM 'duplicate' AND (e.edit = 'R' OR e.next = j.initial))
+  GROUP BY w.conv_id, j.i, e.next
+),
+closed AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.audit, 'lines': w.best.lines || i.lines}) AS best
+  FROM ways w LEFT JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id JOIN inserted i ON i.state = w.state AND (i.after = 'a' OR (i.after = '-' AND i.audit = ''))
+  WHERE w.i = coalesce(c.n, 0) GROUP BY w.conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, d.best.cost::BIGINT AS cost, d.best.audit AS audit, sha256(substr(d.best.lines, 2)) AS repaired_sha256
+FROM closed d LEFT JOIN counts c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op2_embedding_near_dedup": OP2,
@@ -148,4 +212,5 @@ SQL: dict[str, str] = {
     "op8_warc": OP8,
     "op9_mix_sources": OP9,
     "op11_hard_negatives": OP11,
+    "op13_conversation_repair": OP13,
 }

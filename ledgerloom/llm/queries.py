@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, ctw, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc,
+    bpe, conversations, ctw, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, toxicity, url_filter, warc,
 )
 from ledgerloom.llm.tables import fold, read
 
@@ -79,11 +79,16 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read(spark, sf_dir, "conversations"))
+    return conversations.summarize(damaged, gone=F.col("gone"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_embedding_near_dedup, op3_toxicity, op4_context_tree_weighting, op5_license_scan,
         op6_url_filter, op7_ngram_jaccard_join, op8_warc, op9_mix_sources, op10_decontaminate,
-        op11_hard_negatives, op12_byte_bpe,
+        op11_hard_negatives, op12_byte_bpe, op13_conversation_repair,
     )
 }

@@ -208,3 +208,60 @@ def hard_negatives(rows, positives=5, negatives=10, low=30, high=90, scale=256)
             inside = [x for x in scored if not x[2] and low * -s <= 100 * -x[0] <= high * -s][:negatives]
             out |= {(i, j, k, n, -s, -t) for k, (t, n, _) in enumerate(inside, 1)}
     return out
+
+
+def repaired(rows) -> dict:
+    """rows: (conv, turn, role, text, gone) after damage. conv -> (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256), edit by edit."""
+    held = defaultdict(list)
+    for c, t, r, x, gone in rows:
+        held[c].extend([] if gone else [(t, r if r is not None else " ", x if x is not None else " ")])
+    out = {}
+    legal = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    for c, own in held.items():
+        own.sort(key=lambda v: (v[0] is not None, v[0] or 0, v[1].encode(), v[2].encode()))
+        seen, faults = set(), []
+        for _, r, x in own:
+            sign = x.rstrip(" \t\n\x0b\x0c\r")[-1:]
+            faults.append("blank" if not sign else "duplicate" if (r, x) in seen else "truncated" if sign not in ".!?" else None)
+            seen.add((r, x))
+        turns = [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(own, own[1:], strict=False))
+        ways = {"": (0, "", ())}  # the state: the last initial kept
+
+        def insert(ways):
+            for _ in range(4):
+                for state, (cost, audit, lines) in list(ways.items()):
+                    to = "a" if state == "u" else "u"
+                    way = cost + 3, audit + "I", (*lines, f"{'user' if to == 'u' else 'assistant'}:")
+                    ways[to] = min(ways.get(to, way), way)
+            return ways
+
+        for (_, r, x), fault in zip(own, faults, strict=True):
+            after: dict = {}
+            for state, (cost, audit, lines) in insert(ways).items():
+                options = [(state, (cost + 4, audit + "D", lines))]
+                if fault not in ("blank", "duplicate"):
+                    cut = 3 * (fault == "truncated")
+                    if (state, r[:1]) in legal:
+                        options.append((r[:1], (cost + cut, audit + "K", (*lines, f"{r}:{x}"))))
+                    to = "a" if state == "u" else "u"
+                    options.append((to, (cost + cut + 3, audit + "R", (*lines, f"{'user' if to == 'u' else 'assistant'}:{x}"))))
+                for to, way in options:
+                    after[to] = min(after.get(to, way), way)
+            ways = after
+        ways = insert(ways)
+        cost, audit, lines = min(ways[s] for s in ("", "a") if s in ways)
+        out[c] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def damaged(rows) -> list[tuple]:
+    """(conv, turn, role, text) -> the rows with ``gone``."""
+    out = []
+    for c, t, r, x in rows:
+        r, x = " " if r is None else r, " " if x is None else x
+        how = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        x = "" if how == 1 else re.sub("[.!?]", "", x) if how == 2 else x
+        out += [(c, t, "user" if how == 4 else r, x, how == 0)] * (2 if how == 3 else 1)
+    return out
