@@ -1,22 +1,21 @@
 """N-gram Jaccard join (operator 7): a prefix-tree join over globally ordered shingle sets.
 
-Exact at any threshold ``num / den``, in four steps.
-
-1. *Route.* A document's shingles are 64-bit hashes in numeric order, the global order. Two
-   linked sets of at most ``u`` shingles differ in at most ``d = 2u (den-num)/(den+num)`` of them. Cut
-   the order into more than ``d`` ranges: at most ``d`` ranges differ, so linked sets agree on a
-   whole range. Sets are grouped by size class and range content; two sets that share a range of several shingles
-   are almost always near copies, and a passage shared by many documents does not gather them.
-   A set with no more than ``d`` non-empty ranges also routes its empty ones.
-2. *Gather.* Documents of one group are tied to its smallest id; connected components of these ties
-   hold every link. Only members of components of two or more go on, one per distinct set. Components above a block, which
-   common passages may chain together, are gathered anew by their rarest shingles (prefixes in the order of document frequency).
+Exact at any threshold ``num / den``. A set of n shingles has at most ``d = n (den - num) / den`` that a linked set lacks.
+
+1. *Count.* Shingles are 64-bit hashes in numeric order, one order for all sets. Each set gives the first ``q``, about ``1.5 d``, of its own. The
+   first k shingles that two linked sets share are among the first ``k + d`` of either, so linked sets share at least ``need`` of what they gave (``given``). Shingles
+   that two different sets gave are counted with one map-side combined aggregate; sets with fewer than ``need`` of those link with nothing. A passage
+   that many documents share is a small part of its documents, and does not make candidates of them.
+2. *Gather.* Among candidates, one per distinct set, shingles are counted exactly, and each set gives its ``d + 1`` rarest: linked sets have one of
+   these in common, in any common order. Documents are tied to the smallest one that gave the same shingle; connected components of the ties hold every link.
 3. *Join.* A component's sets are cut into blocks of bounded size. A block's sets go into one prefix tree, ordered by how many
    of the block's sets hold a shingle; the tree is walked once for all sets together, partial overlaps
    are shared along a path, and a branch is left by every set that cannot reach the threshold with what remains.
 4. *Close.* Blocks of one component are first joined through one representative of each linked part. What is then still apart is compared
    in full, block against block, skipping blocks that are one linked part already.
 
+No whole set moves before it is a candidate. Lists of shared shingles are sent to the tasks up to ``FEW_KEYS``; beyond that a join, which splits hot keys, does the same.
+
 Words are runs of non-whitespace (ASCII) with A-Z lower-cased; fewer words than ``n`` are one shingle;
 without words the set is empty and links with nothing. Null ids get their own component (null) and link
 with nothing. Rows that repeat an id are one document and should repeat its text; where they don't, one of the
@@ -34,52 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.tables import partitions, stage
-from ledgerloom.llm.text import C1, C2, U, flat, longs, mix, shingle_sets, slices, word_hashes, words
+from ledgerloom.llm.share import Shared
+from ledgerloom.llm.tables import stage
+from ledgerloom.llm.text import C1, C2, flat, longs, mix, shingle_sets, slices, word_hashes, words
 
-PER_PARTITION = 2_000_000  # routed rows a task sorts in memory
 FEW_IDS = 1 << 20  # candidates up to this many (8 bytes each) are sent to every task
+FEW_KEYS = 1 << 22  # shared shingles up to this many (8 bytes each, 12 with counts) are sent to every task
 BLOCK = 48  # sets in a block of the first rounds
 CLOSING_BLOCK = 112  # in a block that is compared with others: larger, as copies per set fall with it
 BLOCK_SHINGLES = 1 << 18  # shingles in a block, unless one set alone has more
 
 
-def size_class(sizes: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.5) + 1e-9).astype(np.int64)
-
-
-def differ(size: int, num: int, den: int) -> int:
-    """In how many shingles linked sets of at most this size can differ."""
-    return 2 * size * (den - num) // (den + num)
-
-
-def class_ranges(cls: int, num: int, den: int) -> tuple[int, int]:
-    """For a size class: the most differing shingles, and into how many ranges the order is cut."""
-    top = int(np.ceil(1.5 ** (cls + 1))) + 1
-    while top > 1 and size_class(np.array([top]))[0] > cls:
-        top -= 1
-    d = differ(top, num, den)
-    return d, d + 2 + d // 8
+def given(n, num: int, den: int):
+    """How many of a set's ``n`` shingles are counted, and how many of those linked sets have in common with it at least."""
 
+    def both(n):
+        lacks = n * (den - num) // den
+        q = np.minimum(n, (3 * lacks + 4) // 2)
+        return q, q - lacks
 
-def routes(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each range of the sorted set that linked sets may agree on."""
-    m = len(own)
-    if not m:
-        return np.zeros(0, np.uint64)
-    out = []
-    low, high = size_class(np.array([m, m * den // num])).tolist()
-    for cls in range(low, high + 1):  # a linked set that is larger has one of these classes
-        d, n = class_ranges(cls, num, den)
-        at = ((own >> U(32)) * U(n)) >> U(32)
-        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        content = np.add.reduceat(mix(own), begin)
-        salt = U((cls + 1) << 32 | n)
-        out.append(mix(content + mix(at[begin] * C2 + salt)))
-        if len(begin) <= d:
-            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), at[begin])
-            out.append(mix(mix(empty * C2 + salt)))
-    return np.concatenate(out)
+    n = np.asarray(n)
+    least = n - n * (den - num) // den  # a linked set has as many shingles, and those it gives may be fewer
+    return both(n)[0], both(least)[1]
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -92,7 +67,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
                 count.append(len(own))
                 d1.append(int(np.add.reduce(mix(own + C1))) & ((1 << 64) - 1) if len(own) else 0)
                 d2.append(int(np.add.reduce(mix(own + C2))) & ((1 << 64) - 1) if len(own) else 0)
-                keys.append(routes(own, num, den))
+                keys.append(own[: int(given(len(own), num, den)[0])])
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat_keys = np.concatenate([np.zeros(0, np.uint64), *keys])
             yield pa.RecordBatch.from_arrays(
@@ -105,19 +80,39 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
             )
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a group of one key with the group's smallest id; whole groups are in one partition."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    key = np.concatenate([b.column("key").to_numpy() for b in table])
-    doc = np.concatenate([b.column("doc").to_numpy() for b in table])
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    begin = np.concatenate(([True], key[1:] != key[:-1]))
-    least = doc[np.flatnonzero(begin)][np.cumsum(begin) - 1]
-    pairs = np.unique(np.stack([least, doc], 1)[least != doc], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and the row of each."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+
+
+def _held(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value would stand among the ordered ones, and whether it is one of them."""
+    at = np.minimum(np.searchsorted(ordered, values), max(len(ordered) - 1, 0))
+    return at, ordered[at] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def _enough(batches: Iterator[pa.RecordBatch], shared: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows that have as many shared keys as linked sets need."""
+    for batch in batches:
+        values, row = _lists(batch.column("keys"))
+        n = np.bincount(row[_held(values, shared)[1]], minlength=batch.num_rows)
+        ok = n >= np.maximum(given(batch.column("n").to_numpy(), num, den)[1], 1)
+        yield batch.drop_columns(["keys"]).filter(pa.array(ok))
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of each set the shared shingles among its ``d + 1`` rarest; those it has alone come first."""
+    for batch in batches:
+        values, row = _lists(batch.column("own"))
+        at, held = _held(values, shared[0])
+        size = np.bincount(row, minlength=batch.num_rows)
+        alone = size - np.bincount(row[held], minlength=batch.num_rows)
+        values, row, df = values[held], row[held], shared[1][at[held]]
+        order = np.lexsort((values, df, row))
+        values, row = values[order], row[order]
+        taken = np.arange(len(row)) - np.searchsorted(row, row) < (size * (den - num) // den + 1 - alone)[row]
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row[taken])), pa.array(values[taken])], ["doc", "key"])
 
 
 class Forest:
@@ -232,27 +227,70 @@ def _in_blocks(rows: DataFrame, *by: str, block: int | None = None) -> DataFrame
     return rows.join(sizes, list(by)).withColumn("block", F.pmod(F.xxhash64("doc"), many)).drop("_k", "_n")
 
 
+def _few(keys: DataFrame, *columns: str) -> tuple[np.ndarray, ...] | None:
+    """The staged columns as arrays in the order of the first, if they are few."""
+    if keys.count() > FEW_KEYS:
+        return None
+    table = keys.select(*columns).toArrow()
+    arrays = [table.column(c).to_numpy() for c in columns]
+    order = np.argsort(arrays[0])
+    return tuple(a[order] for a in arrays)
+
+
+def _candidates(seen: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc, n, d1, d2) of the sets that share enough of the keys they gave with other sets."""
+    keyed = seen.where("doc is not null and n > 0")
+    keys = keyed.select("d1", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("key")
+    shared = stage(shared, "ngram-shared-keys")
+    few = _few(shared, "key")
+    if few is not None:
+        sent = Shared(seen.sparkSession, few[0])
+        return keyed.mapInArrow(lambda it: _enough(it, sent.value, num, den), "doc long, n long, d1 long, d2 long")
+    lacks = F.expr(f"least(n - n * {den - num} div {den}, n)")  # the smallest linked set's size
+    less = F.floor(lacks * (den - num) / den)
+    need = F.greatest(F.least(lacks, F.floor((3 * less + 4) / 2)) - less, F.lit(1))
+    rows = keyed.select("doc", "n", "d1", "d2", F.explode("keys").alias("key"))
+    return rows.join(shared, "key").groupBy("doc", "n", "d1", "d2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= need).drop("k")
+
+
+def _ties(own: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties (a, b) between sets (doc, own) that have one of their rarest shingles in common."""
+    tokens = own.select("doc", F.size("own").alias("n"), F.explode("own").alias("token"))
+    counts = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "ngram-counts")
+    few = _few(counts, "token", "df")
+    if few is not None:
+        sent = Shared(own.sparkSession, few)
+        keys = own.mapInArrow(lambda it: _rarest(it, sent.value, num, den), "doc long, key long")
+    else:
+        held = tokens.join(counts, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+        lacks = F.expr(f"n * {den - num} div {den}")
+        first = F.slice(F.array_sort("held"), F.lit(1), F.greatest(lacks + 1 - (F.col("n") - F.size("held")), F.lit(0)).cast("int"))
+        keys = held.select("doc", F.explode(first["token"]).alias("key"))
+    keys = stage(keys, "ngram-prefixes")
+    least = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key", "a")
+    return keys.join(least, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(doc, n_shingles, component): one row per document id; component is its smallest linked id."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    seen = stage(texts.mapInArrow(lambda it: _describe(it, n, num, den), "doc long, n long, d1 long, d2 long, keys array<long>"), "ngram-routes")
-    routed = seen.where("doc is not null").select("doc", F.explode("keys").alias("key"))
-    rows = seen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    ties = routed.repartition(partitions(rows, PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
-    maybe = components(ties)
-
-    # One member per distinct set of a component: exact copies link without looking further.
-    facts = seen.where("doc is not null").select("doc", "n", "d1", "d2")
-    alike = ["part", "n", "d1", "d2"]
-    members = stage(maybe.select(F.col("node").alias("doc"), F.col("root").alias("part")).join(facts, "doc"), "ngram-members")
-    firsts = stage(members.groupBy(*alike).agg(F.min("doc").alias("first")), "ngram-firsts")
-    copies = stage(members.join(firsts, alike).select("doc", "first"), "ngram-copies")
-    several = stage(firsts.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("part"), "ngram-several")
-    ids = stage(firsts.join(several, "part").select("part", "n", F.col("first").alias("doc")).dropDuplicates(["doc"]), "ngram-candidates")
-    narrow = ids.select("doc")
-    narrow = F.broadcast(narrow) if ids.count() <= FEW_IDS else narrow
+    seen = stage(texts.mapInArrow(lambda it: _describe(it, n, num, den), "doc long, n long, d1 long, d2 long, keys array<long>"), "ngram-keys")
+
+    # One member per distinct set: exact copies link without looking further.
+    facts = seen.where("doc is not null and n > 0").select("doc", "n", "d1", "d2")
+    alike = ["n", "d1", "d2"]
+    firsts = stage(facts.groupBy(*alike).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "ngram-firsts")
+    several = firsts.where("copies > 1").select(*alike, "first")
+    copies = stage(facts.join(several, alike).select("doc", "first"), "ngram-copies")
+    found = stage(_candidates(seen, num, den).select(*alike).distinct(), "ngram-found")
+    chosen = stage(firsts.join(found, alike).select(F.col("first").alias("doc"), "n").dropDuplicates(["doc"]), "ngram-candidates")
+    narrow = chosen.select("doc")
+    narrow = F.broadcast(narrow) if chosen.count() <= FEW_IDS else narrow
     own = texts.join(narrow, "doc").mapInArrow(lambda it: _sets(it, n), "doc long, own array<long>")
     own = stage(own.dropDuplicates(["doc"]), "ngram-sets")
+    parts = components(_ties(own, num, den)).select(F.col("node").alias("doc"), F.col("root").alias("part"))
+    ids = stage(own.select("doc", F.size("own").cast("long").alias("n")).join(parts, "doc").select("part", "n", "doc"), "ngram-parts")
 
     def compare(blocked: DataFrame, *keys: str) -> DataFrame:
         """Links (part, a, b) found in blocks; ``keys`` name a block, the component first."""
@@ -260,38 +298,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = with_sets.groupBy(*keys).applyInArrow(lambda key, t: _join_block(key, t, num, den), "part long, a long, b long")
         return stage(found.where("a <> b"), "ngram-links")
 
-    # Common passages chain documents into large components: those are gathered anew by their rarest shingles.
-    chained = stage(ids.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("part"), "ngram-chained")
-    if not chained.isEmpty():
-        large = stage(ids.join(chained, "part"), "ngram-large-parts")
-        tight = components(_rare_ties(large.select("doc", "n"), own, num, den))
-        large = large.drop("part").join(tight.select(F.col("node").alias("doc"), F.col("root").alias("part")), "doc")
-        ids = stage(ids.join(chained, "part", "left_anti").unionByName(large.select(*ids.columns)), "ngram-parts")
     blocked = stage(_in_blocks(ids, "part"), "ngram-blocks")
     links = [compare(blocked, "part", "block")]
     links += _close(blocked, links[0], compare)
     found = components(reduce(DataFrame.union, links).select("a", "b"))
-    merged = copies.join(found, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("root", "first").alias("component"))
+    # A document leads to its first copy, and that one to its component.
+    merged = copies.select("doc", "first").union(found.select("node", "node"))
+    merged = merged.join(found, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("root", "first").alias("component"))
     sizes = seen.groupBy("doc").agg(F.min("n").alias("n_shingles"))
     merged = merged.groupBy(F.col("doc").alias("_doc")).agg(F.min("component").alias("component"))
     return sizes.join(merged, F.col("doc") == F.col("_doc"), "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
-def _rare_ties(docs: DataFrame, own: DataFrame, num: int, den: int) -> DataFrame:
-    """Ties (a, b) between documents whose prefixes meet, in the order of rising document frequency.
-
-    Linked sets share one of the first ``n - ceil(n num / den) + 1`` shingles of any common order. With
-    the rare ones first, a prefix holds what few other documents have; shingles of one document alone tie nothing.
-    """
-    tokens = docs.join(own, "doc").select("doc", "n", F.explode("own").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = tokens.join(stage(shared, "ngram-shared"), "token").groupBy("doc", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("held"))
-    first = F.slice(F.array_sort("held"), F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
-    keys = stage(held.select("doc", F.explode(first["token"]).alias("key")), "ngram-prefixes")
-    return keys.repartition(partitions(keys.count(), PER_PARTITION), "key").mapInArrow(_ties, "a long, b long")
-
-
 def _close(blocked: DataFrame, links: DataFrame, compare: Callable[..., DataFrame]) -> list[DataFrame]:
     """Links between blocks of one component: through representatives first, then all that is left apart."""
     large = blocked.groupBy("part").agg(F.max("block").alias("last")).where("last > 0").select("part")

@@ -160,6 +160,47 @@ def test_jaccard_at_low_thresholds(spark):
         assert got == brute.jaccard(rows, 1, num, den)
 
 
+@pytest.mark.parametrize("few", [-1, 1 << 20])
+def test_jaccard_of_overlapping_sets(spark, monkeypatch, few):
+    """Common passages, edits and copies around the threshold, with lists sent to tasks and with joins."""
+    monkeypatch.setattr(ngram_join, "FEW_KEYS", few)
+    monkeypatch.setattr(ngram_join, "FEW_IDS", few)
+    pick = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(pick.randrange(1, 90))]
+        for _ in range(pick.randrange(1, 6)):
+            own = list(words)
+            for _ in range(pick.randrange(9)):
+                own[pick.randrange(len(own))] = f"u{pick.random()}"
+            own += [f"x{pick.random()}" for _ in range(pick.randrange(6))]
+            if pick.random() < 0.4:
+                own = common + own
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::7])]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, num, den in ((3, 9, 10), (5, 8, 10), (2, 1, 2)):
+        got = {r[0]: tuple(r)[1:] for r in ngram_join.ngram_components(df, n=n, num=num, den=den).collect()}
+        assert got == brute.jaccard(rows, n, num, den)
+
+
+def test_jaccard_counts_no_linked_set_out():
+    """Two linked sets share as many of the shingles they give as either needs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for num, den in ((9, 10), (8, 10), (1, 2), (1, 3)):
+        for _ in range(400):
+            a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 120)))
+            b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.choice([0.6, 0.9, 0.97])], rng.integers(0, 1 << 40, rng.integers(0, 12)))))
+            both = len(np.intersect1d(a, b))
+            if both and den * both >= num * (len(a) + len(b) - both):
+                (qa, na), (qb, nb) = (ngram_join.given(len(x), num, den) for x in (a, b))
+                assert len(np.intersect1d(a[:qa], b[:qb])) >= max(na, nb)
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     got = QUERIES[name(3)](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
