@@ -1,6 +1,6 @@
 """WARC (operator 8): archives written from and read into a chunked record table.
 
-A payload becomes rows (record, chunk number) of at most ``CHUNK`` characters. Each row is one WARC record of its
+A payload becomes rows (record, chunk number) of at most ``CHUNK`` bytes. Each row is one WARC record of its
 own: the first of type ``response``, the others ``continuation`` records as the standard's segmentation
 has them, so neither writing nor reading ever holds a record larger than a chunk. Of equal payloads
 (SHA-256) the smallest page id is the ``response``; the others are ``revisit`` records without
@@ -28,13 +28,11 @@ from ledgerloom.llm.tables import stage
 from ledgerloom.session import new_path
 
 CHUNK = 1 << 16
+HELD = 1 << 22  # bytes of chunks that leave a task at a time
+DIGESTED = 1 << 20
 FEW_IDS = 1 << 20  # revisits up to this many are sent to every task
 VERSION = "WARC/1.1\r\n"
 BOUNDARY = "\r\n\r\n" + VERSION
-# A place inside a record boundary that would stand, or start a payload, in a chunk.
-INSIDE = r"(?<=(?:^|^\r\n|\r\n\r\n)WA)(?=RC/1\.1\r\n)"
-
-
 def base32_sha1(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1."""
     digits = F.sha1(data)
@@ -42,9 +40,62 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _cut(chunk: Column) -> Column:
-    """The chunk, in pieces where it holds a record's first line; the search for that costs far less than the pattern."""
-    return F.when(F.contains(chunk, F.lit(VERSION)), F.split(chunk, INSIDE)).otherwise(F.array(chunk))
+def _cuts(data: memoryview, chunk: int) -> list[int]:
+    """Where chunks end: after ``chunk`` bytes or up to three less, between characters, and inside each record boundary that would stand in,
+    or start, a chunk."""
+    first_line = VERSION.strip().encode()  # what ends a record completes it
+    ends, at = [], 0
+    while at < len(data):
+        end = min(at + chunk, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80 and end > at + 1:
+            end -= 1
+        held = bytes(data[at:end])
+        found = held.find(first_line)
+        while found >= 0:
+            if held[max(found - 4, 0) : found] in (b"", b"\r\n", b"\r\n\r\n"):
+                ends.append(at + found + 2)
+            found = held.find(first_line, found + 1)
+        ends.append(end)
+        at = end
+    return ends or [0]
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """One row per chunk. A payload is read twice where it lies, once for its digest and once for its chunks, and never copied whole."""
+    kept = ["record", "page_id", "url", "record_type", "refers_to", "date"]
+    names = [*kept, "payload_bytes", "payload_digest", "chunks", "chunk_no", "chunk"]
+    for batch in batches:
+        facts = batch.select(kept)
+        rows: list[int] = []
+        out: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            sizes, digests, counts, numbers, chunks = zip(*out, strict=True)
+            columns = [*facts.take(pa.array(rows)).columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(counts, pa.int32()), pa.array(numbers, pa.int32())]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array(chunks, pa.binary()).view(pa.string())], names)
+            rows.clear()
+            out.clear()
+            return made
+
+        payloads, again = batch.column("payload").cast(pa.large_binary()), batch.column("refers_to").is_valid().to_pylist()
+        for i, payload in enumerate(payloads):
+            data = memoryview(payload.as_buffer())
+            digest = hashlib.sha1()
+            for at in range(0, len(data), DIGESTED):
+                digest.update(data[at : at + DIGESTED])
+            code = base64.b32encode(digest.digest()).decode()
+            ends = [0] if again[i] else _cuts(data, chunk)
+            at = 0
+            for number, end in enumerate(ends):
+                rows.append(i)
+                out.append((len(data), code, len(ends), number, bytes(data[at:end])))
+                held, at = held + end - at, end
+                if held > HELD:
+                    yield flush()
+                    held = 0
+        if out:
+            yield flush()
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2026-01-01T00:00:00Z") -> DataFrame:
@@ -63,16 +114,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     page = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).cast("binary"))
     joined = joined.withColumn("record", F.concat(page, F.lit("-"), F.monotonically_increasing_id()))
     joined = joined.withColumn("record_type", F.when(F.col("first").isNull(), "response").otherwise("revisit"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("payload") - 1, F.lit(0)) / CHUNK).cast("int")),
-        lambda i: _cut(F.substring(F.col("payload"), i * CHUNK + 1, F.lit(CHUNK))),
-    )
-    chunks = F.when(F.col("first").isNull(), F.flatten(chunks)).otherwise(F.array(F.lit("")))
-    return joined.select(
-        "record", "page_id", "url", "record_type", F.col("first").alias("refers_to"), F.lit(date).alias("date"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
-        F.size(chunks).alias("chunks"), F.posexplode(chunks).alias("chunk_no", "chunk"),
-    )
+    kept = joined.select("record", "page_id", "url", "record_type", F.col("first").alias("refers_to"), F.lit(date).alias("date"), "payload")
+    schema = "record string, page_id long, url string, record_type string, refers_to long, date string, payload_bytes long, payload_digest string, chunks int, chunk_no int, chunk string"
+    size = CHUNK
+    return kept.mapInArrow(lambda it: _chunk_rows(it, size), schema)
 
 
 def _line(name: str, value: Column, when: Column | None = None) -> Column:

@@ -337,6 +337,48 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_large_records(spark):
+    """One record of 64 MB, one of 200 chunks, and nothing that grows faster than they do."""
+    import time
+
+    big = "0123456789abcdé€\r\n" * (64 * (1 << 20) // 22)
+    some = "x" * (200 * warc.CHUNK - 5)
+    rows = [(1, "u", big), (2, "u", some), (3, "u", some), (4, "u", "small"), (5, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table = warc.records(df)
+    assert {r["page_id"]: r["chunks"] for r in table.select("page_id", "chunks").distinct().collect()} == {1: -(-len(big.encode()) // warc.CHUNK), 2: 200, 3: 1, 4: 1, 5: 1}
+    assert table.agg(F.max(F.octet_length("chunk"))).first()[0] <= warc.CHUNK
+    got = sorted((tuple(r) for r in warc.round_trip(df).collect()), key=str)
+    assert got == sorted(brute.warc([(i, h) for i, _, h in rows]), key=str)
+
+    def seconds(mb: int) -> float:
+        one = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("u").alias("url"), F.expr(f"repeat('0123456789abcdef', {mb << 16})").alias("html"))
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            warc.records(one).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    seconds(1)
+    assert seconds(32) < 2.2 * seconds(16)
+
+
+def test_warc_cuts():
+    pick = random.Random(8)
+    parts = ["\r\n", "WARC/1.1\r\n", "\r\n\r\nWARC/1.1\r\n", "a", "é", "€", "😀", "WA", "RC/1.1\r\n"]
+    for chunk in (4, 5, 9, 30, 1000):
+        for _ in range(200):
+            data = "".join(pick.choices(parts, k=pick.randrange(12))).encode()
+            ends = warc._cuts(memoryview(data), chunk)
+            pieces = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            assert b"".join(pieces) == data and all(len(p) <= chunk for p in pieces)
+            for p in pieces:
+                p.decode()
+                framed = b"\r\n\r\n" + p + b"\r\n\r"
+                assert warc.BOUNDARY.encode() not in framed
+
+
 def test_mixing(spark, odd_docs):
     for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
         got = mixing.mix_sources(df).collect()
