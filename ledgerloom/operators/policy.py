@@ -72,121 +72,108 @@ def base_currency(policy_base: Column, default_base: Column, own: Column) -> Col
 
 
 # -------------------------------------------------------------------- checks
-def unwrap_policy(document: Column) -> Column:
-    """F-26: ``{"policies": {...}}`` becomes its content."""
-    inner = F.get_json_object(document, "$.policies")
-    return F.when(kind(document) == "OBJECT", F.coalesce(inner, document)).otherwise(document)
+# All of them read a variant: a document is parsed once, into a column of its own (``parsed``).
+NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
 
 
-def kind(document: Column) -> Column:
-    """OBJECT, ARRAY, STRING, DOUBLE, ... of a JSON text; null for malformed text."""
-    variant = F.try_parse_json(document)
-    name = F.schema_of_variant(variant)
-    return F.regexp_extract(name, "^([A-Z]+)", 1)
+def parsed(document: Column) -> Column:
+    """The document as a variant; null for malformed text."""
+    return F.try_parse_json(document)
 
 
-def _kind_at(variant: Column, path: str) -> Column:
-    inner = F.try_variant_get(variant, path, "variant")
-    return F.regexp_extract(F.schema_of_variant(inner), "^([A-Z]+)", 1)
+def kind(variant: Column) -> Column:
+    """OBJECT, ARRAY, STRING, DOUBLE, ... of a variant; null for null."""
+    return F.regexp_extract(F.schema_of_variant(variant), "^([A-Z]+)", 1)
 
 
-def policy_errors(document: Column) -> Column:
-    """F-24: messages of the shape check on a column of documents."""
-    variant = F.try_parse_json(document)
-    is_object = F.coalesce(kind(document) == "OBJECT", F.lit(False))
-    base = F.when(
-        _kind_at(variant, "$.moneda_base") == "STRING",
-        trim(F.try_variant_get(variant, "$.moneda_base", "string")),
-    )
-    politicas = _kind_at(variant, "$.politicas")
-    return F.when(~is_object, F.array(F.lit("policies debe ser un objeto JSON"))).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(
-                    F.coalesce(base, F.lit("")) == "",
-                    F.lit("Falta campo requerido: moneda_base (string)"),
-                ),
-                F.when(
-                    politicas.isNotNull() & (politicas != "ARRAY"),
-                    F.lit("Campo inválido: politicas debe ser un array"),
-                ),
-            )
-        )
-    )
+def _at(variant: Column, path: str, to: str = "variant") -> Column:
+    return F.try_variant_get(variant, path, to)
+
 
+def _is(variant: Column, *kinds: str) -> Column:
+    return F.coalesce(kind(variant).isin(*kinds), F.lit(False))
 
-def _keys(document: Column) -> Column:
-    return F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
 
+def unwrap_policy(variant: Column) -> Column:
+    """F-26: ``{"policies": {...}}`` becomes its content."""
+    return F.when(_is(variant, "OBJECT"), F.coalesce(_at(variant, "$.policies"), variant)).otherwise(variant)
+
+
+def policy_errors(variant: Column) -> Column:
+    """F-24: messages of the shape check."""
+    base = F.when(_is(_at(variant, "$.moneda_base"), "STRING"), trim(_at(variant, "$.moneda_base", "string")))
+    lists = _at(variant, "$.politicas")
+    found = F.array(
+        F.when(F.coalesce(base, F.lit("")) == "", F.lit("Falta campo requerido: moneda_base (string)")),
+        F.when(lists.isNotNull() & ~_is(lists, "ARRAY"), F.lit("Campo inválido: politicas debe ser un array")),
+    )
+    no_object = F.array(F.lit("policies debe ser un objeto JSON"))
+    return F.when(~_is(variant, "OBJECT"), no_object).otherwise(F.array_compact(found))
 
-def _unknown(document: Column, allowed: tuple[str, ...]) -> Column:
-    extra = F.array_except(_keys(document), F.array(*[F.lit(a) for a in allowed]))
+
+def _unknown(variant: Column, allowed: tuple[str, ...]) -> Column:
+    """Messages for keys of an object that are not allowed, in the order of the keys."""
+    members = F.when(_is(variant, "OBJECT"), _at(variant, "$", "map<string,variant>"))
+    keys = F.coalesce(F.map_keys(members), F.array().cast("array<string>"))
+    extra = F.filter(F.array_sort(keys), lambda k: ~k.isin(*allowed))
     return F.transform(extra, lambda k: F.concat(F.lit("property "), k, F.lit(" should not exist")))
 
 
-def _not_positive(document: Column, *names: str) -> list[Column]:
-    variant = F.try_parse_json(document)
+def _not_positive(variant: Column, *names: str) -> list[Column]:
     checks = []
     for n in names:
-        numeric = _kind_at(variant, f"$.{n}").isin("BIGINT", "DOUBLE", "DECIMAL")
-        value = F.when(numeric, F.try_variant_get(variant, f"$.{n}", "double"))
+        value = F.when(_is(_at(variant, f"$.{n}"), *NUMBERS), _at(variant, f"$.{n}", "double"))
         checks.append(F.when(~F.coalesce(value > 0, F.lit(False)), F.lit(f"{n} must be a positive number")))
     return checks
 
 
-def policy_contract_errors(document: Column) -> Column:
+def policy_contract_errors(variant: Column) -> Column:
     """F-25: the strict contract; every violation, root keys first."""
-    variant = F.try_parse_json(document)
-    age = F.coalesce(F.get_json_object(document, "$.limite_antiguedad"), F.lit("{}"))
-    limits = F.from_json(F.get_json_object(document, "$.limites_por_categoria"), "map<string,string>")
-    pairs = F.from_json(F.get_json_object(document, "$.reglas_centro_costo"), "array<string>")
-    entries = F.coalesce(F.map_entries(limits), F.array().cast("array<struct<key:string,value:string>>"))
+    age, limits, pairs = (_at(variant, f"$.{n}") for n in _ROOT_KEYS[1:])
+    bounds, sides = ("aprobado_hasta", "pendiente_hasta"), ("cost_center", "categoria_prohibida")
+    days = ("pendiente_dias", "rechazado_dias")
 
     def limit_errors(entry: Column) -> Column:
-        body = entry["value"]
-        found = F.array_compact(
-            F.concat(
-                F.array(*_not_positive(body, "aprobado_hasta", "pendiente_hasta")),
-                _unknown(body, ("aprobado_hasta", "pendiente_hasta")),
-            )
-        )
+        found = F.array_compact(F.concat(F.array(*_not_positive(entry["value"], *bounds)), _unknown(entry["value"], bounds)))
         return F.transform(found, lambda m: F.concat(F.lit("limites_por_categoria."), entry["key"], F.lit("."), m))
 
-    def pair_errors(body: Column) -> Column:
-        v = F.try_parse_json(body)
-        return F.concat(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            ~F.coalesce(_kind_at(v, f"$.{n}") == "STRING", F.lit(False)),
-                            F.lit(f"reglas_centro_costo.{n} must be a string"),
-                        )
-                        for n in ("cost_center", "categoria_prohibida")
-                    ]
-                )
-            ),
-            _unknown(body, ("cost_center", "categoria_prohibida")),
-        )
-
-    def is_kind(path: str, expected: str) -> Column:
-        return F.coalesce(_kind_at(variant, path) == expected, F.lit(False))
-
-    root = F.array_compact(
-        F.array(
-            F.when(~is_kind("$.moneda_base", "STRING"), F.lit("moneda_base must be a string")),
-            F.when(~is_kind("$.limites_por_categoria", "OBJECT"), F.lit("limites_por_categoria must be an object")),
-            F.when(~is_kind("$.reglas_centro_costo", "ARRAY"), F.lit("reglas_centro_costo must be an array")),
-        )
-    )
+    def pair_errors(pair: Column) -> Column:
+        wrong = [F.when(~_is(_at(pair, f"$.{n}"), "STRING"), F.lit(f"reglas_centro_costo.{n} must be a string")) for n in sides]
+        return F.concat(F.array_compact(F.array(*wrong)), _unknown(pair, sides))
+
+    root = (("moneda_base", "STRING", "a string"), ("limites_por_categoria", "OBJECT", "an object"), ("reglas_centro_costo", "ARRAY", "an array"))
+    wrong = [F.when(~_is(_at(variant, f"$.{n}"), k), F.lit(f"{n} must be {a}")) for n, k, a in root]
+    each_limit = F.map_entries(F.when(_is(limits, "OBJECT"), _at(limits, "$", "map<string,variant>")))
+    each_pair = F.when(_is(pairs, "ARRAY"), _at(pairs, "$", "array<variant>"))
+    none = F.array().cast("array<string>")
     return F.concat(
-        _unknown(document, _ROOT_KEYS),
-        root,
-        F.array_compact(F.array(*_not_positive(age, "pendiente_dias", "rechazado_dias"))),
-        _unknown(age, ("pendiente_dias", "rechazado_dias")),
-        F.flatten(F.transform(entries, limit_errors)),
-        F.flatten(F.transform(F.coalesce(pairs, F.array().cast("array<string>")), pair_errors)),
+        _unknown(variant, _ROOT_KEYS),
+        F.array_compact(F.array(*wrong, *_not_positive(age, *days))),
+        _unknown(age, days),
+        F.coalesce(F.flatten(F.transform(each_limit, limit_errors)), none),
+        F.coalesce(F.flatten(F.transform(each_pair, pair_errors)), none),
+    )
+
+
+def tenant_documents(documents: DataFrame, document: str, default: Mapping[str, Any]) -> DataFrame:
+    """F-24..F-27 for a policy per row: ``document`` (JSON text) becomes the policy in force, with ``policy_from`` and ``policy_error``.
+
+    A wrapped document is unwrapped. One that fails the shape check would not have been stored, so the default is in
+    force (``policy_from`` is ``default``). One that has the shape but breaks the contract is in force, and every request under it is refused
+    with ``policy_error``, its violations.
+    """
+    text = json.dumps(default)
+    rows = documents.withColumn("_raw", parsed(F.col(document)))
+    rows = rows.withColumn("_own", unwrap_policy(F.col("_raw"))).withColumn("_fits", F.size(policy_errors(F.col("_own"))) == 0)
+    wrong = F.when(F.col("_fits"), F.array_join(policy_contract_errors(F.col("_own")), "; "))
+    rows = rows.withColumns(
+        {
+            "policy_from": F.when(F.col("_fits"), F.lit("own")).otherwise(F.lit("default")),
+            "policy_error": F.nullif(wrong, F.lit("")),
+            document: F.when(F.col("_fits"), F.to_json("_own")).otherwise(F.lit(text)),
+        }
     )
+    return rows.drop("_raw", "_own", "_fits")
 
 
 # ------------------------------------------------------------ use inside rules

@@ -199,11 +199,49 @@ priced AS (
 results AS (SELECT *, status || '|' || CASE WHEN messages = '' THEN 'sin alertas' ELSE messages END AS resultado_validacion FROM folded)"""
 )
 
+# The documents as text, the same text as a JSON value, and what is wrong with it.
 DOCUMENTS = """
-docs0 AS (
+texts AS (
   SELECT c_custkey, c_custkey % 12 AS kind, 'T' || c_custkey AS name, CAST(c_custkey AS VARCHAR) AS k, c_custkey % 90 + 10 AS lim,
-    CASE c_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'CLP' WHEN 2 THEN ' mxn ' ELSE 'EUR' END AS base
+    lower(c_mktsegment) AS cc, CASE c_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'CLP' WHEN 2 THEN ' mxn ' ELSE 'EUR' END AS base
   FROM customer
+), good AS (
+  SELECT *, '{"moneda_base":"' || base || '","limite_antiguedad":{"pendiente_dias":' || lim || ',"rechazado_dias":' || lim * 2 ||
+    '},"limites_por_categoria":{"food":{"aprobado_hasta":' || lim * 3 || ',"pendiente_hasta":' || lim * 4 ||
+    '}},"reglas_centro_costo":[{"cost_center":"' || cc || '","categoria_prohibida":"food"}]}' AS g FROM texts
+), docs0 AS (
+  SELECT *, CASE kind WHEN 1 THEN '{"limite_antiguedad":{"pendiente_dias":30}}'
+    WHEN 2 THEN '{"moneda_base":"  ","politicas":{"tenant":' || k || '}}' WHEN 3 THEN '[' || k || ']' WHEN 4 THEN '{"policies":' || g || '}'
+    WHEN 5 THEN replace(g, '"reglas_centro_costo"', '"extra":1,"reglas_centro_costo"')
+    WHEN 6 THEN replace(g, '"aprobado_hasta":', '"aprobado_hasta":-')
+    WHEN 7 THEN replace(g, '"categoria_prohibida":"food"', '"categoria_prohibida":7,"nota":"x"')
+    WHEN 8 THEN '{"moneda_base":' || k || ',"politicas":[]}' WHEN 9 THEN '{"moneda_base": "USD"' || k ELSE g END AS policies FROM good
+), values0 AS (SELECT *, TRY_CAST(policies AS JSON) AS whole FROM docs0
+), docs AS (SELECT *, coalesce(CASE WHEN json_type(whole) = 'OBJECT' THEN json_extract(whole, '$.policies') END, whole) AS j FROM values0
+), parts AS (
+  SELECT *, coalesce(json_type(j), '') AS root, coalesce(json_type(j, '$.moneda_base'), '') AS base_type, coalesce(json_type(j, '$.limites_por_categoria'), '') AS limits_type,
+    coalesce(json_type(j, '$.reglas_centro_costo'), '') AS pairs_type, coalesce(json_type(j, '$.limite_antiguedad'), '') AS age_type FROM docs
+), checked AS (
+  SELECT *, CASE WHEN root <> 'OBJECT' THEN 'policies debe ser un objeto JSON' ELSE array_to_string(list_filter([
+      CASE WHEN base_type <> 'VARCHAR' OR trim(j ->> '$.moneda_base') = '' THEN 'Falta campo requerido: moneda_base (string)' END,
+      CASE WHEN json_type(j, '$.politicas') <> 'ARRAY' THEN 'Campo inválido: politicas debe ser un array' END], lambda x: x IS NOT NULL), '. ') END AS shape,
+    array_to_string(list_filter(
+      list_transform(list_filter(CASE WHEN root = 'OBJECT' THEN list_sort(json_keys(j)) ELSE [] END, lambda n: n NOT IN ('moneda_base', 'limite_antiguedad', 'limites_por_categoria', 'reglas_centro_costo')),
+        lambda n: 'property ' || n || ' should not exist')
+      || [CASE WHEN base_type <> 'VARCHAR' THEN 'moneda_base must be a string' END, CASE WHEN limits_type <> 'OBJECT' THEN 'limites_por_categoria must be an object' END,
+          CASE WHEN pairs_type <> 'ARRAY' THEN 'reglas_centro_costo must be an array' END]
+      || list_transform(['pendiente_dias', 'rechazado_dias'], lambda n: CASE WHEN coalesce(TRY_CAST(json_extract(j, '$.limite_antiguedad.' || n) AS DOUBLE), 0) > 0
+          AND json_type(j, '$.limite_antiguedad.' || n) <> 'VARCHAR' THEN NULL ELSE n || ' must be a positive number' END)
+      || list_transform(list_filter(CASE WHEN age_type = 'OBJECT' THEN json_keys(j, '$.limite_antiguedad') ELSE [] END, lambda n: n NOT IN ('pendiente_dias', 'rechazado_dias')),
+        lambda n: 'property ' || n || ' should not exist')
+      || flatten(list_transform(CASE WHEN limits_type = 'OBJECT' THEN json_keys(j, '$.limites_por_categoria') ELSE [] END, lambda c: list_transform(['aprobado_hasta', 'pendiente_hasta'],
+          lambda n: CASE WHEN coalesce(TRY_CAST(json_extract(j, '$.limites_por_categoria.' || c || '.' || n) AS DOUBLE), 0) > 0 THEN NULL
+            ELSE 'limites_por_categoria.' || c || '.' || n || ' must be a positive number' END)))
+      || flatten(list_transform(CASE WHEN pairs_type = 'ARRAY' THEN json_extract(j, '$.reglas_centro_costo[*]') ELSE [] END, lambda p:
+          list_transform(['cost_center', 'categoria_prohibida'], lambda n: CASE WHEN coalesce(json_type(p, '$.' || n), '') <> 'VARCHAR' THEN 'reglas_centro_costo.' || n || ' must be a string' END)
+          || list_transform(list_filter(json_keys(p), lambda n: n NOT IN ('cost_center', 'categoria_prohibida')), lambda n: 'property ' || n || ' should not exist'))),
+      lambda x: x IS NOT NULL), '; ') AS contract
+  FROM parts
 )"""
 
 
@@ -378,11 +416,16 @@ FROM (SELECT raw.*, CASE WHEN moneda = 'USD' THEN 1e0 WHEN moneda <> 'EUR' THEN
   FROM raw LEFT JOIN pairs p ON p.from_ccy = moneda AND p.date = fecha)""",
     )
     q["convert_cross_rates"] = _with(
-        BASE + "," + FX,
+        BASE
+        + ","
+        + FX
+        + """,
+quotients AS MATERIALIZED (
+  SELECT t.date, t.currency, e.rate / t.rate AS r FROM tables t JOIN tables e ON e.date = t.date AND e.currency = 'EUR'),
+rated AS (
+  SELECT raw.*, CASE WHEN moneda = 'EUR' THEN 1e0 ELSE q.r END AS r FROM raw LEFT JOIN quotients q ON q.currency = moneda AND q.date = fecha)""",
         f"""SELECT process_id, id, fecha, moneda AS moneda_original, 'EUR' AS moneda_base, abs(monto) * r AS monto_convertido, r AS tipo_cambio,
-  {no_rate.format('r')}
-FROM (SELECT raw.*, CASE WHEN moneda = 'EUR' THEN 1e0 ELSE t2.rate / t1.rate END AS r
-  FROM raw LEFT JOIN tables t1 ON t1.currency = moneda AND t1.date = fecha LEFT JOIN tables t2 ON t2.currency = 'EUR' AND t2.date = fecha)""",
+  {no_rate.format('r')} FROM rated""",
     )
     q["effective_rates"] = _with(
         BASE,
@@ -558,58 +601,48 @@ old AS (SELECT *, CASE WHEN old_days < 30 THEN 0 WHEN old_days < 60 THEN 1 ELSE
         """SELECT process_id, id, empleado_id, CASE greatest(o1, s2, s3) WHEN 0 THEN 'APROBADO' WHEN 1 THEN 'PENDIENTE' ELSE 'RECHAZADO' END AS recorded,
   status, o_alerts AS recorded_alerts, n_alerts AS alerts FROM old WHERE o1 <> s1""",
     )
-    q["policy_shape"] = _with(
-        DOCUMENTS,
-        """SELECT kind, CASE kind WHEN 1 THEN 'Falta campo requerido: moneda_base (string)'
-    WHEN 2 THEN 'Falta campo requerido: moneda_base (string). Campo inválido: politicas debe ser un array'
-    WHEN 3 THEN 'policies debe ser un objeto JSON' WHEN 8 THEN 'Falta campo requerido: moneda_base (string)'
-    WHEN 9 THEN 'policies debe ser un objeto JSON' ELSE '' END AS errors, count(*) AS documents FROM docs0 GROUP BY 1, 2""",
-    )
-    ages = "pendiente_dias must be a positive number; rechazado_dias must be a positive number"
-    lacking = (
-        "limites_por_categoria must be an object; reglas_centro_costo must be an array"
-    )
-    q["policy_contract"] = _with(
-        DOCUMENTS,
-        f"""SELECT kind, CASE kind WHEN 1 THEN 'moneda_base must be a string; {lacking}; rechazado_dias must be a positive number'
-    WHEN 2 THEN 'property politicas should not exist; {lacking}; {ages}'
-    WHEN 5 THEN 'property extra should not exist'
-    WHEN 6 THEN 'limites_por_categoria.food.aprobado_hasta must be a positive number'
-    WHEN 7 THEN 'reglas_centro_costo.categoria_prohibida must be a string; property nota should not exist'
-    WHEN 8 THEN 'property politicas should not exist; moneda_base must be a string; {lacking}; {ages}'
-    WHEN 3 THEN 'moneda_base must be a string; {lacking}; {ages}' WHEN 9 THEN 'moneda_base must be a string; {lacking}; {ages}'
-    ELSE '' END AS errors, count(*) AS documents FROM docs0 GROUP BY 1, 2""",
-    )
+    q["policy_shape"] = _with(DOCUMENTS, "SELECT kind, shape AS errors, count(*) AS documents FROM checked GROUP BY ALL")
+    q["policy_contract"] = _with(DOCUMENTS, "SELECT kind, contract AS errors, count(*) AS documents FROM checked GROUP BY ALL")
     q["policy_resolution"] = _with(
-        DOCUMENTS,
-        """SELECT kind, CASE WHEN kind IN (0, 5, 10) THEN upper(trim(base)) WHEN kind IN (1, 2, 3) THEN 'EUR' ELSE 'CLP' END AS base,
-  CASE kind WHEN 2 THEN 'DEFAULT_POLICIES debe ser un JSON válido cuando se utiliza como fallback'
-    WHEN 3 THEN 'No se proporcionaron politicas y DEFAULT_POLICIES no está configurado' END AS error, count(*) AS documents
-FROM docs0 GROUP BY 1, 2, 3""",
+        DOCUMENTS
+        + """,
+sources AS (
+  SELECT kind, CASE WHEN kind IN (0, 1, 5, 10) THEN policies END AS chosen,
+    CASE WHEN kind = 2 THEN '{not json' WHEN kind <> 3 THEN '{"moneda_base": "CLP"}' END AS fallback FROM docs0)""",
+        """SELECT kind, upper(coalesce(nullif(trim(coalesce(chosen, CASE WHEN json_valid(fallback) THEN fallback END) ->> '$.moneda_base'), ''), 'eur')) AS base,
+  CASE WHEN chosen IS NULL AND NOT json_valid(fallback) THEN 'DEFAULT_POLICIES debe ser un JSON válido cuando se utiliza como fallback'
+    WHEN chosen IS NULL AND fallback IS NULL THEN 'No se proporcionaron politicas y DEFAULT_POLICIES no está configurado' END AS error, count(*) AS documents
+FROM sources GROUP BY ALL""",
     )
     q["policy_upsert"] = _with(
         DOCUMENTS,
         """SELECT name, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN base END AS base,
   CASE WHEN c_custkey % 3 <> 0 THEN '2000' ELSE '2001' END || '-01-01 00:00:00' AS created_at,
   CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN '2001' ELSE '2000' END || '-01-01 00:00:00' AS updated_at
-FROM docs0 WHERE kind NOT IN (1, 2, 3, 8, 9)""",
+FROM checked WHERE shape = ''""",
     )
     q["tenant_policies"] = _with(
         BASE
+        + ","
+        + DOCUMENTS
         + """,
-docs AS (SELECT c_custkey, c_custkey % 90 + 10 AS lim, CASE c_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'CLP' WHEN 2 THEN ' mxn ' ELSE 'EUR' END AS doc_base,
-    lower(c_mktsegment) AS cc FROM customer WHERE c_custkey % 12 IN (0, 10, 11)),
-rows0 AS (SELECT raw.*, lim, doc_base, cc, greatest(0, date_diff('day', CAST(fecha AS DATE), DATE '2001-01-01')) AS days
-  FROM raw JOIN docs ON o_custkey = c_custkey WHERE monto >= 0),
-marks AS (SELECT *, CASE WHEN days < lim THEN 0 WHEN days < lim * 2 THEN 1 ELSE 2 END AS s1,
-    CASE WHEN categoria <> 'food' OR monto <= lim * 3 THEN 0 WHEN monto <= lim * 4 THEN 1 ELSE 2 END AS s2,
-    CASE WHEN categoria = 'food' AND cost_center = cc THEN 2 ELSE 0 END AS s3,
-    (categoria <> 'food')::INT + (categoria = 'food' AND monto > lim * 3)::INT AS a2,
-    moneda = doc_base AS fits FROM rows0)""",
-        """SELECT status, error, count(*) AS expenses, CAST(sum(alerts) AS BIGINT) AS alerts FROM (
-  SELECT CASE WHEN fits THEN CASE greatest(s1, s2, s3) WHEN 0 THEN 'APROBADO' WHEN 1 THEN 'PENDIENTE' ELSE 'RECHAZADO' END END AS status,
-    CASE WHEN NOT fits THEN 'monto_base es requerido cuando moneda_original difiere de moneda_base' END AS error,
-    CASE WHEN fits THEN (s1 > 0)::INT + a2 + (s3 > 0)::INT END AS alerts FROM marks) GROUP BY status, error""",
+force AS (
+  SELECT c_custkey, CASE WHEN shape = '' THEN 'own' ELSE 'default' END AS policy_from, CASE WHEN shape = '' THEN nullif(contract, '') END AS refusal,
+    CASE WHEN shape = '' THEN j ELSE CAST('{"moneda_base":"USD","limite_antiguedad":{"pendiente_dias":30,"rechazado_dias":60},"limites_por_categoria":{"food":{"aprobado_hasta":100,"pendiente_hasta":150},'
+      || '"transport":{"aprobado_hasta":200,"pendiente_hasta":250}},"reglas_centro_costo":[{"cost_center":"core_engineering","categoria_prohibida":"food"}]}' AS JSON) END AS p FROM checked),
+rows0 AS (
+  SELECT raw.*, policy_from, refusal, p, greatest(0, date_diff('day', CAST(fecha AS DATE), DATE '2001-01-01')) AS days, p ->> '$.moneda_base' AS own_base,
+    CAST(p ->> '$.limite_antiguedad.pendiente_dias' AS DOUBLE) AS d1, CAST(p ->> '$.limite_antiguedad.rechazado_dias' AS DOUBLE) AS d2,
+    CAST(p ->> ('$.limites_por_categoria.' || categoria || '.aprobado_hasta') AS DOUBLE) AS upto, CAST(p ->> ('$.limites_por_categoria.' || categoria || '.pendiente_hasta') AS DOUBLE) AS most,
+    list_contains(list_transform(json_extract(p, '$.reglas_centro_costo[*]'), lambda r: (r ->> '$.cost_center') || '|' || (r ->> '$.categoria_prohibida')), cost_center || '|' || categoria) AS banned
+  FROM raw LEFT JOIN force ON o_custkey = c_custkey WHERE monto >= 0),
+marks AS (
+  SELECT *, CASE WHEN days < d1 THEN 0 WHEN days < d2 THEN 1 ELSE 2 END AS s1, CASE WHEN upto IS NULL OR monto <= upto THEN 0 WHEN monto <= most THEN 1 ELSE 2 END AS s2,
+    CASE WHEN banned THEN 2 ELSE 0 END AS s3, (upto IS NULL OR monto > upto)::INT AS a2,
+    coalesce(refusal, CASE WHEN moneda <> own_base THEN 'monto_base es requerido cuando moneda_original difiere de moneda_base' END) AS error FROM rows0)""",
+        """SELECT policy_from, status, error, count(*) AS expenses, CAST(sum(alerts) AS BIGINT) AS alerts FROM (
+  SELECT policy_from, error, CASE WHEN error IS NULL THEN CASE greatest(s1, s2, s3) WHEN 0 THEN 'APROBADO' WHEN 1 THEN 'PENDIENTE' ELSE 'RECHAZADO' END END AS status,
+    CASE WHEN error IS NULL THEN (s1 > 0)::INT + a2 + (s3 > 0)::INT END AS alerts FROM marks) GROUP BY policy_from, status, error""",
     )
     q["safe_file_names"] = "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS safe_name FROM pages"
     q["admissible_files"] = """SELECT page_id, filename FROM (

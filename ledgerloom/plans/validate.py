@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import APROBADO, PENDIENTE, RECHAZADO
-from ledgerloom.operators.policy import column_policy, literal_policy, policy_struct
+from ledgerloom.operators.lookup import dimension_join
+from ledgerloom.operators.policy import column_policy, literal_policy, policy_struct, tenant_documents
 from ledgerloom.operators.rules import STANDARD_RULES, Rule, evaluate
 from ledgerloom.plans.outcomes import normalize_amount, price
 
@@ -31,6 +33,36 @@ def validate(
     return evaluate(expenses, literal_policy(policy), as_of, tz, rules, strict=strict)
 
 
+def validate_tenants(
+    expenses: DataFrame,
+    documents: DataFrame,
+    key: str,
+    document: str,
+    default: Mapping,
+    as_of: datetime | date | None = None,
+    tz: str = "UTC",
+    rules: Sequence[Rule] = STANDARD_RULES,
+) -> DataFrame:
+    """C-01 under a policy per row: each expense under the document of its ``key``, all of them judged or refused.
+
+    Documents are checked once each, before the join. Expenses without a document, or whose document has not the shape
+    of one, come under the default; those whose document breaks the contract are refused with its violations. A popular
+    key is spread unless the documents are few enough to broadcast.
+    """
+    checked = tenant_documents(documents.select(key, F.col(document).alias("_policy_text")), "_policy_text", default)
+    joined = dimension_join(expenses, checked, [key], [F.col("id"), F.col("fecha")])
+    joined = joined.withColumns(
+        {
+            "_policy_text": F.coalesce("_policy_text", F.lit(json.dumps(default))),
+            "policy_from": F.coalesce("policy_from", F.lit("default")),
+        }
+    )
+    judged = validate(joined, "_policy_text", as_of, tz, rules).drop("_policy_text")
+    refused = F.col("policy_error").isNotNull()
+    none = {c: F.when(~refused, F.col(c)) for c in ("status", "alertas", "sugerencias")}
+    return judged.withColumns(none | {"error": F.coalesce("policy_error", "error")}).drop("policy_error")
+
+
 def validate_priced(
     expenses: DataFrame,
     policy: Mapping,

@@ -25,11 +25,12 @@ from ledgerloom.operators import fx, rules
 from ledgerloom.operators.abort import abort_batches, cut_at
 from ledgerloom.operators.contract import contract_errors
 from ledgerloom.operators.dedup import first_seen, mark_duplicates, not_persisted
-from ledgerloom.operators.lookup import dimension_join, spread
+from ledgerloom.operators.lookup import spread
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.policy import (
     base_currency,
     literal_policy,
+    parsed,
     policy_contract_errors,
     policy_errors,
     resolved_policy,
@@ -41,7 +42,7 @@ from ledgerloom.plans.audit import new_expenses, upsert_expenses
 from ledgerloom.plans.ingest import file_batches, file_totals, ingest_into, progress
 from ledgerloom.plans.outcomes import normalize_amount, price, run_records, with_fingerprint
 from ledgerloom.plans.regression import evaluate_history, mismatches, with_results
-from ledgerloom.plans.validate import status_breakdown, status_by_process, validate, validate_priced
+from ledgerloom.plans.validate import status_breakdown, status_by_process, validate_priced, validate_tenants
 from ledgerloom.session import new_path, tune
 from ledgerloom.sources import bridge
 from ledgerloom.sources.events import write_batch_events
@@ -779,22 +780,21 @@ def _by_kind(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("kind", *columns).agg(F.count("*").alias("documents"))
 
 
+def _parsed_documents(spark, sf_dir) -> DataFrame:
+    """The documents with ``document``, the variant that the checks read."""
+    return _documents(spark, sf_dir).withColumn("_raw", parsed(F.col("policies"))).withColumn("document", unwrap_policy(F.col("_raw"))).drop("_raw")
+
+
 @query
 def policy_shape(spark, sf_dir):
-    document = unwrap_policy(F.col("policies"))
-    return _by_kind(_documents(spark, sf_dir).select("kind", F.array_join(policy_errors(document), ". ").alias("errors")), "errors")
+    rows = _parsed_documents(spark, sf_dir)
+    return _by_kind(rows.select("kind", F.array_join(policy_errors(F.col("document")), ". ").alias("errors")), "errors")
 
 
 @query
 def policy_contract(spark, sf_dir):
-    rows = _documents(spark, sf_dir)
-    document = unwrap_policy(F.col("policies"))
-    return _by_kind(
-        rows.withColumn("document", document).select(
-            "kind", F.array_join(policy_contract_errors(F.col("document")), "; ").alias("errors")
-        ),
-        "errors",
-    )
+    rows = _parsed_documents(spark, sf_dir)
+    return _by_kind(rows.select("kind", F.array_join(policy_contract_errors(F.col("document")), "; ").alias("errors")), "errors")
 
 
 @query
@@ -821,8 +821,8 @@ def policy_resolution(spark, sf_dir):
 @query
 def policy_upsert(spark, sf_dir):
     """Documents of the even tenants and of every third one replace or join those of the other two thirds."""
-    rows = _documents(spark, sf_dir).withColumn("document", unwrap_policy(F.col("policies")))
-    fine = rows.where(F.size(policy_errors(F.col("document"))) == 0)
+    rows = _parsed_documents(spark, sf_dir)
+    fine = rows.where(F.size(policy_errors(F.col("document"))) == 0).withColumn("document", F.to_json("document"))
     at = lambda text: F.lit(text).cast("timestamp")
     existing = fine.where(F.col("c_custkey") % 3 != 0).select(
         "name", F.lit("{}").alias("policies"), at("2000-01-01 00:00:00").alias("created_at"), at("2000-01-01 00:00:00").alias("updated_at")
@@ -839,17 +839,11 @@ def policy_upsert(spark, sf_dir):
 
 @query
 def tenant_policies(spark, sf_dir):
-    """C-01 with a policy per row: each expense under the document of its employee."""
-    documents = (
-        _documents(spark, sf_dir)
-        .where(F.col("kind").isin(0, 10, 11))
-        .select(F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("empleado_id"), "policies")
-    )
+    """C-01 with a policy per row: each expense under the document of its employee, the default where that is unusable."""
+    documents = _documents(spark, sf_dir).select(F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("empleado_id"), "policies")
     expenses = normalize_amount(_expenses(spark, sf_dir)).where(~F.col("negative_amount_detected"))
-    # a popular employee is spread unless the documents are few enough to broadcast
-    joined = dimension_join(expenses, documents, ["empleado_id"], [F.col("id"), F.col("fecha")], how="inner")
-    judged = validate(joined, "policies", AS_OF)
-    return judged.groupBy("status", "error").agg(
+    judged = validate_tenants(expenses, documents, "empleado_id", "policies", STANDARD_POLICY, AS_OF)
+    return judged.groupBy("policy_from", "status", "error").agg(
         F.count("*").alias("expenses"), F.sum(F.size("alertas")).alias("alerts")
     )
 
