@@ -2,12 +2,14 @@
 
 Exact at any threshold ``num / den``. A set of n shingles has at most ``d = n (den - num) / den`` that a linked set lacks.
 
-1. *Count.* Shingles are 64-bit hashes in numeric order, one order for all sets. Each set gives the first ``q``, about ``1.5 d``, of its own. The
-   first k shingles that two linked sets share are among the first ``k + d`` of either, so linked sets share at least ``need`` of what they gave (``given``). Shingles
-   that two different sets gave are counted with one map-side combined aggregate; sets with fewer than ``need`` of those link with nothing. A passage
-   that many documents share is a small part of its documents, and does not make candidates of them.
-2. *Gather.* Among candidates, one per distinct set, shingles are counted exactly, and each set gives its ``d + 1`` rarest: linked sets have one of
-   these in common, in any common order. Documents are tied to the smallest one that gave the same shingle; connected components of the ties hold every link.
+1. *Count.* Shingles are 64-bit hashes in numeric order, one order for all sets. Each distinct set gives the first ``q = 2 (d + 1)`` of its
+   own. The first k shingles that two linked sets share are among the first ``k + d`` of either, so linked sets share at least ``need`` of what they gave
+   (``given``). How many sets gave a shingle is counted with one map-side combined aggregate; sets with fewer than ``need`` shingles that others gave too
+   link with nothing. A passage that many documents share is a small part of its documents, and does not make candidates of them.
+2. *Gather.* Of what it gave a candidate offers the ``q - need + 1`` rarest: in any common order, linked sets offer one shingle in common. Sizes fall into
+   classes such that linked sets have the same or the next one, and a shingle ties within a class and the next. Documents are tied to the smallest that
+   offers the same; connected components of the ties hold every link. Components above a block, which passages may still chain together, are gathered anew by the ``d + 1``
+   rarest of all their shingles.
 3. *Join.* A component's sets are cut into blocks of bounded size. A block's sets go into one prefix tree, ordered by how many
    of the block's sets hold a shingle; the tree is walked once for all sets together, partial overlaps
    are shared along a path, and a branch is left by every set that cannot reach the threshold with what remains.
@@ -38,7 +40,7 @@ from ledgerloom.llm.tables import stage
 from ledgerloom.llm.text import C1, C2, flat, longs, mix, shingle_sets, slices, word_hashes, words
 
 FEW_IDS = 1 << 20  # candidates up to this many (8 bytes each) are sent to every task
-FEW_KEYS = 1 << 22  # shared shingles up to this many (8 bytes each, 12 with counts) are sent to every task
+FEW_KEYS = 1 << 22  # shared shingles up to this many (12 bytes each) are sent to every task
 BLOCK = 48  # sets in a block of the first rounds
 CLOSING_BLOCK = 112  # in a block that is compared with others: larger, as copies per set fall with it
 BLOCK_SHINGLES = 1 << 18  # shingles in a block, unless one set alone has more
@@ -49,8 +51,8 @@ def given(n, num: int, den: int):
 
     def both(n):
         lacks = n * (den - num) // den
-        q = np.minimum(n, (3 * lacks + 4) // 2)
-        return q, q - lacks
+        q = np.minimum(n, 2 * (lacks + 1))
+        return q, np.maximum(q - lacks, 1)
 
     n = np.asarray(n)
     least = n - n * (den - num) // den  # a linked set has as many shingles, and those it gives may be fewer
@@ -92,13 +94,27 @@ def _held(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, ordered[at] == values if len(ordered) else np.zeros(len(values), bool)
 
 
-def _enough(batches: Iterator[pa.RecordBatch], shared: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows that have as many shared keys as linked sets need."""
+def size_classes(num: int, den: int) -> np.ndarray:
+    """The smallest size of each class. A class ends at the largest size that links with its smallest one, so linked sizes are no two classes apart."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(least[-1] * den // num + 1)
+    return np.array(least)
+
+
+def _offers(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(doc, key) of what candidates offer. The keys that no other set gave are the rarest."""
     for batch in batches:
         values, row = _lists(batch.column("keys"))
-        n = np.bincount(row[_held(values, shared)[1]], minlength=batch.num_rows)
-        ok = n >= np.maximum(given(batch.column("n").to_numpy(), num, den)[1], 1)
-        yield batch.drop_columns(["keys"]).filter(pa.array(ok))
+        at, held = _held(values, shared[0])
+        q, need = given(batch.column("n").to_numpy(), num, den)
+        values, row, df = values[held], row[held], shared[1][at[held]]
+        common = np.bincount(row, minlength=batch.num_rows)
+        order = np.lexsort((values, df, row))
+        values, row = values[order], row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        taken = (common >= need)[row] & (place < (common - need + 1)[row])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row[taken])) for c in ("doc", "n")] + [pa.array(values[taken])], ["doc", "n", "key"])
 
 
 def _rarest(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -237,21 +253,36 @@ def _few(keys: DataFrame, *columns: str) -> tuple[np.ndarray, ...] | None:
     return tuple(a[order] for a in arrays)
 
 
-def _candidates(seen: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, n, d1, d2) of the sets that share enough of the keys they gave with other sets."""
-    keyed = seen.where("doc is not null and n > 0")
-    keys = keyed.select("d1", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("key")
-    shared = stage(shared, "ngram-shared-keys")
-    few = _few(shared, "key")
+def _tied(keys: DataFrame) -> DataFrame:
+    """Ties (a, b) between the documents (doc, key) of a key, each with the smallest."""
+    least = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key", "a")
+    return keys.join(least, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+
+
+def _candidate_ties(keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties between candidates, from (doc, n, keys) of distinct sets."""
+    keys = keyed.select(F.explode("keys").alias("key"))
+    shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "ngram-shared-keys")
+    few = _few(shared, "key", "df")
     if few is not None:
-        sent = Shared(seen.sparkSession, few[0])
-        return keyed.mapInArrow(lambda it: _enough(it, sent.value, num, den), "doc long, n long, d1 long, d2 long")
-    lacks = F.expr(f"least(n - n * {den - num} div {den}, n)")  # the smallest linked set's size
-    less = F.floor(lacks * (den - num) / den)
-    need = F.greatest(F.least(lacks, F.floor((3 * less + 4) / 2)) - less, F.lit(1))
-    rows = keyed.select("doc", "n", "d1", "d2", F.explode("keys").alias("key"))
-    return rows.join(shared, "key").groupBy("doc", "n", "d1", "d2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= need).drop("k")
+        sent = Shared(keyed.sparkSession, few)
+        offers = keyed.mapInArrow(lambda it: _offers(it, sent.value, num, den), "doc long, n long, key long")
+    else:
+        least = F.expr(f"n - n * {den - num} div {den}")  # the smallest linked set's size
+        need = F.greatest(F.least(least, F.expr(f"2 * (({least_lacks(num, den)}) + 1)")) - F.expr(least_lacks(num, den)), F.lit(1))
+        rows = keyed.select("doc", "n", F.explode("keys").alias("key")).join(shared, "key")
+        held = rows.groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held")).withColumn("need", need)
+        held = held.where(F.size("held") >= F.col("need"))
+        offers = held.select("doc", "n", F.explode(F.slice("held", F.lit(1), (F.size("held") - F.col("need") + 1).cast("int"))["key"]).alias("key"))
+    bounds = F.array(*[F.lit(int(b)) for b in size_classes(num, den)])
+    offers = offers.withColumn("class", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
+    routed = offers.select("doc", F.explode(F.array(*[F.xxhash64("key", F.col("class") + k) for k in (0, 1)])).alias("key"))
+    return _tied(stage(routed, "ngram-offers"))
+
+
+def least_lacks(num: int, den: int) -> str:
+    """What the smallest set linked with one of ``n`` shingles may lack, in SQL."""
+    return f"(n - n * {den - num} div {den}) * {den - num} div {den}"
 
 
 def _ties(own: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,9 +298,7 @@ def _ties(own: DataFrame, num: int, den: int) -> DataFrame:
         lacks = F.expr(f"n * {den - num} div {den}")
         first = F.slice(F.array_sort("held"), F.lit(1), F.greatest(lacks + 1 - (F.col("n") - F.size("held")), F.lit(0)).cast("int"))
         keys = held.select("doc", F.explode(first["token"]).alias("key"))
-    keys = stage(keys, "ngram-prefixes")
-    least = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key", "a")
-    return keys.join(least, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    return _tied(stage(keys, "ngram-prefixes"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -281,16 +310,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     facts = seen.where("doc is not null and n > 0").select("doc", "n", "d1", "d2")
     alike = ["n", "d1", "d2"]
     firsts = stage(facts.groupBy(*alike).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "ngram-firsts")
-    several = firsts.where("copies > 1").select(*alike, "first")
-    copies = stage(facts.join(several, alike).select("doc", "first"), "ngram-copies")
-    found = stage(_candidates(seen, num, den).select(*alike).distinct(), "ngram-found")
-    chosen = stage(firsts.join(found, alike).select(F.col("first").alias("doc"), "n").dropDuplicates(["doc"]), "ngram-candidates")
-    narrow = chosen.select("doc")
-    narrow = F.broadcast(narrow) if chosen.count() <= FEW_IDS else narrow
+    several = stage(firsts.where("copies > 1").select(*alike, "first"), "ngram-several")
+    copies = stage(facts.join(several, alike).select("doc", "d1", "first"), "ngram-copies")
+    keyed = seen.where("doc is not null and n > 0").select("doc", "n", "d1", "keys")
+    more = stage(copies.where("doc <> first").select("doc", "d1"), "ngram-more") if not several.isEmpty() else None
+    if more is not None:
+        keyed = keyed.join(F.broadcast(more) if more.count() <= FEW_IDS else more, ["doc", "d1"], "left_anti")
+    parts = components(_candidate_ties(keyed.select("doc", "n", "keys"), num, den)).select(F.col("node").alias("doc"), F.col("root").alias("part"))
+    parts = stage(parts, "ngram-gathered")
+    narrow = parts.select("doc")
+    narrow = F.broadcast(narrow) if parts.count() <= FEW_IDS else narrow
     own = texts.join(narrow, "doc").mapInArrow(lambda it: _sets(it, n), "doc long, own array<long>")
     own = stage(own.dropDuplicates(["doc"]), "ngram-sets")
-    parts = components(_ties(own, num, den)).select(F.col("node").alias("doc"), F.col("root").alias("part"))
     ids = stage(own.select("doc", F.size("own").cast("long").alias("n")).join(parts, "doc").select("part", "n", "doc"), "ngram-parts")
+    chained = stage(ids.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("part"), "ngram-chained")
+    if not chained.isEmpty():
+        large = stage(ids.join(chained, "part"), "ngram-large-parts")
+        few_large = F.broadcast(large.select("doc")) if large.count() <= FEW_IDS else large.select("doc")
+        tight = components(_ties(own.join(few_large, "doc"), num, den)).select(F.col("node").alias("doc"), F.col("root").alias("part"))
+        large = large.drop("part").join(tight, "doc").select("part", "n", "doc")
+        ids = stage(ids.join(chained, "part", "left_anti").select("part", "n", "doc").unionByName(large), "ngram-tight-parts")
 
     def compare(blocked: DataFrame, *keys: str) -> DataFrame:
         """Links (part, a, b) found in blocks; ``keys`` name a block, the component first."""

@@ -199,6 +199,10 @@ def test_jaccard_counts_no_linked_set_out():
             if both and den * both >= num * (len(a) + len(b) - both):
                 (qa, na), (qb, nb) = (ngram_join.given(len(x), num, den) for x in (a, b))
                 assert len(np.intersect1d(a[:qa], b[:qb])) >= max(na, nb)
+        least = ngram_join.size_classes(num, den)
+        for n in range(1, 400):
+            small, large = (int(np.searchsorted(least, x, "right")) for x in (n, n * den // num))
+            assert large - small <= 1
 
 
 def test_toxicity_held_out(spark):
