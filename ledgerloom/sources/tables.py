@@ -1,53 +1,274 @@
-"""S-09: the stored tables as Parquet, partitioned by process where they have one."""
+"""S-09: the stored tables as groups of Parquet files, and one manifest that names the files in force.
+
+A table's rows lie in groups: those of one process together, or those whose key has one hash bucket. A commit writes
+the files of the groups that it changes, for any number of tables, and then one small manifest; until that stands, readers
+see the tables as they were, and the files of groups that nobody touched stay in force as they are. The manifest holds one
+entry per group, as a listing of partitions would; it never holds rows.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+# column whose values (or hash buckets) are the groups, and the number of buckets (0: a group per value)
+GROUPS: dict[str, tuple[str, int]] = {
+    "expenses": ("id", 16),
+    "job_runs": ("process_id", 0),
+    "job_run_stages": ("process_id", 0),
+    "file_process_batches": ("process_id", 0),
+    "file_processes": ("process_id", 4),
+    "validation_policies": ("name", 1),
+    "outcomes": ("process_id", 0),
+    "prints": ("fingerprint", 16),
+}
+ONE = ("", 1)  # a table that is not listed is one group
+# Columns that readers look single values up by: their files carry Bloom filters, so files without the value are not read.
+LOOKED_UP = {"expenses": ("job_id", "id"), "prints": ("fingerprint",)}
+FALSE_HITS = "0.000001"
 
-from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("expenses", "job_runs", "job_run_stages", "file_processes", "file_process_batches", "validation_policies")
-BY_PROCESS = ("job_runs", "job_run_stages", "file_process_batches")
+class Changed(RuntimeError):
+    """Another writer committed first."""
 
 
 @dataclass(frozen=True)
-class Store:
-    """Versioned tables under one root folder.
+class Files:
+    """A folder of the shared store, through Hadoop's file system."""
+
+    spark: SparkSession
+    root: str
+
+    def _open(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, path: str = "") -> list[str]:
+        p, fs = self._open(f"{self.root}/{path}".rstrip("/"))
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def text(self, path: str) -> str:
+        p, fs = self._open(f"{self.root}/{path}")
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
-    A table is replaced by writing its next version; readers resolve the newest
-    complete one, so no job overwrites what it reads.
-    """
+    def put(self, path: str, text: str) -> None:
+        """Write a new file; readers see all of it or nothing."""
+        p, fs = self._open(f"{self.root}/{path}")
+        draft, _ = self._open(f"{self.root}/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+        if fs.exists(p) or not (fs.mkdirs(p.getParent()) and fs.rename(draft, p)):
+            fs.delete(draft, False)
+            raise Changed(path)
+
+    def remove(self, path: str) -> None:
+        p, fs = self._open(f"{self.root}/{path}")
+        fs.delete(p, True)
+
+    def folder(self, value: str | None) -> str:
+        """The folder name of a group."""
+        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return utils.getPartitionPathString("_group", value) if value else "_group=__HIVE_DEFAULT_PARTITION__"
+
+
+@dataclass(frozen=True)
+class Store:
+    """Tables under one root folder. ``name`` is a key of ``GROUPS``, or any other for a table of one group."""
 
     spark: SparkSession
     root: str
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(
-            int(p.getName()[1:])
-            for p in done
-            if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        )
+    @property
+    def files(self) -> Files:
+        return Files(self.spark, self.root)
+
+    # ------------------------------------------------------------ manifests
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names("manifest") if n.endswith(".json"))
+
+    def manifest(self, at: int | None = None) -> dict:
+        known = self.versions()
+        at = (known[-1] if known else 0) if at is None else at
+        return json.loads(self.files.text(f"manifest/{at}.json")) if at else {"version": 0, "tables": {}, "marks": {}}
 
+    def mark(self, name: str):
+        """What a commit noted under ``name``: the last epoch of a stream, for example."""
+        return self.manifest()["marks"].get(name)
+
+    # ---------------------------------------------------------------- reads
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return name in self.manifest()["tables"]
+
+    def read(self, name: str, values: Sequence[str] | None = None, at: int | None = None) -> DataFrame:
+        """A table; with ``values`` only the groups in which rows of these process ids or buckets lie."""
+        return self._scan(self.manifest(at), name, values)
 
-    def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+    def _scan(self, manifest: dict, name: str, values: Sequence[str] | None = None) -> DataFrame:
+        if name not in manifest["tables"]:
             raise FileNotFoundError(f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}")
+        table = manifest["tables"][name]
+        schema = StructType.fromJson(table["schema"])
+        groups = table["groups"] if values is None else {g: table["groups"].get(g, []) for g in {self.files.folder(v) for v in values}}
+        paths = [f"{self.root}/data/{v}/{name}/{g}" for g, versions in groups.items() for v in versions]
+        reader = self.spark.read.schema(schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def group_of(self, name: str) -> Column:
+        """The group of a row, as text."""
+        column, buckets = GROUPS.get(name, ONE)
+        if not buckets:
+            return F.col(column).cast("string")
+        return F.lit("0") if buckets == 1 else F.pmod(F.xxhash64(column), F.lit(buckets)).cast("string")
+
+    def touched(self, name: str, keys: DataFrame) -> list[str]:
+        """The groups that hold, or would hold, rows of ``keys``: one value per group comes to the driver."""
+        return [r[0] for r in keys.select(self.group_of(name).alias("g")).distinct().collect()]
+
+    # --------------------------------------------------------------- writes
+    def commit(self, **marks) -> Commit:
+        """Changes that take effect together, at the end of a ``with`` block; ``marks`` are noted beside them."""
+        return Commit(self, self.manifest(), marks)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        version = (self._versions(name) or [0])[-1] + 1
-        path = f"{self.root}/{name}/v{version}"
-        if name in BY_PROCESS:
-            df.hint("rebalance", "process_id").write.mode("overwrite").partitionBy("process_id").parquet(path)
+        """Replace a whole table."""
+        with self.commit() as c:
+            c.replace(name, df)
+        return self.read(name)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete manifests but the last ``keep``, and files that none of those names."""
+        known = self.versions()
+        live = {v for at in known[-keep:] for t in self.manifest(at)["tables"].values() for vs in t["groups"].values() for v in vs}
+        newest = known[-1] if known else 0
+        for at in known[:-keep]:
+            self.files.remove(f"manifest/{at}.json")
+        for v in self.files.names("data"):
+            if v not in live and int(v.split("-")[0]) <= newest:
+                self.files.remove(f"data/{v}")
+
+
+@dataclass
+class Commit:
+    """One commit in the making. What it reads is the state that it started from."""
+
+    store: Store
+    base: dict
+    marks: dict
+    folder: str = ""
+    tables: dict = field(default_factory=dict)
+
+    def __enter__(self) -> Commit:
+        self.folder = f"{self.base['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        self.tables = {k: dict(v, groups={g: list(x) for g, x in v["groups"].items()}) for k, v in self.base["tables"].items()}
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self._finish()
+        elif self.folder:
+            self.store.files.remove(f"data/{self.folder}")
+
+    def _finish(self) -> None:
+        version = self.base["version"] + 1
+        whole = {"version": version, "tables": self.tables, "marks": self.base["marks"] | self.marks}
+        try:
+            self.store.files.put(f"manifest/{version}.json", json.dumps(whole))
+        except Changed:
+            self.store.files.remove(f"data/{self.folder}")
+            raise
+
+    def read(self, name: str, values: Sequence[str] | None = None) -> DataFrame:
+        return self.store._scan(self.base, name, values)
+
+    def exists(self, name: str) -> bool:
+        return name in self.base["tables"]
+
+    def _write(self, name: str, df: DataFrame) -> list[str]:
+        path = f"{self.store.root}/data/{self.folder}/{name}"
+        grouped = df.withColumn("_group", self.store.group_of(name)).hint("rebalance", "_group").write.mode("append").partitionBy("_group")
+        for column in LOOKED_UP.get(name, ()):
+            if column in df.columns:
+                grouped = grouped.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", FALSE_HITS)
+                grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", str(32 << 20))
+        before = set(self.store.files.names(f"data/{self.folder}/{name}"))
+        grouped.parquet(path)
+        if before:
+            raise ValueError(f"{name} is written twice in one commit")
+        return [n for n in self.store.files.names(f"data/{self.folder}/{name}") if n.startswith("_group=")]
+
+    def _entry(self, name: str, df: DataFrame) -> dict:
+        schema = json.loads(df.schema.json())
+        entry = self.tables.setdefault(name, {"schema": schema, "groups": {}})
+        wider = {f["name"]: f for f in entry["schema"]["fields"]} | {f["name"]: f for f in schema["fields"]}
+        entry["schema"] = {"type": "struct", "fields": [f | {"nullable": True} for f in wider.values()]}
+        return entry
+
+    def replace(self, name: str, df: DataFrame, values: Sequence[str] | None = None) -> None:
+        """``df`` becomes the whole table, or the whole of the groups ``values``; other groups keep their files."""
+        entry = self._entry(name, df)
+        new = self._write(name, df)
+        if values is None:
+            entry["groups"] = {}
+            entry["schema"] = json.loads(df.schema.json())
         else:
-            df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+            for g in {self.store.files.folder(v) for v in values}:
+                entry["groups"].pop(g, None)
+            strange = [g for g in new if g in entry["groups"]]
+            if strange:
+                raise ValueError(f"{name}: rows of groups that are not replaced: {strange}")
+        entry["groups"] |= {g: [self.folder] for g in new}
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Rows beside those that are there."""
+        entry = self._entry(name, df)
+        for g in self._write(name, df):
+            entry["groups"].setdefault(g, []).append(self.folder)
+
+    def drop(self, name: str, values: Sequence[str]) -> None:
+        """Forget whole groups: no file is read or written."""
+        for v in values:
+            self.tables[name]["groups"].pop(self.store.files.folder(v), None)
+
+    def amend(self, name: str, keys: DataFrame, key: str, add: DataFrame | None = None, change=None) -> None:
+        """Rewrite the groups that hold rows of ``keys``, and no others.
+
+        Those rows are left out, or replaced by ``change(rows)``; ``add`` are rows to put in. ``key`` must be the column that
+        the table is grouped by. Groups that ``add`` alone touches get files beside theirs.
+        """
+        keys = keys.select(key).distinct()
+        there = self.exists(name)
+        near = self.store.touched(name, keys) if there else []
+        old = self.read(name, near) if there else None
+        hit = []
+        if near:
+            hit = self.store.touched(name, old.select(key).join(keys, key, "left_semi"))
+        parts: list[DataFrame] = []
+        if hit:
+            rows = self.read(name, hit)
+            parts.append(rows.join(keys, key, "left_anti"))
+            if change is not None:
+                parts.append(change(rows.join(keys, key, "left_semi")))
+        if add is not None:
+            parts.append(add)
+        if not parts:
+            return
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p, allowMissingColumns=True)
+        entry = self._entry(name, whole)
+        gone = {self.store.files.folder(v) for v in hit}
+        for g in gone:
+            entry["groups"].pop(g, None)
+        for g in self._write(name, whole):
+            entry["groups"].setdefault(g, []).append(self.folder)

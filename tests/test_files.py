@@ -11,13 +11,14 @@ from ledgerloom.operators.lookup import dimension_join, is_small
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.numbering import number_in_order, running_sum
 from ledgerloom.operators.upsert import last_per_key, upsert_policies
+from ledgerloom.plans import stored
 from ledgerloom.plans.ingest import ingest_files, ingest_into, progress
 from ledgerloom.plans.outcomes import run_records
 from ledgerloom.plans.reports import list_processes
 from ledgerloom.session import stage, staging
 from ledgerloom.sources.events import bad_envelopes, known_patterns, read_batch_events, read_record_events
 from ledgerloom.sources.files import read_expense_csv, unique_names
-from ledgerloom.sources.tables import Store
+from ledgerloom.sources.tables import Changed, Store
 
 HEADER = "gasto_id,empleado_id, FECHA ,Monto,moneda,categoria,empleado_cost_center"
 
@@ -115,6 +116,78 @@ def test_keyed_writes(spark, tmp_path):
     assert saved == {"current": ("{1}", 2000, 2001), "t": ("{2}", 2001, 2001)}
 
 
+def files_of(store) -> dict[str, set[str]]:
+    """table -> the files in force."""
+    return {n: set(store.read(n).inputFiles()) for n in store.manifest()["tables"]}
+
+
+def test_commits_touch_only_their_groups(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    ids = spark.range(200).select(F.concat(F.lit("e"), F.col("id")).alias("id"), F.concat(F.lit("P/"), F.pmod("id", F.lit(4))).alias("process_id"))
+    with store.commit(stream=3) as c:
+        c.append("expenses", ids.select("id", F.concat(F.lit("j"), "id").alias("job_id"), F.lit(1).alias("n")))
+        c.append("job_runs", ids.select(F.concat(F.lit("j"), "id").alias("job_id"), F.col("id").alias("expense_id"), "process_id"))
+        c.append("job_run_stages", ids.select(F.concat(F.lit("j"), "id").alias("job_id"), "process_id"))
+        c.append("file_process_batches", ids.groupBy("process_id").agg(F.collect_list("id").alias("expense_ids")))
+        c.append("file_processes", ids.select("process_id").distinct())
+    before = files_of(store)
+    assert store.mark("stream") == 3 and store.read("job_runs", ["P/1"]).count() == 50 and store.read("job_runs", ["none"]).count() == 0
+
+    removed = stored.delete_jobs(store, spark.createDataFrame([("je1", "P/1"), ("je5", "P/1"), ("none", "P/1")], "job_id string, process_id string"))
+    assert removed == 2 and store.mark("stream") == 3
+    after = files_of(store)
+    assert store.read("expenses").where("job_id is null").count() == 2 and store.read("expenses").count() == 200
+    assert len(before["expenses"] - after["expenses"]) <= 2 and before["file_processes"] == after["file_processes"]
+    for name in ("job_runs", "job_run_stages"):
+        assert store.read(name).count() == 198
+        assert all("P%252F1" in f for f in before[name] ^ after[name])
+
+    for hard in (False, True):
+        before = files_of(store)
+        process = "P/2" if hard else "P/3"
+        stored.delete_process(store, process, hard=hard)
+        after = files_of(store)
+        for name in ("job_runs", "job_run_stages", "file_process_batches"):
+            assert not after[name] - before[name] and before[name] - after[name]
+            assert all(process.replace("/", "%252F") in f for f in before[name] - after[name])
+            assert store.read(name).where(F.col("process_id") == process).count() == 0
+    assert store.read("expenses").count() == 150 and store.read("expenses").where("job_id is null").count() == 52
+    assert {r.process_id for r in store.read("file_processes").collect()} == {"P/0", "P/1"}
+
+    def upsert(rows):
+        with store.commit() as c:
+            c.amend("expenses", rows, "id", add=rows)
+
+    before = files_of(store)
+    upsert(spark.createDataFrame([("e0", "new", 7)], "id string, job_id string, n int"))
+    after = files_of(store)
+    assert {(r.job_id, r.n) for r in store.read("expenses").where("id = 'e0'").collect()} == {("new", 7)}
+    assert len(after["expenses"] - before["expenses"]) == 1 == len(before["expenses"] - after["expenses"])
+    upsert(spark.createDataFrame([("unseen", "new", 7)], "id string, job_id string, n int"))
+    assert not after["expenses"] - files_of(store)["expenses"] and store.read("expenses").count() == 151
+
+
+def test_a_commit_is_whole_or_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("job_runs", spark.createDataFrame([("a", "p")], "job_id string, process_id string"))
+    with pytest.raises(ZeroDivisionError), store.commit() as c:
+        c.append("job_runs", spark.createDataFrame([("b", "p")], "job_id string, process_id string"))
+        raise ZeroDivisionError
+    assert store.read("job_runs").count() == 1 and len(store.files.names("data")) == 1
+    with pytest.raises(Changed), store.commit() as late:
+        late.append("job_runs", spark.createDataFrame([("c", "p")], "job_id string, process_id string"))
+        store.write("other", spark.range(3))
+    assert store.read("job_runs").count() == 1 and store.read("other").count() == 3
+    for n in range(4):
+        store.write("other", spark.range(n))
+    assert store.read("other").count() == 3 and store.read("other", at=4).count() == 1
+    store.vacuum(keep=2)
+    assert len(store.versions()) == 2 and len(store.files.names("data")) == 3
+    assert store.read("other").count() == 3 and store.read("job_runs").count() == 1
+    store.write("empty", spark.range(0))
+    assert store.read("empty").count() == 0 and store.read("empty").columns == ["id"]
+
+
 def test_every_file_has_its_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text('gasto_id,empleado_id,fecha,monto,moneda,categoria,empleado_cost_center\ng1,e1,2000-12-01,"1,5",USD,food,"a\nb"\ng2,e2,2000-12-02,,USD,food,c\n')
     (tmp_path / "b.csv").write_text("moneda , AMOUNT,id,date,employee,Category,costcenter\nCLP,4,h1,2000-12-03,e3,food,d\n")
@@ -133,7 +206,7 @@ def test_every_file_has_its_own_header(spark, tmp_path):
     (tmp_path / "more" / "e.csv").write_text("id,monto\nz,1\n")
     ingest_into(store, str(tmp_path / "more"), 10)
     assert {r.filename: r.process_seq for r in store.read("file_processes").collect()}["e.csv"] == 4
-    first = spark.read.parquet(str(tmp_path / "store" / "file_processes" / "v1"))
+    first = store.read("file_processes", at=1)
     assert {r.status for r in first.collect()} == {"PROCESANDO"} and store.read("file_process_batches").count() == 4
     outcomes = run_records(ingest_into(Store(spark, str(tmp_path / "other")), f"{tmp_path}/*.csv", 10), STANDARD_POLICY, STATIC_RATES)
     assert outcomes.count() == 3
