@@ -484,6 +484,49 @@ FROM numbered GROUP BY 1, 2""",
     )
     q["record_outcomes"] = _with(OUTCOMES, FLAT)
     q["stream_outcomes"] = q["record_outcomes"]
+    tenths = "CAST(sum(CAST(round({0} * 10) AS BIGINT)) AS BIGINT)"
+    q["stream_tables"] = _with(
+        STAGE_ROWS,
+        f"""SELECT 'expenses' AS table_name, validation_status AS kind, count(*) AS records, {tenths.format('base_amount')} AS tenths FROM stored GROUP BY 2
+UNION ALL SELECT 'job_runs', process_id || ':' || run_status, count(*), NULL FROM outcomes GROUP BY 2
+UNION ALL SELECT 'job_run_stages', stage || ':' || status, count(*), {tenths.format('base_amount')} FROM stages GROUP BY 2
+UNION ALL SELECT 'outcomes', process_id || ':' || outcome, count(*), {tenths.format('base_amount')} FROM outcomes GROUP BY 2
+UNION ALL SELECT 'prints', left(fingerprint, 1), count(*), NULL FROM (SELECT DISTINCT fingerprint FROM outcomes WHERE outcome = 'success') GROUP BY 2""",
+    )
+    # Single records come first and stand in one process; what they store is a stored duplicate in the batches after them.
+    q["stream_redelivery"] = _with(
+        OUTCOMES
+        + """,
+alone AS (SELECT DISTINCT * FROM (
+  SELECT process_id, id, empleado_id, fecha, monto, moneda, categoria, cost_center, given_base, given_rate, fingerprint, amount FROM assessed WHERE process_seq >= 4)),
+alone_ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS rn, max((monto >= 0 AND amount IS NOT NULL)::INT) OVER (PARTITION BY fingerprint) AS storable,
+  min((monto >= 0 AND amount IS NOT NULL)::INT) OVER (PARTITION BY fingerprint) AS always FROM alone),
+alone_states AS (SELECT *, CASE WHEN rn > 1 OR monto < 0 THEN 'skipped' WHEN amount IS NULL THEN 'failed' ELSE 'success' END AS state FROM alone_ranked),
+kept AS (SELECT DISTINCT fingerprint FROM alone_states WHERE state = 'success'),
+batch_firsts AS (SELECT a.*, a.seq = min(a.seq) OVER (PARTITION BY a.process_id, a.fingerprint) AS one, k.fingerprint IS NOT NULL AS known
+  FROM assessed a LEFT JOIN kept k ON k.fingerprint = a.fingerprint WHERE process_seq < 4),
+batch_turns AS (SELECT *, min(CASE WHEN one AND NOT known AND monto >= 0 AND amount IS NOT NULL THEN process_seq END) OVER (PARTITION BY fingerprint) AS first_turn FROM batch_firsts),
+batch_states AS (SELECT *, CASE WHEN known OR first_turn < process_seq OR NOT one OR monto < 0 THEN 'skipped' WHEN amount IS NULL THEN 'failed' ELSE 'success' END AS state FROM batch_turns),
+letters AS (SELECT c_custkey % 5 AS kind FROM customer)""",
+        """SELECT 'expense.created' AS kind, state, count(*) AS records FROM alone_states GROUP BY state
+UNION ALL SELECT 'expense.batch', state, count(*) FROM batch_states GROUP BY state
+UNION ALL SELECT CASE WHEN kind = 4 THEN 'registro inválido' ELSE 'sin pattern' END, 'intento 2', count(*) FROM letters WHERE kind IN (1, 2, 4) GROUP BY 1
+UNION ALL SELECT 'expenses', '', count(DISTINCT id) FROM (SELECT id FROM alone_states WHERE state = 'success' UNION ALL SELECT id FROM batch_states WHERE state = 'success')""",
+    )
+    changed = (
+        OUTCOMES.replace("WHEN moneda <> 'EUR' THEN floor(abs(monto) * static_rate * 10 + 0.5) / 10", "WHEN moneda <> 'EUR' THEN floor(abs(monto) * (static_rate * wave_factor) * 10 + 0.5) / 10")
+        .replace("SELECT *, CAST((seq - 1) // 500", "SELECT *, CASE WHEN process_seq < 4 OR moneda = 'USD' THEN 1e0 ELSE 2e0 END AS wave_factor, CAST((seq - 1) // 500")
+        .replace("days < 30", "days < CASE WHEN process_seq < 4 THEN 30 ELSE 1200 END")
+        .replace("days < 60", "days < CASE WHEN process_seq < 4 THEN 60 ELSE 2400 END")
+        .replace("WHEN 'transport' THEN 200", "WHEN 'transport' THEN CASE WHEN process_seq < 4 THEN 200 END")
+        .replace("WHEN 'transport' THEN 250", "WHEN 'transport' THEN CASE WHEN process_seq < 4 THEN 250 END")
+        .replace("cost_center = 'core_engineering' AND categoria = 'food'", "CASE WHEN process_seq < 4 THEN cost_center = 'core_engineering' AND categoria = 'food' ELSE cost_center = 'automobile' AND categoria = 'software' END")
+    )
+    q["stream_policy_change"] = _with(
+        changed,
+        f"""SELECT process_id, validation_status, count(*) AS records, CAST(sum(n_alerts) AS BIGINT) AS alerts, {tenths.format('base_amount')} AS tenths
+FROM outcomes WHERE outcome = 'success' GROUP BY 1, 2""",
+    )
     q["job_stages"] = _with(
         STAGE_ROWS,
         "SELECT job_id, stage, stage_order, status, source, reason, base_amount, alertas_count, error FROM stages",

@@ -139,22 +139,18 @@ def ingested_expenses(done: Ingested) -> DataFrame:
 
 
 def ingest_into(store: Store, path: str, batch_size: int, strict: bool = True) -> DataFrame:
-    """C-03 with K-04 and K-05: store the processes as PROCESANDO, then their batches, then their end.
+    """C-03 with K-04 and K-05: store the processes as PROCESANDO, then their batches and their end together.
 
-    Returns the canonical expenses, ready for ``run_records``.  Stored processes of other
-    files stay; a file that is read again replaces its own rows.
+    Returns the canonical expenses, ready for ``run_records``.  Files of other processes' batches stay as they
+    are; a file that is read again replaces its own rows. One id per file comes to the driver, as the listing of the files does.
     """
     known = store.read("file_processes") if store.exists("file_processes") else None
     after = 0 if known is None else known.agg(F.max("process_seq") + 1).first()[0] or 0
     done = ingest_files(store.spark, path, batch_size, strict, after=after)
-
-    def with_others(name: str, rows: DataFrame) -> DataFrame:
-        if not store.exists(name):
-            return rows
-        mine = stage(done.processes.select("process_id"), "ingested-processes")
-        return store.read(name).join(mine, "process_id", "left_anti").unionByName(rows, allowMissingColumns=True)
-
-    store.write("file_processes", with_others("file_processes", started(done)))
-    store.write("file_process_batches", with_others("file_process_batches", done.batches))
-    store.write("file_processes", with_others("file_processes", done.processes))
+    mine = stage(done.processes.select("process_id"), "ingested-processes")
+    with store.commit() as c:
+        c.amend("file_processes", mine, "process_id", add=started(done))
+    with store.commit() as c:
+        c.replace("file_process_batches", done.batches, [r[0] for r in mine.collect()])
+        c.amend("file_processes", mine, "process_id", add=done.processes)
     return ingested_expenses(done)

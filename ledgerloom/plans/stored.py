@@ -22,6 +22,12 @@ def store_outcomes(commit: Commit, outcomes: DataFrame, policy=None) -> None:
     commit.append("job_run_stages", job_stages(outcomes))
 
 
+def save_tables(commit: Commit, **tables: DataFrame) -> None:
+    """Write whole tables, by name."""
+    for name, df in tables.items():
+        commit.replace(name, df)
+
+
 def _loosen(commit: Commit, jobs: DataFrame, ids: DataFrame) -> None:
     """Expenses of ``jobs`` stay but lose their run; ``ids`` are the expenses that these runs named."""
     gone = jobs.select("job_id").distinct().withColumn("_gone", F.lit(True))

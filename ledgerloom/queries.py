@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import wraps
 
@@ -37,7 +37,7 @@ from ledgerloom.operators.policy import (
     unwrap_policy,
 )
 from ledgerloom.operators.upsert import upsert_policies
-from ledgerloom.plans import maintenance, reports
+from ledgerloom.plans import maintenance, reports, stored
 from ledgerloom.plans.audit import new_expenses, upsert_expenses
 from ledgerloom.plans.ingest import file_batches, file_totals, ingest_into, progress
 from ledgerloom.plans.outcomes import normalize_amount, price, run_records, with_fingerprint
@@ -45,12 +45,12 @@ from ledgerloom.plans.regression import evaluate_history, mismatches, with_resul
 from ledgerloom.plans.validate import status_breakdown, status_by_process, validate_priced, validate_tenants
 from ledgerloom.session import new_path, tune
 from ledgerloom.sources import bridge
-from ledgerloom.sources.events import write_batch_events
+from ledgerloom.sources.events import BATCH, RECORD_CREATED, envelope, write_batch_events
 from ledgerloom.sources.files import RESULT_COLUMN, admissible_files, read_results_csv, write_results_csv
 from ledgerloom.sources.tables import Store
-from ledgerloom.streaming.dedup_ttl import ttl_stream
+from ledgerloom.streaming.dedup_ttl import TtlStream
 from ledgerloom.streaming.metrics import metrics_stream, read_metrics
-from ledgerloom.streaming.outcomes import outcome_stream, read_outcomes, refreshed
+from ledgerloom.streaming.outcomes import RecordStream
 from ledgerloom.workspace import AS_OF, RATES, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,9 +655,8 @@ def q_merge_meta(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- maintenance
-def _tables(spark, sf_dir) -> maintenance.Tables:
-    space = workspace(spark, sf_dir)
-    return maintenance.Tables(space.runs, space.stages, space.expenses, space.batches, space.processes)
+def _tables(store: Store) -> maintenance.Tables:
+    return maintenance.Tables(*[store.read(n) for n in ("job_runs", "job_run_stages", "expenses", "file_process_batches", "file_processes")])
 
 
 def _sizes(tables: maintenance.Tables) -> DataFrame:
@@ -679,21 +678,26 @@ def _sizes(tables: maintenance.Tables) -> DataFrame:
 
 @query
 def jobs_deleted(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
-    doomed = tables.runs.where((F.col("process_id") == "P1") & (F.col("status") != "skipped"))
-    after, removed = maintenance.delete_jobs(tables, doomed)
-    gone = removed.select(F.lit("deleted").alias("table_name"), F.col("deleted").alias("records"), F.lit(0).cast("long").alias("detached"))
-    return _sizes(after).unionByName(gone)
+    store = workspace(spark, sf_dir).store()
+    doomed = store.read("job_runs", ["P1"]).where((F.col("process_id") == "P1") & (F.col("status") != "skipped"))
+    gone = stored.delete_jobs(store, doomed.select("job_id", "process_id"))
+    return _sizes(_tables(store)).unionByName(
+        spark.range(1).select(F.lit("deleted").alias("table_name"), F.lit(gone).cast("long").alias("records"), F.lit(0).cast("long").alias("detached"))
+    )
 
 
 @query
 def process_deleted_soft(spark, sf_dir):
-    return _sizes(maintenance.delete_process(_tables(spark, sf_dir), "P6"))
+    store = workspace(spark, sf_dir).store()
+    stored.delete_process(store, "P6")
+    return _sizes(_tables(store))
 
 
 @query
 def process_deleted_hard(spark, sf_dir):
-    return _sizes(maintenance.delete_process(_tables(spark, sf_dir), "P6", hard=True))
+    store = workspace(spark, sf_dir).store()
+    stored.delete_process(store, "P6", hard=True)
+    return _sizes(_tables(store))
 
 
 # ----------------------------------------------------------------- regressions
@@ -864,46 +868,146 @@ def q_admissible_files(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- streaming
+def _streamed(spark, sf_dir, name: str, waves: Sequence[Callable[[str], None]], store: Store | None = None, enveloped: bool = True, policy=STANDARD_POLICY) -> Store:
+    """Run each wave's lines (written under a folder) through one checkpoint: a later run resumes after the one before."""
+    root = new_path(spark, name)
+    store = store or Store(spark, f"{root}/store")
+    stream = RecordStream(store, policy, RATES, AS_OF, process_seq=F.substring("process_id", 2, 9), enveloped=enveloped)
+    for write in waves:
+        write(f"{root}/events")
+        stream.start(spark.readStream.text(f"{root}/events"), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store
+
+
+def _batch_wave(spark, sf_dir, low: int, high: int) -> Callable[[str], None]:
+    space = workspace(spark, sf_dir)
+    return lambda path: write_batch_events(space.records.where(F.col("process_seq").between(low, high)), space.columns, path)
+
+
+def _envelope_wave(spark, sf_dir, low: int, high: int, then: Callable[[], None] | None = None) -> Callable[[str], None]:
+    """The same batch events, as envelopes."""
+
+    def write(path: str) -> None:
+        bare = f"{path}-bare-{low}-{high}"
+        _batch_wave(spark, sf_dir, low, high)(bare)
+        spark.read.text(bare).select(envelope(BATCH, F.col("value")).alias("value")).write.mode("append").text(path)
+        if then:
+            then()
+
+    return write
+
+
 @query
 def stream_outcomes(spark, sf_dir):
     """Batch events in two waves through one checkpoint; the second run resumes after the first."""
+    store = _streamed(spark, sf_dir, "stream-outcomes", [_batch_wave(spark, sf_dir, low, low + 3) for low in (0, 4)], enveloped=False)
+    return _flat_outcomes(store.read("outcomes"))
+
+
+@query
+def stream_tables(spark, sf_dir):
+    """K-08: what the tables of a stream hold after two waves of envelopes, the last epoch of which is run again."""
+    store = _streamed(spark, sf_dir, "stream-tables", [_envelope_wave(spark, sf_dir, low, low + 3) for low in (0, 4)])
+    again = RecordStream(store, STANDARD_POLICY, RATES, AS_OF)
+    again.run(spark.createDataFrame([("{}",)], "value string"), store.mark(again.name) - 1)
+
+    def rows(name: str, kind: Column, amount: Column) -> DataFrame:
+        table = store.read(name).groupBy(kind.alias("kind")).agg(F.count("*").alias("records"), F.sum(amount).cast("long").alias("tenths"))
+        return table.select(F.lit(name).alias("table_name"), "kind", "records", "tenths")
+
+    tenths = lambda c: F.round(F.col(c) * 10).cast("long")
+    none = F.lit(None).cast("long")
+    return (
+        rows("expenses", F.col("validation_status"), tenths("monto_base"))
+        .unionByName(rows("job_runs", F.concat_ws(":", "process_id", "status"), none))
+        .unionByName(rows("job_run_stages", F.concat_ws(":", "stage", "status"), tenths("data.base_amount")))
+        .unionByName(rows("outcomes", F.concat_ws(":", "process_id", "outcome"), tenths("base_amount")))
+        .unionByName(rows("prints", F.substring("fingerprint", 1, 1), none))
+    )
+
+
+def _strange_letters(spark, sf_dir) -> DataFrame:
+    """Per customer one line: a pattern that nobody handles, no pattern, no JSON, records that are no array, or a record that lacks fields."""
+    customers = bridge.table(spark, sf_dir, "customer", "c_custkey")
+    key = F.col("c_custkey").cast("string")
+    kinds = [
+        envelope("expense.deleted", F.concat(F.lit('{"id":'), key, F.lit("}"))),
+        F.concat(F.lit('{"data":{"id":'), key, F.lit("}}")),
+        F.concat(F.lit('{"pattern":"expense.batch","data":'), key),
+        envelope(BATCH, F.concat(F.lit('{"processId":"X'), key, F.lit('","batchIndex":1,"records":{"id":"1"}}'))),
+        envelope(RECORD_CREATED, F.concat(F.lit('{"id":"'), key, F.lit('","monto":"5"}'))),
+    ]
+    return customers.select(F.element_at(F.array(*kinds), (F.pmod("c_custkey", F.lit(5)) + 1).cast("int")).alias("value"))
+
+
+@query
+def stream_redelivery(spark, sf_dir):
+    """ST-3/S-04/P-09: single records, then batches, with strange envelopes among them; every line is delivered twice at once, and all again later."""
     space = workspace(spark, sf_dir)
-    root = new_path(spark, "stream-outcomes")
-    policy = refreshed(lambda: STANDARD_POLICY)
-    rates = refreshed(lambda: RATES)
-    for low in (0, 4):
-        wave = space.records.where(F.col("process_seq").between(low, low + 3))
-        write_batch_events(wave, space.columns, f"{root}/events")
-        stream = outcome_stream(
-            spark.readStream.text(f"{root}/events"),
-            f"{root}/outcomes",
-            f"{root}/checkpoint",
-            policy,
-            rates,
-            AS_OF,
-            process_seq=F.substring("process_id", 2, 9),
-            available_now=True,
-        )
-        stream.awaitTermination()
-    return _flat_outcomes(read_outcomes(spark, f"{root}/outcomes"))
+    raw = space.records.where("process_seq >= 4").select(envelope(RECORD_CREATED, F.to_json(F.struct(*space.columns))).alias("value"))
+
+    def singles(path: str) -> None:
+        lines = raw.unionByName(_strange_letters(spark, sf_dir))
+        lines.unionByName(lines).write.mode("append").text(path)
+
+    batch = _envelope_wave(spark, sf_dir, 0, 3)
+
+    def both(path: str) -> None:
+        batch(path)
+        batch(path)
+        singles(path)
+
+    store = _streamed(spark, sf_dir, "stream-redelivery", [singles, both])
+    runs = store.read("job_runs").groupBy(F.col("pattern").alias("kind"), F.col("status").alias("state")).agg(F.count("*").alias("records"))
+    letters = store.read("letters_waiting").groupBy(F.col("reason").alias("kind"), F.concat(F.lit("intento "), F.col("attempts")).alias("state")).agg(F.count("*").alias("records"))
+    dead = store.read("letters_dead").groupBy("reason", "attempts").agg(F.count("*").alias("records")).select(F.col("reason").alias("kind"), F.lit("muerta").alias("state"), "records")
+    stored_rows = store.read("expenses").agg(F.count("*").alias("records")).select(F.lit("expenses").alias("kind"), F.lit("").alias("state"), "records")
+    return runs.unionByName(letters).unionByName(dead).unionByName(stored_rows)
+
+
+CHANGED_POLICY = STANDARD_POLICY | {
+    "limite_antiguedad": {"pendiente_dias": 1200, "rechazado_dias": 2400},
+    "limites_por_categoria": {"food": {"aprobado_hasta": 100, "pendiente_hasta": 150}},
+    "reglas_centro_costo": [{"cost_center": "automobile", "categoria_prohibida": "software"}],
+}
+
+
+@query
+def stream_policy_change(spark, sf_dir):
+    """ST-5/J-10: the stored policy and rates are replaced between two waves; each wave comes under those in force when its epoch began."""
+    store = Store(spark, new_path(spark, "stream-policies"))
+    at = F.lit("2001-01-01 00:00:00").cast("timestamp")
+
+    def keep(policy: dict, factor: float) -> None:
+        document = spark.range(1).select(F.lit("current").alias("name"), F.lit(json.dumps(policy)).alias("policies"), at.alias("created_at"), at.alias("updated_at"))
+        cells = [x for c, r in RATES.items() for x in (F.lit(c), F.lit(r * (1.0 if c == "USD" else factor)))]
+        rates = spark.range(1).select(F.explode(F.create_map(*cells)).alias("currency", "rate"))
+        with store.commit() as c:
+            c.replace("validation_policies", document)
+            c.replace("exchange_rates", rates.select("currency", F.lit("USD").alias("base"), F.lit(None).cast("string").alias("date"), "rate"))
+
+    keep(STANDARD_POLICY, 1.0)
+    first = _envelope_wave(spark, sf_dir, 0, 3)
+    second = _envelope_wave(spark, sf_dir, 4, 7, then=lambda: keep(CHANGED_POLICY, 2.0))
+    store = _streamed(spark, sf_dir, "stream-policy-change", [first, second], store, policy=None)
+    done = store.read("outcomes").where(F.col("outcome") == "success")
+    return done.groupBy("process_id", "validation_status").agg(
+        F.count("*").alias("records"), F.sum(F.size("validation_alerts")).alias("alerts"), F.sum(F.round(F.col("base_amount") * 10).cast("long")).alias("tenths")
+    )
 
 
 @query
 def stream_dedup_ttl(spark, sf_dir):
     store = Store(spark, new_path(spark, "stream-ttl"))
-    schema = bridge.SCHEMAS["events"]
     events = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(bridge.SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
         .select("event_id", "ts", "user_id", "event_type")
     )
-    ttl_stream(
-        events, store, f"{store.root}/checkpoint", ["event_type", "user_id"], "ts", "event_id", 86_400, available_now=True
-    ).awaitTermination()
-    return spark.read.option("basePath", f"{store.root}/marked").parquet(f"{store.root}/marked").select(
-        "event_id", "event_type", "user_id", "mark"
-    )
+    stream = TtlStream(store, ["event_type", "user_id"], "ts", "event_id", 86_400)
+    stream.start(events, f"{store.root}/checkpoint", available_now=True).awaitTermination()
+    return store.read("marked").select("event_id", "event_type", "user_id", "mark")
 
 
 @query

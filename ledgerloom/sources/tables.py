@@ -27,11 +27,16 @@ GROUPS: dict[str, tuple[str, int]] = {
     "validation_policies": ("name", 1),
     "outcomes": ("process_id", 0),
     "prints": ("fingerprint", 16),
+    "delivered": ("delivery", 16),
+    "seen": ("lives_until", 0),
+    "ttl_state": ("key", 16),
 }
 ONE = ("", 1)  # a table that is not listed is one group
 # Columns that readers look single values up by: their files carry Bloom filters, so files without the value are not read.
-LOOKED_UP = {"expenses": ("job_id", "id"), "prints": ("fingerprint",)}
+LOOKED_UP = {"expenses": ("job_id", "id"), "prints": ("fingerprint",), "delivered": ("delivery",), "seen": ("fingerprint",)}
 FALSE_HITS = "0.000001"
+PROBES = 4096  # values looked up by name, on the driver; beyond that by a join with the groups they fall into
+FAN = 8  # parts of one size that a group collects before they become one of the next size
 
 
 class Changed(RuntimeError):
@@ -120,10 +125,32 @@ class Store:
         table = manifest["tables"][name]
         schema = StructType.fromJson(table["schema"])
         groups = table["groups"] if values is None else {g: table["groups"].get(g, []) for g in {self.files.folder(v) for v in values}}
-        paths = [f"{self.root}/data/{v}/{name}/{g}" for g, versions in groups.items() for v in versions]
+        paths = [f"{folder}/{name}/{g}" for g, parts in groups.items() for folder, _ in parts]
         reader = self.spark.read.schema(schema)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def values(self, name: str) -> list[str]:
+        """The folder names of a table's groups, without their prefix."""
+        table = self.manifest()["tables"].get(name)
+        return sorted(g.removeprefix("_group=") for g in table["groups"]) if table else []
+
+    def lookup(self, name: str, column: str, keys: DataFrame, values: Sequence[str] | None = None, at: int | None = None) -> DataFrame | None:
+        """The rows whose ``column`` is one of the distinct ``keys`` (stored rows); None without a table.
+
+        A few keys go to the scan as they are, where the Bloom filters of files that lack them keep those from being read. More
+        are joined with the groups that they fall into.
+        """
+        manifest = self.manifest(at)
+        if name not in manifest["tables"]:
+            return None
+        few = keys.select(column).limit(PROBES + 1).collect()
+        if len(few) <= PROBES:
+            found = [r[0] for r in few if r[0] is not None]
+            return self._scan(manifest, name, values).where(F.col(column).isin(found)) if found else self._scan(manifest, name, [])
+        if values is None and GROUPS.get(name, ONE)[0] == column:
+            values = self.touched(name, keys)
+        return self._scan(manifest, name, values).join(keys.select(column), column, "left_semi")
+
     def group_of(self, name: str) -> Column:
         """The group of a row, as text."""
         column, buckets = GROUPS.get(name, ONE)
@@ -146,15 +173,39 @@ class Store:
             c.replace(name, df)
         return self.read(name)
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete manifests but the last ``keep``, and files that none of those names."""
+    def clone(self, root: str) -> Store:
+        """A store of its own that starts from the same files; changes of one don't show in the other."""
+        other = Store(self.spark, root)
+        other.files.put("manifest/1.json", json.dumps(self.manifest() | {"version": 1}))
+        return other
+
+    def compact(self, *names: str) -> None:
+        """Merge parts of one size, so that a group has few files however often rows were added; nothing is merged before ``FAN`` parts are there.
+
+        A row is copied once for each power of ``FAN`` that its group grows by.
+        """
+        known = self.manifest()["tables"]
+        full: dict[tuple[str, int], list[str]] = {}
+        for name in names:
+            for g, parts in known.get(name, {"groups": {}})["groups"].items():
+                tiers = [t for _, t in parts]
+                for t in {t for t in tiers if tiers.count(t) >= FAN}:
+                    full.setdefault((name, t), []).append(g)
+        for (name, tier), groups in full.items():
+            with self.commit() as c:
+                c.merge(name, groups, tier)
+
+    def vacuum(self, keep: int = 2, pinned: Sequence[int] = ()) -> None:
+        """Delete manifests but the last ``keep`` and those ``pinned``, and own files that none of these names."""
         known = self.versions()
-        live = {v for at in known[-keep:] for t in self.manifest(at)["tables"].values() for vs in t["groups"].values() for v in vs}
+        kept = sorted({*known[-keep:], *(v for v in pinned if v in known)})
+        live = {f for at in kept for t in self.manifest(at)["tables"].values() for parts in t["groups"].values() for f, _ in parts}
         newest = known[-1] if known else 0
-        for at in known[:-keep]:
-            self.files.remove(f"manifest/{at}.json")
+        for at in known:
+            if at not in kept:
+                self.files.remove(f"manifest/{at}.json")
         for v in self.files.names("data"):
-            if v not in live and int(v.split("-")[0]) <= newest:
+            if f"{self.root}/data/{v}" not in live and int(v.split("-")[0]) <= newest:
                 self.files.remove(f"data/{v}")
 
 
@@ -165,19 +216,23 @@ class Commit:
     store: Store
     base: dict
     marks: dict
-    folder: str = ""
+    name: str = ""
     tables: dict = field(default_factory=dict)
 
     def __enter__(self) -> Commit:
-        self.folder = f"{self.base['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        self.name = f"{self.base['version'] + 1}-{uuid.uuid4().hex[:8]}"
         self.tables = {k: dict(v, groups={g: list(x) for g, x in v["groups"].items()}) for k, v in self.base["tables"].items()}
         return self
 
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             self._finish()
-        elif self.folder:
-            self.store.files.remove(f"data/{self.folder}")
+        else:
+            self.store.files.remove(f"data/{self.name}")
+
+    @property
+    def folder(self) -> str:
+        return f"{self.store.root}/data/{self.name}"
 
     def _finish(self) -> None:
         version = self.base["version"] + 1
@@ -185,7 +240,7 @@ class Commit:
         try:
             self.store.files.put(f"manifest/{version}.json", json.dumps(whole))
         except Changed:
-            self.store.files.remove(f"data/{self.folder}")
+            self.store.files.remove(f"data/{self.name}")
             raise
 
     def read(self, name: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -195,17 +250,16 @@ class Commit:
         return name in self.base["tables"]
 
     def _write(self, name: str, df: DataFrame) -> list[str]:
-        path = f"{self.store.root}/data/{self.folder}/{name}"
+        path = f"{self.folder}/{name}"
         grouped = df.withColumn("_group", self.store.group_of(name)).hint("rebalance", "_group").write.mode("append").partitionBy("_group")
         for column in LOOKED_UP.get(name, ()):
             if column in df.columns:
                 grouped = grouped.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", FALSE_HITS)
                 grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", str(32 << 20))
-        before = set(self.store.files.names(f"data/{self.folder}/{name}"))
-        grouped.parquet(path)
-        if before:
+        if self.store.files.names(f"data/{self.name}/{name}"):
             raise ValueError(f"{name} is written twice in one commit")
-        return [n for n in self.store.files.names(f"data/{self.folder}/{name}") if n.startswith("_group=")]
+        grouped.parquet(path)
+        return [n for n in self.store.files.names(f"data/{self.name}/{name}") if n.startswith("_group=")]
 
     def _entry(self, name: str, df: DataFrame) -> dict:
         schema = json.loads(df.schema.json())
@@ -227,18 +281,27 @@ class Commit:
             strange = [g for g in new if g in entry["groups"]]
             if strange:
                 raise ValueError(f"{name}: rows of groups that are not replaced: {strange}")
-        entry["groups"] |= {g: [self.folder] for g in new}
+        entry["groups"] |= {g: [[self.folder, 0]] for g in new}
 
     def append(self, name: str, df: DataFrame) -> None:
         """Rows beside those that are there."""
         entry = self._entry(name, df)
         for g in self._write(name, df):
-            entry["groups"].setdefault(g, []).append(self.folder)
+            entry["groups"].setdefault(g, []).append([self.folder, 0])
+
+    def merge(self, name: str, groups: Sequence[str], tier: int) -> None:
+        """The parts of one size in these groups (folder names) become one of the next size each."""
+        entry = self.tables[name]
+        old = {g: [p for p in entry["groups"][g] if p[1] == tier] for g in groups}
+        rows = self.store._scan({"tables": {name: entry | {"groups": old}}}, name)
+        self._write(name, rows)
+        for g in groups:
+            entry["groups"][g] = [p for p in entry["groups"][g] if p[1] != tier] + [[self.folder, tier + 1]]
 
     def drop(self, name: str, values: Sequence[str]) -> None:
         """Forget whole groups: no file is read or written."""
         for v in values:
-            self.tables[name]["groups"].pop(self.store.files.folder(v), None)
+            self.tables.get(name, {"groups": {}})["groups"].pop(self.store.files.folder(v), None)
 
     def amend(self, name: str, keys: DataFrame, key: str, add: DataFrame | None = None, change=None) -> None:
         """Rewrite the groups that hold rows of ``keys``, and no others.
@@ -271,4 +334,4 @@ class Commit:
         for g in gone:
             entry["groups"].pop(g, None)
         for g in self._write(name, whole):
-            entry["groups"].setdefault(g, []).append(self.folder)
+            entry["groups"].setdefault(g, []).append([self.folder, 0])

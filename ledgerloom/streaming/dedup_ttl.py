@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.lookup import HOT_ROWS, group_join
+from ledgerloom.operators.lookup import HOT_ROWS
 from ledgerloom.session import stage, staging
-from ledgerloom.sources.tables import Store
+from ledgerloom.sources.tables import GROUPS, Store
 
 FIRST = "first"
 SKIPPED = "skipped"
@@ -22,6 +22,51 @@ def keep_first(events: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: int
     return events.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(list(keys))
 
 
+def _slice(at: Column, width: int) -> Column:
+    return F.floor(at / F.lit(width)).cast("long")
+
+
+def _successors(points: DataFrame, probes: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(origin, node): for each probe (keys, at, origin) the first point (keys, at, node) of its key at or after its time.
+
+    Points and probes of a key meet in slices of time, each sorted on its own. A probe behind the last point of its slice takes
+    the first one of the key's next slice that has any, found among one row per slice.
+    """
+    none = F.lit(None).cast("long")
+    own = points.select(*keys, _slice(F.col("at"), width).alias("slice"), "at", "node", none.alias("origin"), F.lit(1).alias("kind"))
+    asked = probes.select(*keys, _slice(F.col("at"), width).alias("slice"), "at", none.alias("node"), "origin", F.lit(0).alias("kind"))
+    falling = Window.partitionBy(*keys, "slice").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    met = own.unionByName(asked).withColumn("hit", F.last("node", ignorenulls=True).over(falling)).where("kind = 0")
+    met = stage(met.select(*keys, "slice", "origin", F.col("hit").alias("node")), "ttl-met")
+    late = met.where("node is null")
+    if late.isEmpty():
+        return met.select("origin", "node")
+    head = F.min(F.struct("at", "node"))["node"]
+    heads = own.groupBy(*keys, "slice").agg(head.alias("head")).unionByName(late.select(*keys, "slice", none.alias("head")))
+    heads = heads.groupBy(*keys, "slice").agg(F.max("head").alias("head"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    following = heads.withColumn("next", F.last("head", ignorenulls=True).over(after)).where("next is not null").select(*keys, "slice", "next")
+    found = late.join(following, [*keys, "slice"]).select("origin", F.col("next").alias("node"))
+    return met.where("node is not null").select("origin", "node").unionByName(found)
+
+
+def _reach(starts: DataFrame, following: DataFrame) -> DataFrame:
+    """The nodes on the chains from ``starts`` (node) along ``following`` (origin, node).
+
+    Pointer doubling: each round the marked part of every chain doubles, and so does the length of a jump. n nodes of a
+    chain take log2(n) + 1 rounds; jumps beyond a chain's end fall away.
+    """
+    marked, jump = [stage(starts, "ttl-marked")], stage(following, "ttl-jump")
+    while True:
+        known = reduce(DataFrame.unionByName, marked)
+        more = stage(known.join(jump.withColumnRenamed("node", "to"), F.col("node") == F.col("origin")).select(F.col("to").alias("node")), "ttl-marked")
+        if more.isEmpty():
+            return known
+        marked.append(more)
+        then = jump.select(F.col("origin").alias("node"), F.col("node").alias("to"))
+        jump = stage(jump.join(then, "node").select("origin", F.col("to").alias("node")), "ttl-jump")
+
+
 def mark_first(
     events: DataFrame,
     keys: Sequence[str],
@@ -34,74 +79,70 @@ def mark_first(
     """(events with ``mark``, next state) for one bounded set of events.
 
     The first event of a key starts its time to live; duplicates do not extend it; the
-    first event at or after the end starts the next one.  Each round accepts at most
-    one event per key, so there are as many rounds as lifetimes fit into the time
-    span of ``events``.  ``seconds`` is the event time as LONG microseconds, ``order``
-    a unique LONG that breaks ties.
+    first event at or after the end starts the next one. Every event points to the one that would follow it, and the events on a key's
+    chain of pointers are the first ones. A key's events are sorted in slices of one time to live, or of a fraction of it
+    when a slice would hold more than ``hot_rows`` times. ``seconds`` is the event time as LONG microseconds, ``order``
+    a unique LONG that breaks ties; events of one key and time are one point from the start.
     """
     keys = list(keys)
     ttl = ttl_seconds * 1_000_000
     events = stage(events, "ttl-events")
-    sizes = events.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    points = events.groupBy(*keys, F.col(seconds).alias("at")).agg(F.min(order).alias("node"))
+    points = stage(points, "ttl-points")
+    most = points.groupBy(*keys, _slice(F.col("at"), ttl)).count().agg(F.max("count")).first()[0] or 0
+    width = max(1, ttl // max(1, -(-most // hot_rows)))
+    following = _successors(points, points.select(*keys, (F.col("at") + ttl).alias("at"), F.col("node").alias("origin")), keys, width)
+    first = points.groupBy(*keys).agg(F.min(F.struct("at", "node"))["node"].alias("node"))
     if state is None:
-        open_keys = sizes.withColumn("expires", F.lit(None).cast("long"))
+        starts = first.select("node")
     else:
-        open_keys = sizes.join(state.select(*keys, "expires"), keys, "left")
-    rounds: list[DataFrame] = []
-    while True:
-        candidates = group_join(events, open_keys, keys, "_rows", F.col(order) + 1, hot_rows).where(
-            F.col("_rows").isNotNull() & (F.col("expires").isNull() | (F.col(seconds) >= F.col("expires")))
-        )
-        first = F.min(F.struct(F.col(seconds), F.col(order)))
-        found = candidates.groupBy(*keys, "_rows").agg(first.alias("_first"))
-        found = stage(found.withColumn("expires", F.col("_first")[seconds] + ttl), "ttl-round")
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        # a key without a new start has no later event either
-        open_keys = found.select(*keys, "_rows", "expires")
-    if not rounds:
-        none = sizes.select(*keys, F.lit(None).cast("long").alias("expires")).limit(0)
-        return events.withColumn("mark", F.lit(SKIPPED)), none if state is None else state
-    started = reduce(DataFrame.unionByName, rounds)
-    accepted = started.select(F.col("_first")[order].alias(order), F.lit(True).alias("_new"))
-    marked = (
-        events.join(accepted, order, "left")
-        .withColumn("mark", F.when(F.col("_new"), F.lit(FIRST)).otherwise(F.lit(SKIPPED)))
-        .drop("_new")
-    )
-    now = started.groupBy(*keys).agg(F.max("expires").alias("expires"))
-    if state is not None:
-        now = state.select(*keys, "expires").join(now.select(*keys), keys, "left_anti").unionByName(now)
-    return marked, now
-
-
-def ttl_stream(
-    events: DataFrame,
-    store: Store,
-    checkpoint: str,
-    keys: Sequence[str],
-    ts: str,
-    order: str,
-    ttl_seconds: int,
-    available_now: bool = False,
-) -> StreamingQuery:
-    """ST-2 with the duplicates written out as ``skipped``; the state is a versioned table.
+        known = state.select(*keys, "expires")
+        waiting = first.join(known, keys).select(*keys, F.col("expires").alias("at"), F.col("node").alias("origin"))
+        starts = first.join(known, keys, "left_anti").select("node").unionByName(_successors(points, waiting, keys, width).select("node"))
+    accepted = stage(_reach(starts.where("node is not null"), following.where("node is not null")), "ttl-accepted")
+    new = accepted.select(F.col("node").alias(order), F.lit(True).alias("_new"))
+    marked = events.join(new, order, "left").withColumn("mark", F.when(F.col("_new"), F.lit(FIRST)).otherwise(F.lit(SKIPPED))).drop("_new")
+    renewed = points.join(accepted, "node").groupBy(*keys).agg((F.max("at") + ttl).alias("expires"))
+    if state is None:
+        return marked, renewed
+    renewed = stage(renewed, "ttl-renewed")
+    return marked, state.select(*keys, "expires").join(renewed, keys, "left_anti").unionByName(renewed)
+
+
+class TtlStream:
+    """ST-2 with the duplicates written out as ``skipped``: table ``marked``, and the open keys in ``ttl_state``.
 
-    Event rows and state of one micro-batch carry its epoch, so a replay starts from the
-    same state and replaces its own output.
+    A micro-batch is one commit of both tables, so a replay of a committed epoch does nothing and one of another starts from the same
+    state. Only the buckets of the state with keys of the batch are read and written, and one more in turn. Keys whose
+    time to live ended ``late_seconds`` before the newest event are forgotten: an event that comes later than that starts a new one.
+    The state holds the keys of one time to live, however long the stream runs.
     """
-    spark: SparkSession = store.spark
 
-    def run(batch: DataFrame, epoch: int) -> None:
+    def __init__(self, store: Store, keys: Sequence[str], ts: str, order: str, ttl_seconds: int, late_seconds: int | None = None, name: str = "ttl"):
+        self.store, self.keys, self.ts, self.order = store, list(keys), ts, order
+        self.ttl_seconds, self.late_seconds, self.name = ttl_seconds, ttl_seconds if late_seconds is None else late_seconds, name
+
+    def start(self, events: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+        writer = events.writeStream.foreachBatch(self.run).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start() if available_now else writer.start()
+
+    def run(self, batch: DataFrame, epoch: int) -> None:
+        store, note = self.store, self.store.mark(self.name) or {"epochs": 0, "newest": None}
+        if note["epochs"] > epoch:
+            return
         session = batch.sparkSession
-        timed = batch.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
-        path = f"{store.root}/state"
-        state = session.read.parquet(f"{path}/epoch={epoch - 1}") if epoch > 0 else None
-        with staging(session):
-            marked, now = mark_first(timed, keys, order, "_micros", ttl_seconds, state)
-            marked.drop("_micros").write.mode("overwrite").parquet(f"{store.root}/marked/epoch={epoch}")
-            now.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if available_now else writer.start()
+        with staging(session), store.commit() as c:
+            key = F.to_json(F.struct(*self.keys))
+            timed = stage(batch.withColumn("_micros", F.unix_micros(F.col(self.ts).cast("timestamp"))), "ttl-batch")
+            latest = timed.agg(F.max("_micros")).first()[0]
+            newest = max((t for t in (latest, note["newest"]) if t is not None), default=0)
+            near = store.touched("ttl_state", timed.select(key.alias("key")).distinct())
+            near = sorted({*near, str(epoch % GROUPS["ttl_state"][1])})
+            state = c.read("ttl_state", near) if c.exists("ttl_state") else None
+            marked, now = mark_first(timed, self.keys, self.order, "_micros", self.ttl_seconds, state)
+            c.append("marked", marked.drop("_micros"))
+            kept = now.where(F.col("expires") > newest - self.late_seconds * 1_000_000)
+            c.replace("ttl_state", kept.withColumn("key", key), near)
+            c.marks[self.name] = {"epochs": epoch + 1, "newest": newest}
+        store.compact("marked")
+        store.vacuum()

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.constants import DUPLICATE, DUPLICATE_DB, NEGATIVE, PENDIENTE, RECHAZADO, SKIPPED, SUCCESS
-from ledgerloom.streaming.outcomes import finished_epochs
+from ledgerloom.sources.tables import Files
+
+
+def finished_epochs(spark: SparkSession, path: str) -> list[int]:
+    """Micro-batches whose folder is complete."""
+    files = Files(spark, path)
+    epochs = [n for n in files.names() if n.startswith("epoch=")]
+    return sorted(int(n.removeprefix("epoch=")) for n in epochs if "_SUCCESS" in files.names(n))
 
 
 def live_metrics(outcomes: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ from ledgerloom.operators.numbering import number_in_order
 from ledgerloom.plans.audit import job_runs, job_stages, new_expenses
 from ledgerloom.plans.ingest import file_batches, file_totals, to_batches
 from ledgerloom.plans.outcomes import run_records
+from ledgerloom.plans.stored import save_tables
 from ledgerloom.session import new_path, stage, write_table
 from ledgerloom.sources import bridge
+from ledgerloom.sources.tables import Store
 
 AS_OF = date(2001, 1, 1)
 # one currency has no rate, so that some runs fail
@@ -104,3 +106,17 @@ class Workspace:
             ),
             "processes",
         )
+
+    @cached_property
+    def _store(self) -> Store:
+        store = Store(self.spark, new_path(self.spark, "store"))
+        with store.commit() as c:
+            save_tables(
+                c, expenses=self.expenses, job_runs=self.runs, job_run_stages=self.stages,
+                file_process_batches=self.batches, file_processes=self.processes,
+            )
+        return store
+
+    def store(self) -> Store:
+        """The tables as a store that the caller may change: it starts from the same files."""
+        return self._store.clone(new_path(self.spark, "store"))
