@@ -15,8 +15,9 @@ from ledgerloom.operators.paging import newest_first
 from ledgerloom.plans.maintenance import detach
 from ledgerloom.plans.validate import total_amount
 from ledgerloom.session import new_path
+from ledgerloom.sources.tables import Store
 from ledgerloom.streaming.dedup_ttl import mark_first
-from ledgerloom.streaming.outcomes import outcome_stream, read_outcomes
+from ledgerloom.streaming.outcomes import RecordStream
 
 
 def test_every_finite_number_parses(spark):
@@ -78,21 +79,23 @@ def event(process: str, batch: int, *days: int) -> str:
 
 def test_redelivered_batches_are_stored_once(spark):
     root = new_path(spark, "redelivery")
+    store = Store(spark, f"{root}/store")
+    stream = RecordStream(store, STANDARD_POLICY, STATIC_RATES, datetime(2001, 1, 1), enveloped=False)
 
     def wave(*lines: str):
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{root}/events")
-        outcome_stream(
-            spark.readStream.text(f"{root}/events"), f"{root}/out", f"{root}/checkpoint", lambda: STANDARD_POLICY, lambda: STATIC_RATES, datetime(2001, 1, 1), available_now=True
-        ).awaitTermination()
+        stream.start(spark.readStream.text(f"{root}/events"), f"{root}/checkpoint", available_now=True).awaitTermination()
 
     wave(event("P0", 1, 1, 2), event("P0", 1, 1, 2), event("P1", 1, 2, 3))
     wave(event("P0", 1, 1, 2), event("P0", 2, 2, 4))
-    rows = read_outcomes(spark, f"{root}/out").select("job_id", "id", "outcome").collect()
+    rows = store.read("outcomes").select("job_id", "id", "outcome").collect()
     assert len({r["job_id"] for r in rows}) == len(rows) == 6
     assert {r["id"]: r["outcome"] for r in rows if r["id"] not in ("P0-2",)} == {
         "P0-1": "success", "P1-2": "duplicate_fingerprint_db", "P1-3": "success", "P0-4": "success",
     }
     assert sorted(r["outcome"] for r in rows if r["id"] == "P0-2") == ["duplicate_fingerprint", "success"]
+    assert store.read("job_runs").count() == 6 and store.read("expenses").count() == 4
+    assert store.read("job_run_stages").groupBy("job_id").count().count() == 6
 
 
 def test_expiring_marks_of_no_events(spark):
