@@ -511,7 +511,7 @@ letters AS (SELECT c_custkey % 5 AS kind FROM customer)""",
         """SELECT 'expense.created' AS kind, state, count(*) AS records FROM alone_states GROUP BY state
 UNION ALL SELECT 'expense.batch', state, count(*) FROM batch_states GROUP BY state
 UNION ALL SELECT CASE WHEN kind = 4 THEN 'registro inválido' ELSE 'sin pattern' END, 'intento 2', count(*) FROM letters WHERE kind IN (1, 2, 4) GROUP BY 1
-UNION ALL SELECT 'expenses', '', count(DISTINCT id) FROM (SELECT id FROM alone_states WHERE state = 'success' UNION ALL SELECT id FROM batch_states WHERE state = 'success')""",
+UNION ALL SELECT 'prints', '', count(DISTINCT fingerprint) FROM (SELECT fingerprint FROM alone_states WHERE state = 'success' UNION ALL SELECT fingerprint FROM batch_states WHERE state = 'success')""",
     )
     changed = (
         OUTCOMES.replace("WHEN moneda <> 'EUR' THEN floor(abs(monto) * static_rate * 10 + 0.5) / 10", "WHEN moneda <> 'EUR' THEN floor(abs(monto) * (static_rate * wave_factor) * 10 + 0.5) / 10")

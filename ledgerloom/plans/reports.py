@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ledgerloom.constants import APROBADO, DUPLICATE, DUPLICATE_DB, PENDIENTE, R
 from ledgerloom.functions.meta import display_status, effective_status, result_label
 from ledgerloom.functions.numbers import js_number
 from ledgerloom.operators.paging import newest_first
+from ledgerloom.session import stage
+
+Expenses = DataFrame | Callable[[DataFrame], DataFrame]
 
 MAX_AUDIT_ROWS = 500
 DEFAULT_REPORT_ROWS = 2000
@@ -129,11 +134,15 @@ def anomaly_summary(runs: DataFrame, examples: int = 3) -> DataFrame:
 
 
 # ----------------------------------------------------------------- audit/report
-def _attach_expenses(few_runs: DataFrame, expenses: DataFrame, columns: dict[str, str], limit: int) -> DataFrame:
+def _attach_expenses(few_runs: DataFrame, expenses: Expenses, columns: dict[str, str], limit: int) -> DataFrame:
     """Expense columns for at most ``limit`` runs.
 
-    Both broadcast sides hold at most ``limit`` rows: a run stores one expense.
+    Both broadcast sides hold at most ``limit`` rows: a run stores one expense. ``expenses`` may be a function that finds the
+    expenses with the ids of such runs, so that the others need not be read.
     """
+    if callable(expenses):
+        few_runs = stage(few_runs, "few-runs")
+        expenses = expenses(few_runs.select(F.col("expense_id").alias("id")))
     wanted = F.broadcast(few_runs.select("job_id"))
     found = expenses.join(wanted, "job_id", "left_semi").select(
         "job_id", *[F.col(c).alias(a) for c, a in columns.items()]
@@ -141,7 +150,7 @@ def _attach_expenses(few_runs: DataFrame, expenses: DataFrame, columns: dict[str
     return few_runs.join(F.broadcast(found), "job_id", "left")
 
 
-def process_audit(runs: DataFrame, expenses: DataFrame, process_id: str, kind: str) -> DataFrame:
+def process_audit(runs: DataFrame, expenses: Expenses, process_id: str, kind: str) -> DataFrame:
     """C-06/L-02: the newest skipped runs of one kind.  The limit comes before the join."""
     if kind not in ("duplicate", "negative"):
         raise ValueError("kind inválido (duplicate|negative)")
@@ -164,13 +173,13 @@ def process_audit(runs: DataFrame, expenses: DataFrame, process_id: str, kind: s
 
 
 def process_report(
-    runs: DataFrame, expenses: DataFrame, process_id: str, max_rows: int | None = None
+    runs: DataFrame, expenses: Expenses, process_id: str, max_rows: int | None = None
 ) -> DataFrame:
     """C-07/L-03/F-31/F-33: the oldest runs of a process as report rows."""
     limit = clamp(max_rows, DEFAULT_REPORT_ROWS, 1, MAX_REPORT_ROWS)
     oldest = (
         runs.where(F.col("process_id") == process_id)
-        .select("job_id", "status", "meta", "created_at")
+        .select("job_id", "expense_id", "status", "meta", "created_at")
         .orderBy("created_at", "job_id")
         .limit(limit)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.audit import job_runs, job_stages, new_expenses
 from ledgerloom.plans.maintenance import batch_ids
+from ledgerloom.plans.reports import process_audit, process_report
 from ledgerloom.session import stage, staging
 from ledgerloom.sources.tables import Commit, Store
 
@@ -28,6 +29,21 @@ def save_tables(commit: Commit, **tables: DataFrame) -> None:
         commit.replace(name, df)
 
 
+def audit(store: Store, process_id: str, kind: str) -> DataFrame:
+    """C-06 on the stored tables: the runs of one process, and of the expenses those that its page names."""
+    return process_audit(store.read("job_runs", [process_id]), expenses_by_id(store), process_id, kind)
+
+
+def report(store: Store, process_id: str, max_rows: int | None = None) -> DataFrame:
+    """C-07 on the stored tables."""
+    return process_report(store.read("job_runs", [process_id]), expenses_by_id(store), process_id, max_rows)
+
+
+def expenses_by_id(store: Store):
+    """Finds stored expenses by their ids."""
+    return lambda ids: store.lookup("expenses", "id", ids.distinct())
+
+
 def _loosen(commit: Commit, jobs: DataFrame, ids: DataFrame) -> None:
     """Expenses of ``jobs`` stay but lose their run; ``ids`` are the expenses that these runs named."""
     gone = jobs.select("job_id").distinct().withColumn("_gone", F.lit(True))

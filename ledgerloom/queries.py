@@ -559,8 +559,7 @@ def anomaly_summary(spark, sf_dir):
 
 
 def _audit(spark, sf_dir, kind: str) -> DataFrame:
-    space = workspace(spark, sf_dir)
-    return reports.process_audit(space.runs, space.expenses, "P3", kind).select(
+    return stored.audit(workspace(spark, sf_dir).tables, "P3", kind).select(
         "job_id",
         "expense_id",
         "fingerprint",
@@ -585,8 +584,7 @@ def audit_negatives(spark, sf_dir):
 
 @query
 def report_rows(spark, sf_dir):
-    space = workspace(spark, sf_dir)
-    return reports.process_report(space.runs, space.expenses, "P3")
+    return stored.report(workspace(spark, sf_dir).tables, "P3")
 
 
 @query
@@ -961,7 +959,7 @@ def stream_redelivery(spark, sf_dir):
     runs = store.read("job_runs").groupBy(F.col("pattern").alias("kind"), F.col("status").alias("state")).agg(F.count("*").alias("records"))
     letters = store.read("letters_waiting").groupBy(F.col("reason").alias("kind"), F.concat(F.lit("intento "), F.col("attempts")).alias("state")).agg(F.count("*").alias("records"))
     dead = store.read("letters_dead").groupBy("reason", "attempts").agg(F.count("*").alias("records")).select(F.col("reason").alias("kind"), F.lit("muerta").alias("state"), "records")
-    stored_rows = store.read("expenses").agg(F.count("*").alias("records")).select(F.lit("expenses").alias("kind"), F.lit("").alias("state"), "records")
+    stored_rows = store.read("prints").agg(F.count_distinct("fingerprint").alias("records")).select(F.lit("prints").alias("kind"), F.lit("").alias("state"), "records")
     return runs.unionByName(letters).unionByName(dead).unionByName(stored_rows)
 
 

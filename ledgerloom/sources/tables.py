@@ -32,9 +32,11 @@ GROUPS: dict[str, tuple[str, int]] = {
     "ttl_state": ("key", 16),
 }
 ONE = ("", 1)  # a table that is not listed is one group
-# Columns that readers look single values up by: their files carry Bloom filters, so files without the value are not read.
-LOOKED_UP = {"expenses": ("job_id", "id"), "prints": ("fingerprint",), "delivered": ("delivery",), "seen": ("fingerprint",)}
+# Columns that readers look single values up by. Files carry Bloom filters of them, so files without a value are not read; rows lie
+# in the order of the first one, in short pages, so of the other files the pages that could hold a value are.
+LOOKED_UP = {"expenses": ("id", "job_id"), "prints": ("fingerprint",), "delivered": ("delivery",), "seen": ("fingerprint",)}
 FALSE_HITS = "0.000001"
+PAGE_ROWS = "500"
 PROBES = 4096  # values looked up by name, on the driver; beyond that by a join with the groups they fall into
 FAN = 8  # parts of one size that a group collects before they become one of the next size
 
@@ -251,11 +253,13 @@ class Commit:
 
     def _write(self, name: str, df: DataFrame) -> list[str]:
         path = f"{self.folder}/{name}"
-        grouped = df.withColumn("_group", self.store.group_of(name)).hint("rebalance", "_group").write.mode("append").partitionBy("_group")
-        for column in LOOKED_UP.get(name, ()):
-            if column in df.columns:
-                grouped = grouped.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", FALSE_HITS)
-                grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", str(32 << 20))
+        by = [c for c in LOOKED_UP.get(name, ()) if c in df.columns]
+        dealt = df.withColumn("_group", self.store.group_of(name)).hint("rebalance", "_group").sortWithinPartitions("_group", *by[:1])
+        grouped = dealt.write.mode("append").partitionBy("_group")
+        for column in by:
+            grouped = grouped.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", FALSE_HITS)
+        if by:
+            grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", str(32 << 20))
         if self.store.files.names(f"data/{self.name}/{name}"):
             raise ValueError(f"{name} is written twice in one commit")
         grouped.parquet(path)

@@ -108,7 +108,8 @@ class Workspace:
         )
 
     @cached_property
-    def _store(self) -> Store:
+    def tables(self) -> Store:
+        """The tables as a store, to be read only."""
         store = Store(self.spark, new_path(self.spark, "store"))
         with store.commit() as c:
             save_tables(
@@ -119,4 +120,4 @@ class Workspace:
 
     def store(self) -> Store:
         """The tables as a store that the caller may change: it starts from the same files."""
-        return self._store.clone(new_path(self.spark, "store"))
+        return self.tables.clone(new_path(self.spark, "store"))
