@@ -21,7 +21,7 @@ from ledgerloom.llm import line_dedup as lines
 from ledgerloom.llm import mixing, ngram_join
 from ledgerloom.llm import toxicity as toxic
 from ledgerloom.llm.tables import fold, read, without
-from ledgerloom.session import new_path, staging, write_table
+from ledgerloom.session import new_path, remove, staging, write_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         with staging(spark):
             write_table(step(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
+        if before:  # the stage that read it is written
+            remove(spark, before)
+        before = path
     return docs

@@ -42,7 +42,7 @@ from ledgerloom.plans.audit import new_expenses, upsert_expenses
 from ledgerloom.plans.ingest import file_batches, file_totals, ingest_into, progress
 from ledgerloom.plans.outcomes import normalize_amount, price, run_records, with_fingerprint
 from ledgerloom.plans.regression import evaluate_history, mismatches, with_results
-from ledgerloom.plans.validate import status_breakdown, status_by_process, validate_priced, validate_tenants
+from ledgerloom.plans.validate import status_breakdown, status_by_process, validate, validate_priced, validate_tenants
 from ledgerloom.session import new_path, tune
 from ledgerloom.sources import bridge
 from ledgerloom.sources.events import BATCH, RECORD_CREATED, envelope, write_batch_events

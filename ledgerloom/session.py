@@ -77,6 +77,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are deleted at the end: write the result to its place before.
@@ -90,7 +96,5 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _scopes.open.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            remove(spark, path)

@@ -197,9 +197,15 @@ class Store:
             with self.commit() as c:
                 c.merge(name, groups, tier)
 
-    def vacuum(self, keep: int = 2, pinned: Sequence[int] = ()) -> None:
-        """Delete manifests but the last ``keep`` and those ``pinned``, and own files that none of these names."""
+    def noted(self, stream: str) -> dict[int, dict]:
+        """What the latest epochs of a stream noted before they started."""
+        names = self.files.names(f"pins/{stream}")
+        return {int(n.removesuffix(".json")): json.loads(self.files.text(f"pins/{stream}/{n}")) for n in names}
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete manifests but the last ``keep`` and those that epochs of streams have noted, and own files that none of these names."""
         known = self.versions()
+        pinned = [note["version"] for stream in self.files.names("pins") for note in self.noted(stream).values()]
         kept = sorted({*known[-keep:], *(v for v in pinned if v in known)})
         live = {f for at in kept for t in self.manifest(at)["tables"].values() for parts in t["groups"].values() for f, _ in parts}
         newest = known[-1] if known else 0
