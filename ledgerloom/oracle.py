@@ -497,11 +497,9 @@ UNION ALL SELECT 'prints', left(fingerprint, 1), count(*), NULL FROM (SELECT DIS
     q["stream_redelivery"] = _with(
         OUTCOMES
         + """,
-alone AS (SELECT DISTINCT * FROM (
-  SELECT process_id, id, empleado_id, fecha, monto, moneda, categoria, cost_center, given_base, given_rate, fingerprint, amount FROM assessed WHERE process_seq >= 4)),
-alone_ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS rn, max((monto >= 0 AND amount IS NOT NULL)::INT) OVER (PARTITION BY fingerprint) AS storable,
-  min((monto >= 0 AND amount IS NOT NULL)::INT) OVER (PARTITION BY fingerprint) AS always FROM alone),
-alone_states AS (SELECT *, CASE WHEN rn > 1 OR monto < 0 THEN 'skipped' WHEN amount IS NULL THEN 'failed' ELSE 'success' END AS state FROM alone_ranked),
+alone AS (SELECT DISTINCT id, empleado_id, fecha, monto, moneda, categoria, cost_center, fingerprint FROM assessed WHERE process_seq >= 4),
+alone_ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS rn FROM alone),
+alone_states AS (SELECT *, CASE WHEN rn > 1 OR monto < 0 THEN 'skipped' WHEN moneda = 'EUR' THEN 'failed' ELSE 'success' END AS state FROM alone_ranked),
 kept AS (SELECT DISTINCT fingerprint FROM alone_states WHERE state = 'success'),
 batch_firsts AS (SELECT a.*, a.seq = min(a.seq) OVER (PARTITION BY a.process_id, a.fingerprint) AS one, k.fingerprint IS NOT NULL AS known
   FROM assessed a LEFT JOIN kept k ON k.fingerprint = a.fingerprint WHERE process_seq < 4),
