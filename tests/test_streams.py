@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
 from ledgerloom.sources.tables import Commit, Store
+from ledgerloom.streaming import outcomes
 from ledgerloom.streaming.dedup_ttl import TtlStream, mark_first
-from ledgerloom.streaming.outcomes import MOST_ATTEMPTS, RecordStream
+from ledgerloom.streaming.outcomes import RecordStream
 from tests.test_edges import event
 
 AS_OF = datetime(2001, 1, 1)
@@ -71,7 +72,8 @@ def test_an_epoch_that_was_lost_is_run_again_under_what_it_had_noted(spark, tmp_
     assert last["validation_status"] == "RECHAZADO"
 
 
-def test_letters_are_tried_again_and_given_up(spark, tmp_path):
+def test_letters_are_tried_again_and_given_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outcomes, "MOST_ATTEMPTS", 3)
     store = Store(spark, str(tmp_path / "s"))
     stream = RecordStream(store, STANDARD_POLICY, STATIC_RATES, AS_OF)
     good = json.loads(event("", 0, 5))["records"][0]
@@ -85,11 +87,11 @@ def test_letters_are_tried_again_and_given_up(spark, tmp_path):
     waiting = {r["value"]: (r["attempts"], r["reason"]) for r in store.read("letters_waiting").collect()}
     assert {v: a for v, (a, _) in waiting.items()} == {"{broken": 1, '{"data": {}}': 1, '{"pattern": "", "data": {}}': 1, "": 1, lines[8]: 1, lines[9]: 1}
     assert waiting[lines[8]][1] == "registro inválido" and waiting["{broken"][1] == "sin pattern"
-    for epoch in range(1, MOST_ATTEMPTS):
+    for epoch in range(1, 3):
         stream.run(batch(spark, single), epoch)
     assert store.read("job_runs").count() == 1 and store.read("expenses").count() == 1
     assert store.read("letters_waiting").count() == 0
-    assert {(r["value"], r["attempts"]) for r in store.read("letters_dead").collect()} == {(v, MOST_ATTEMPTS) for v in waiting}
+    assert {(r["value"], r["attempts"]) for r in store.read("letters_dead").collect()} == {(v, 3) for v in waiting}
 
 
 def rows_scanned(df) -> int:
