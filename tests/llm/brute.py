@@ -149,6 +149,34 @@ def licence(text: str | None) -> tuple:
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def licence_labels(texts: list[str | None], templates, share: float, slack: int, drift: int) -> list[tuple[set[str], float]]:
+    """Each text's labels and score: every place of every key phrase, every template word around it."""
+    own = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) for t in texts]
+    df = Counter(x for w in own for x in set(w))
+    out = []
+    for w in own:
+        labels, score = set(), 0.0
+        for p, label in PHRASES.items():
+            if any(w[i : i + len(p.split())] == p.split() for i in range(len(w))):
+                labels.add(label)
+                score = 1.0
+        for label, text, key in templates:
+            t, k = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x)) for x in (text, key))
+            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            weight = [math.log((len(own) + 1) / (df[x] + 1)) + 1e-3 for x in t]
+            for b in (i - at for i in range(len(w)) if w[i : i + len(k)] == k):
+                got = 0.0
+                for i, x in enumerate(t):
+                    far = max(at - i, i - at - len(k) + 1, 0)
+                    room = slack + far // drift if far else 0
+                    got += weight[i] * (x in w[max(0, b + i - room) : max(0, b + i + room + 1)])
+                if got / sum(weight) >= share - 1e-12:
+                    labels.add(label)
+                    score = max(score, got / sum(weight))
+        out.append((labels, min(score, 1.0)))
+    return out
+
+
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 

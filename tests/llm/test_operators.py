@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,6 +310,51 @@ def test_licence_scan(spark, odd_docs):
     assert licenses.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_licence_templates_by_brute_force(spark):
+    every = licenses.TEMPLATES + licenses.TEXTS
+    rng = random.Random(5)
+    filler = "river stone harvest the of in and software license terms copy notice".split()
+    texts, want = [None, ""], [None, None]
+
+    def around(words: list[str]) -> str:
+        return " ".join([*rng.choices(filler, k=rng.randrange(30)), *words, *rng.choices(filler, k=rng.randrange(30))])
+
+    def off_key(words: list[str], must: list[str]) -> list[int]:
+        low = [re.sub("[^a-z0-9]", "", x.lower()) for x in words]
+        at = next(i for i in range(len(low)) if low[i : i + len(must)] == must)
+        return [*range(at), *range(at + len(must), len(words))]
+
+    for label, text, key in every:
+        plain = re.findall("[a-z0-9]+", text.lower())
+        free = off_key(plain, key.split())
+        for change in ("none", "put in", "left out", "replaced", "half", "broken key"):
+            w = list(plain)
+            if change == "put in" and free:
+                w.insert(rng.choice([i for i in free if i == 0 or i - 1 in free]), "newly")
+            elif change == "left out" and free:
+                del w[rng.choice(free)]
+            elif change == "replaced" and free:
+                w[rng.choice(free)] = "other"
+            elif change == "half":
+                w = w[: len(w) // 2]
+            elif change == "broken key":
+                w = [x for x in plain if x != key.split()[-1]]
+            texts.append(around(w))
+            want.append(label if change in ("none", "put in", "left out", "replaced") else None)
+    texts += [around(rng.choices(filler, k=40)) for _ in range(400)]
+    texts.append(" ".join(x for _, t, _ in every for x in t.split()) + " river" * 30_000 + " all rights reserved" * 50)  # a very long text
+    texts += texts[-3:]  # repeated rows
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    truth = brute.licence_labels(texts, every, licenses.MIN_SHARE, licenses.SLACK, licenses.DRIFT)
+    assert len(got) == len(texts)
+    for i, (labels, score) in enumerate(truth):
+        assert set(got[i]["labels"].split(",")) - {""} == labels, (i, texts[i])
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9, abs_tol=1e-12), (i, texts[i])
+    for i, label in enumerate(want):
+        assert label is None or label in got[i]["labels"].split(","), (i, texts[i])
+
+
 def test_url_filter(spark):
     urls = [u for (u,) in sample(spark, "pages", "url")]
     urls += [None, "", "://", "no scheme.com/en/", "HTTP://WWW.Example.COM/en/", "http://example.com", "http://example.com/en", "x://a.b.net/es/x?y", "x://net/fr/#",
