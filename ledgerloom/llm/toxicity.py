@@ -36,10 +36,8 @@ SAMPLE_BYTES = 50_000  # longer texts are not fitted to (they are scored like al
 MIN_DOCS = 3  # toxic sample documents that a feature stands in, at least
 MIN_ODDS = 3.0
 MARGIN = 2.0  # beyond a correction for the number of features
-MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 SEGMENT = 64
-CALM_SEGMENTS = 4000
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +88,16 @@ class Crf:
         order = np.argsort(word, kind="stable")
         return word[order], name[order]
 
-    def fit(self, lengths: np.ndarray, row: np.ndarray, word: np.ndarray, name: np.ndarray, label: np.ndarray, steps: int = 200) -> None:
-        """Segments of words: their lengths; (segment, word, feature) triples; the toxic (segment, word) cells as an array."""
+    def fit(self, lengths: np.ndarray, times: np.ndarray, row: np.ndarray, word: np.ndarray, name: np.ndarray, label: np.ndarray, steps: int = 200) -> None:
+        """Segments of words: their lengths, how many are like them; (segment, word, feature) triples; the toxic (segment, word) cells as an array."""
         n, m = len(lengths), SEGMENT
         inside = np.arange(m) < lengths[:, None]
         y = label.astype(float) * inside
-        gold = np.bincount(name, y[row, word], len(self.weight))
+        each = times[:, None]
+        gold = np.bincount(name, (y * each)[row, word], len(self.weight))
         pairs = inside[:, 1:]
         y0, y1 = y[:, :-1], y[:, 1:]
-        want = np.array([y.sum(), ((1 - y0) * y1 * pairs).sum(), (y0 * (1 - y1) * pairs).sum(), (y0 * y1 * pairs).sum()])
+        want = np.array([(x * each).sum() for x in (y, (1 - y0) * y1 * pairs, y0 * (1 - y1) * pairs, y0 * y1 * pairs)])
         theta = np.concatenate([self.weight, [self.bias, self.to, self.back, self.stay]])
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
@@ -126,11 +125,11 @@ class Crf:
                     po, pt = fo[:, k - 1], ft[:, k - 1]
                     ot, tt, to_ = po * A * et[:, k] * bt, pt * C * et[:, k] * bt, pt * B * bo
                     zz = po * bo + ot + tt + to_
-                    both += [(x / zz)[on].sum() for x in (ot, to_, tt)]
+                    both += [(x / zz * times)[on].sum() for x in (ot, to_, tt)]
                     nbo, nbt = bo + A * et[:, k] * bt, B * bo + C * et[:, k] * bt
                     s = nbo + nbt
                     bo, bt = np.where(on, nbo / s, bo), np.where(on, nbt / s, bt)
-            marg *= inside
+            marg *= inside * each
             grad = np.concatenate([gold - np.bincount(name, marg[row, word], len(w)), want - [marg.sum(), *both]]) - 0.05 * theta
             first = 0.9 * first + 0.1 * grad
             second = 0.99 * second + 0.01 * grad**2
@@ -292,16 +291,16 @@ def _choose(toxic: list[np.ndarray], calm: list[np.ndarray]) -> np.ndarray:
     share, rate = np.clip(bad / (bad + good), 1e-9, 1 - 1e-9), n[0] / (n[0] + n[1])
     surprise = (bad + good) * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
     ok = (names != 0) & (odds >= MIN_ODDS) & (surprise >= np.log(max(1, len(names))) + MARGIN)
-    best = np.argsort(-surprise * ok, kind="stable")[: min(MAX_FEATURES, int(ok.sum()))]
+    best = np.argsort(-surprise * ok, kind="stable")[: int(ok.sum())]
     return names[best]
 
 
 class _Segments:
-    """Texts cut into segments: all with a chosen word, and some of the others."""
+    """Texts cut into segments: those with a chosen word, and of the others, which differ in length alone, how many of each length."""
 
     def __init__(self) -> None:
         self.rows: list[tuple[int, np.ndarray, np.ndarray, bool]] = []
-        self.calm: list[int] = []
+        self.calm = np.zeros(SEGMENT + 1, np.int64)
 
     def add(self, n: int, word: np.ndarray, name: np.ndarray, toxic: bool) -> None:
         for lo in range(0, int(n), SEGMENT):
@@ -309,17 +308,19 @@ class _Segments:
             own = slice(*np.searchsorted(word, (lo, lo + SEGMENT)))
             if own.start < own.stop:
                 self.rows.append((length, word[own] - lo, name[own], toxic))
-            elif len(self.calm) < CALM_SEGMENTS:
-                self.calm.append(length)
+            else:
+                self.calm[length] += 1
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        lengths = np.array([r[0] for r in self.rows] + self.calm)
+        calm = np.flatnonzero(self.calm)
+        lengths = np.concatenate([np.array([r[0] for r in self.rows], np.int64), calm])
+        times = np.concatenate([np.ones(len(self.rows)), self.calm[calm]])
         row = np.repeat(np.arange(len(self.rows)), [len(r[1]) for r in self.rows])
         word = np.concatenate([np.zeros(0, int), *[r[1] for r in self.rows]])
         name = np.concatenate([np.zeros(0, int), *[r[2] for r in self.rows]])
         label = np.zeros((len(lengths), SEGMENT), bool)
         label[row, word] = np.array([r[3] for r in self.rows])[row]
-        return lengths, row, word, name, label
+        return lengths, times, row, word, name, label
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
