@@ -3,40 +3,45 @@
 Vectors with one label (not null) and one dimension are compared; all links at or above the
 threshold are found, none below. Equal vectors of a label are one row with a count from the start.
 
-1. Spherical k-means is fitted to at most ``SAMPLE`` vectors, chosen by hash; there is one cell for about ``CELL`` vectors.
+1. Each label (and dimension) of more than ``CELL`` vectors has cells of its own, one for about ``CELL`` vectors and at most ``FAN``.
+   Spherical k-means is fitted to at most about ``SAMPLE`` of its vectors, chosen by hash, in one task per label. Cells that still hold
+   more than twice ``CELL`` are split in the same way, ``LEVELS`` times at most. Centres go to the tasks ``CENTRE_BYTES`` at a time.
 2. A vector's home is the cell of its nearest centre. It is also copied to each other cell whose
    side it could share with a linked vector: unit vectors with cosine t lie ``r = sqrt(2 - 2t)`` apart, so
    one within ``r`` of the plane between home and the other cell is copied. A home vector therefore meets every vector it
    may link with, whatever the data; well separated cells copy little, unstructured data much.
-3. A cell's home vectors are cut into blocks, and so are all its vectors; a task multiplies one block
-   pair in double precision. It adds up the links of each home vector, and keeps a spanning set of links only.
+3. A cell's home vectors are cut into blocks (one, mostly), and so are all its vectors; a task multiplies one block
+   pair in double precision, a few rows at a time. It adds up the links of each home vector, and keeps a spanning set of links only.
 4. Connected components over those; the smallest id of a component is kept.
 
 Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, as do those without label. Null
 ids are left out of links and are their own (null) component. Rows that repeat an id are
-one vector if they are equal; otherwise all are compared, their links add up and they share a component.
+one vector if they are equal; otherwise all are compared, their links add up and they share a component. An empty table gives an
+empty result; columns beyond the three that are named, whatever they are called, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.ngram_join import Forest
 from ledgerloom.llm.share import Shared
 from ledgerloom.llm.tables import stage
 
-SAMPLE = 16_384
-CELL = 8_192
-MAX_CELLS = 1_024
+SAMPLE = 16_384  # vectors of a group that its centres are fitted to
+CELL = 2_048
+FAN = 256  # cells that a group is split into at once
+LEVELS = 6
+CENTRE_BYTES = 64 << 20  # centres sent to the tasks at once
 ROUNDS = 8
-HOMES, OTHERS = 512, 2_048  # vectors in a block of homes, in a block of all
+HOMES, OTHERS = 4_096, 8_192  # vectors in a block of homes, in a block of all
+ROWS = 512  # home vectors multiplied at once
 
 
 def fit_cells(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -58,25 +63,80 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], reach: float) -> Iterator[pa.RecordBatch]:
+def _centres(group: pa.Table) -> pa.Table:
+    """One row with a group's centres, from its sampled vectors."""
+    group = group.sort_by("rep")
+    dim, k = group.column("dim")[0].as_py(), group.column("k")[0].as_py()
+    centres = fit_cells(_unit(group.column("vector").combine_chunks(), dim), min(k, len(group)))
+    return group.select(["label", "dim", "cell"]).slice(0, 1).append_column("centres", pa.array([centres.ravel()], pa.list_(pa.float64())))
+
+
+def _assign(batches: Iterator[pa.RecordBatch], centres: list[np.ndarray], reach: float) -> Iterator[pa.RecordBatch]:
+    """Rows placed in the cells of their group ``g``; a copy is nowhere at home."""
     for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            part = batch.filter(pa.array(dims == dim))
-            c = centres.get(int(dim), np.zeros((1, dim)))
-            x = _unit(part.column("vector"), int(dim))
+        groups = batch.column("g").to_numpy()
+        for g in np.unique(groups):
+            part = batch.filter(pa.array(groups == g))
+            c = centres[g]
+            x = _unit(part.column("vector"), c.shape[1])
             near = x @ c.T
             home = near.argmax(1)
-            apart = np.linalg.norm(c[home][:, None, :] - c[None], axis=2) if len(c) * len(x) * dim < 1 << 22 else np.stack([np.linalg.norm(c[h] - c, axis=1) for h in home])
             gap = near[np.arange(len(x)), home][:, None] - near
-            row, cell = np.nonzero(gap <= reach * apart + 1e-9)
+            # No two unit vectors are more than 2 apart, so most cells are out of reach whatever their centre.
+            row, cell = np.nonzero(gap <= 2 * reach + 1e-9)
+            ok = gap[row, cell] <= reach * np.sqrt(np.maximum(((c**2).sum(1)[home[row]] + (c**2).sum(1)[cell]) - 2 * (c @ c.T)[home[row], cell], 0)) + 1e-7
+            row, cell = row[ok], cell[ok]
             taken = part.take(pa.array(row))
+            at_home = taken.column("home").to_numpy(zero_copy_only=False) & (cell == home[row])
+            below = taken.column("cell").to_numpy() * (FAN + 1) + 1 + cell
             yield pa.RecordBatch.from_arrays(
-                [taken.column("label"), taken.column("dim"), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), taken.column("rep"), taken.column("copies"), taken.column("vector")],
+                [taken.column("label"), taken.column("dim"), pa.array(below), pa.array(at_home), taken.column("rep"), taken.column("copies"), taken.column("vector")],
                 ["label", "dim", "cell", "home", "rep", "copies", "vector"],
             )
 
 
+def _split(rows: DataFrame, groups: DataFrame, reach: float) -> list[DataFrame]:
+    """The rows of ``groups`` (label, dim, cell, homes, k) placed in new cells, as stored tables."""
+    spark = rows.sparkSession
+    kind = rows.schema["label"].dataType.simpleString()
+    key = ["label", "dim", "cell"]
+    size = groups.agg(F.sum(F.col("k") * F.col("dim") * 8)).first()[0] or 0
+    chunks, out = -(-size // CENTRE_BYTES), []
+    for chunk in range(chunks):
+        own = groups.where(F.pmod(F.xxhash64(*key), F.lit(chunks)) == chunk)
+        at = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+        sample = rows.where("home").join(own, key).where(at < F.least(F.lit(1.0), SAMPLE / F.col("homes")) * (1 << 30))
+        fitted = sample.select(*key, "k", "rep", "vector").groupBy(*key).applyInArrow(_centres, f"label {kind}, dim int, cell long, centres array<double>")
+        fitted = stage(fitted, "vector-centres").orderBy(*key).toArrow()
+        # Groups are numbered as they come; a group without a sampled vector keeps its cell.
+        centres = [np.array(c.as_py()).reshape(-1, d) for c, d in zip(fitted.column("centres"), fitted.column("dim").to_pylist(), strict=True)]
+        numbered = spark.createDataFrame(fitted.select(key).append_column("g", pa.array(np.arange(len(fitted)))))
+        numbered = numbered.select(F.col("label").cast(kind).alias("label"), F.col("dim").cast("int").alias("dim"), "cell", "g")
+        shared = Shared(spark, centres)
+        mine = rows.join(own.select(*key), key, "left_semi").join(numbered, key, "left")
+        placed = mine.where("g is not null").select(*key, "home", "rep", "copies", "vector", "g").mapInArrow(
+            lambda it, sent=shared: _assign(it, sent.value, reach), f"label {kind}, dim int, cell long, home boolean, rep long, copies long, vector array<double>"
+        )
+        out.append(stage(placed.unionByName(mine.where("g is null").drop("g")), "vector-cells"))
+        shared.close()
+    return out
+
+
+def _cells(rows: DataFrame, reach: float) -> DataFrame:
+    """All rows with their cells: (label, dim, cell, home, rep, copies, vector)."""
+    key, limit, done = ["label", "dim", "cell"], CELL, []
+    rows = rows.withColumn("cell", F.lit(0).cast("long")).withColumn("home", F.lit(True)).select(*key, "home", "rep", "copies", "vector")
+    for _ in range(LEVELS):
+        groups = rows.groupBy(*key).agg(F.sum(F.col("home").cast("long")).alias("homes")).where(F.col("homes") > limit)
+        groups = stage(groups.withColumn("k", F.least(F.lit(FAN), F.ceil(F.col("homes") / CELL))), "vector-full-cells")
+        parts = _split(rows, groups, reach)
+        if not parts:
+            break
+        done.append(rows.join(groups.select(*key), key, "left_anti"))
+        rows, limit = reduce(DataFrame.unionByName, parts), 2 * CELL
+    return reduce(DataFrame.unionByName, [*done, rows])
+
+
 def _multiply(group: pa.Table, threshold: float) -> pa.Table:
     dim = group.column("dim")[0].as_py()
     group = group.sort_by("rep")
@@ -85,35 +145,30 @@ def _multiply(group: pa.Table, threshold: float) -> pa.Table:
     x = _unit(group.column("vector").combine_chunks(), dim)
     kind = group.column("side").to_numpy()  # 0: a home vector of this block, 1: one of the others
     a, b = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-    cosine = x[a] @ x[b].T
-    linked = cosine >= threshold
-    # Within rounding of the threshold the plain sum of products decides, the same for both directions.
-    for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-12), strict=True):
-        linked[i, j] = float(np.sum(x[a[i]] * x[b[j]])) >= threshold
-    linked &= ids[a][:, None] != ids[b][None, :]
-    n = linked @ copies[b]
-    forest = Forest(len(x))
-    place = {int(v): i for i, v in zip(a, ids[a], strict=True)}
-    for i, v in zip(b, ids[b], strict=True):
-        if int(v) in place:
-            forest.join(int(i), place[int(v)])
-    for i in np.flatnonzero(linked.any(1)):
-        others = b[np.flatnonzero(linked[i])]
-        for j in others:
-            forest.join(int(a[i]), int(j))
-    root = ids[[forest.root(i) for i in range(len(x))]]
-    out_rep, out_to, out_n = [ids[a]], [root[a]], [n]
+    part = np.searchsorted(ids, ids)  # the first row of each one's component; rows of one id are one
+    n = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), ROWS):
+        mine = a[lo : lo + ROWS]
+        cosine = x[mine] @ x[b].T
+        linked = cosine >= threshold
+        # Within rounding of the threshold the plain sum of products decides, the same for both directions.
+        for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-12), strict=True):
+            linked[i, j] = float(np.sum(x[mine[i]] * x[b[j]])) >= threshold
+        linked &= ids[mine][:, None] != ids[b][None, :]
+        n[lo : lo + ROWS] = linked @ copies[b]
+        for i in np.flatnonzero(linked.any(1)):
+            met = part[b[linked[i]]]
+            if (met != part[mine[i]]).any():
+                met = np.unique(np.append(met, part[mine[i]]))
+                part[np.isin(part, met)] = met[0]
+    root = ids[part]
     rest = b[root[b] != ids[b]]
-    out_rep.append(ids[rest])
-    out_to.append(root[rest])
-    out_n.append(np.zeros(len(rest), np.int64))
-    rep, to, links = (np.concatenate(v) for v in (out_rep, out_to, out_n))
-    return pa.table({"rep": pa.array(rep), "to": pa.array(to), "n": pa.array(links.astype(np.int64))})
+    rep, to = np.concatenate([ids[a], ids[rest]]), np.concatenate([root[a], root[rest]])
+    return pa.table({"rep": pa.array(rep), "to": pa.array(to), "n": pa.array(np.concatenate([n, np.zeros(len(rest), np.int64)]))})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
-    spark = vectors.sparkSession
     v = F.col("vector")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -130,22 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     distinct = keyed.where("usable").join(groups.withColumnRenamed("rep", "id"), [*alike, "id"]).dropDuplicates(alike)
     distinct = stage(distinct.select("label", F.size("vector").alias("dim"), F.col("id").alias("rep"), "copies", "vector"), "vector-distinct")
 
-    n = distinct.count()
-    k = int(min(MAX_CELLS, max(1, -(-n // CELL))))
-    centres: dict[int, np.ndarray] = {}
-    if k > 1:
-        at = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-        sample = distinct.where(at < int((1 << 30) * min(1.0, SAMPLE / n))).orderBy("rep").select("dim", "vector").toArrow()
-        for dim in set(sample.column("dim").to_pylist()):
-            own = sample.filter(pc.equal(sample.column("dim"), dim)).column("vector").combine_chunks()
-            centres[dim] = fit_cells(_unit(own, dim), min(k, len(own)))
-    shared = Shared(spark, centres)
-    reach = float(np.sqrt(2 - 2 * threshold))
-    kind = distinct.schema["label"].dataType.simpleString()
-    placed = distinct.select("label", "dim", "rep", "copies", "vector").mapInArrow(
-        lambda it: _assign(it, shared.value, reach), f"label {kind}, dim int, cell int, home boolean, rep long, copies long, vector array<double>"
-    )
-    placed = stage(placed, "vector-cells")
+    placed = _cells(distinct, float(np.sqrt(2 - 2 * threshold)))
     cell = ["label", "dim", "cell"]
     sizes = placed.groupBy(*cell).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("others"))
     sizes = stage(sizes.select(*cell, F.ceil(F.col("homes") / HOMES).alias("homes"), F.ceil(F.col("others") / OTHERS).alias("others")).where("homes > 0"), "vector-sizes")

@@ -121,6 +121,25 @@ def test_embedding_in_many_cells(spark, monkeypatch):
     assert got == brute.embedding(sample(spark, "embeddings", "vec_id", "embedding", "label"))
 
 
+def test_embedding_cells_split_again(spark, monkeypatch):
+    import numpy as np
+
+    for constant, value in (("CELL", 8), ("FAN", 3), ("LEVELS", 3), ("CENTRE_BYTES", 256), ("HOMES", 16), ("OTHERS", 24), ("ROWS", 5), ("SAMPLE", 30)):
+        monkeypatch.setattr(embedding_dedup, constant, value)
+    levels, split = [], embedding_dedup._split
+    monkeypatch.setattr(embedding_dedup, "_split", lambda *a: levels.append(split(*a)) or levels[-1])
+    rng = np.random.default_rng(3)
+    spots = rng.normal(size=(6, 5))
+    rows = [(i, (spots[i % 6] + 0.1 * rng.normal(size=5)).tolist(), i % 2 if i < 150 else 0) for i in range(180)]
+    turn = [k * 0.3 for k in range(12)]  # a chain: neighbours link, others do not
+    rows += [(200 + k, [math.cos(x), math.sin(x), 0.0, 0.0, 0.0], 2) for k, x in enumerate(turn)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == brute.embedding(rows)
+    assert len({v[1] for i, v in got.items() if i >= 200}) == 1
+    assert len(levels) >= 2 and len(levels[0]) > 1 and levels[1]
+
+
 def test_jaccard(spark, odd_docs, monkeypatch):
     rows = sample(spark, "documents", "doc_id", "text")
     got = {r[0]: tuple(r)[1:] for r in QUERIES[name(7)](spark, SF).collect()}
