@@ -209,14 +209,18 @@ def _evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _mixed(stop: np.ndarray, one: np.ndarray, met: np.ndarray, bit: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """A depth's probability of each bit from its own estimate and the one from below (-1: none there)."""
-    own = np.where(bit, one, 1 - one)
+def _mixed(stop: np.ndarray, less: np.ndarray, met: np.ndarray, bit: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A depth's probability of each bit from its own estimate (see ``Upper``) and the one from below (-1: none there)."""
+    rare = np.abs(less)
+    own = np.where(bit == (less > 0), rare, 1 - rare)
     return np.where(met, np.where(below >= 0, stop * own + (1 - stop) * below, own), -1.0)
 
 
 class Upper:
-    """The depths above ``TOP``: per context and node the KT estimate of a one and the weight of stopping."""
+    """The depths above ``TOP``: per context and node the weight of stopping and the KT estimate of the rarer bit, negative if that is zero.
+
+    The rarer one, because beyond 2^24 counts four bytes round the other to 1 and would leave nothing for it.
+    """
 
     def __init__(self, two: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
         self.levels = []
@@ -226,8 +230,8 @@ class Upper:
             key, zeros, ones, children = key[order], zeros[order], ones[order], children[order]
             kt = log_kt(zeros, ones)
             weighted = np.logaddexp(kt, children) - math.log(2)
-            stop, one = np.exp(kt - math.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1)
-            self.levels.append((key, stop.astype(np.float32), one.astype(np.float32)))
+            stop, less = np.exp(kt - math.log(2) - weighted), np.where(ones <= zeros, ones + 0.5, -(zeros + 0.5)) / (zeros + ones + 1)
+            self.levels.append((key, stop.astype(np.float32), less.astype(np.float32)))
             if shift:
                 # One byte of context less: the older of two, then the last one.
                 parent = key & 0xFFFF if len(self.levels) == 1 else key & 0xFF
@@ -239,11 +243,11 @@ class Upper:
         node, bit = decisions(run & U(255))
         context = (run >> U(8)).astype(np.int64)[:, None]
         bit = bit.astype(bool)
-        for (key, stop, one), mask in zip(self.levels, (0xFFFF, 0xFF, 0), strict=True):
+        for (key, stop, less), mask in zip(self.levels, (0xFFFF, 0xFF, 0), strict=True):
             want = (context & mask) << 8 | node
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             met = key[at] == want if len(key) else np.zeros(want.shape, bool)
-            p = _mixed(stop[at], one[at], met, bit, p) if len(key) else p
+            p = _mixed(stop[at], less[at], met, bit, p) if len(key) else p
         return np.log(np.where(p >= 0, p, 0.5)).sum(1) / LOG10
 
 

@@ -299,6 +299,17 @@ def test_ctw_equals_definition(spark, monkeypatch, heads):
     assert ctw.score_documents(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ctw_rare_bit_below_many_counts():
+    """A bit that training never saw beside more than 2^24 others keeps its estimate."""
+    import numpy as np
+
+    many = 1 << 27
+    upper = ctw.Upper(*(np.array([x]) for x in (0, 1, 0.0, float(many), ctw.log_kt(np.array([0.0]), np.array([float(many)]))[0])))
+    byte = np.array([0x00, 0xFF], np.uint64)
+    first, other = 10 ** upper.log10(byte, np.full((2, 8), -1.0)) * 2**7
+    assert math.isclose(first, 0.5 / (many + 1), rel_tol=1e-5) and math.isclose(other, 1, rel_tol=1e-5)
+
+
 def test_ctw_code_length(spark):
     rows = [(0, "abracadabra"), (1, None), (2, ""), (3, "cadaver ábra")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
