@@ -228,3 +228,15 @@ def test_salted_dimension(spark):
         want = sorted(map(str, rows.join(dimension, "k", how).collect()))
         assert sorted(map(str, dimension_join(rows, dimension, ["k"], [F.col("id")], how, limit=1, hot_rows=100).collect())) == want
     assert not is_small(spark.range(3).select(F.repeat(F.lit("x"), 100).alias("t")), size=200)
+
+
+def test_dealt_rows_are_written_where_they_lie(spark, tmp_path):
+    """Rows that lie by process are not moved again: each task adds its file to the groups it holds."""
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(80, numPartitions=4).select(F.concat(F.lit("j"), "id").alias("job_id"), F.lit("p").alias("process_id"))
+    with store.commit() as c:
+        c.replace("job_runs", rows, dealt=True)
+        c.replace("job_run_stages", rows)
+    files = {n: [f for f in store.files.names(f"data/{store.files.names('data')[0]}/{n}/_group=p") if f.endswith(".parquet")] for n in ("job_runs", "job_run_stages")}
+    assert len(files["job_runs"]) == 4 and len(files["job_run_stages"]) == 1 and all(".zstd." in f for f in files["job_runs"])
+    assert store.read("job_runs", ["p"]).count() == store.read("job_run_stages", ["p"]).count() == 80

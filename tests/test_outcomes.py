@@ -188,3 +188,41 @@ def test_dated_rates(spark):
     df = spark.createDataFrame([("eur", "2000-01-01"), ("EUR", None), ("EUR", "1999-01-01"), ("USD", "1999-01-01")], "m string, fecha string")
     got = [r.rate for r in attach_rate(df, pairs, F.col("m"), F.lit("usd"), F.col("fecha")).collect()]
     assert got == [1.1, 1.2, None, 1.0]
+
+
+def test_raw_rows_travel_and_are_parsed_on_both_sides(spark):
+    """Invalid rows, duplicates and stored prints come out as if the parsed rows had travelled."""
+    from ledgerloom.operators.mapping import LINEAGE, map_columns, valid
+
+    columns = ["gasto_id", "employee", "date", "monto", "moneda", "category", "costcenter"]
+    cells = [("1", "10"), ("2", "10,0"), ("3", "-4"), ("4", ""), ("5", "7"), ("6", "5"), ("7", "7")]
+    raw = spark.createDataFrame(
+        [("p", 0, 1, i + 1, x, "E1", "2024-01-05", m, "USD", "food", "c", "left behind") for i, (x, m) in enumerate(cells)],
+        ["process_id", "process_seq", "batch_index", "record_index", *columns, "other"],
+    )
+
+    def parse(rows, keep):
+        return valid(map_columns(rows, columns, keep=[c for c in keep if c not in LINEAGE]))
+
+    def rows(df):
+        return sorted(map(str, df.drop("created_at").collect()))
+
+    plain = run_records(parse(raw, []), STANDARD_POLICY, RATES, AS_OF)
+    known = plain.where("id = '6'").select("fingerprint").unionByName(spark.createDataFrame([("no digits",), (None,)], "fingerprint string"))
+    want = run_records(parse(raw, []), STANDARD_POLICY, RATES, AS_OF, persisted=known)
+    got = run_records(raw, STANDARD_POLICY, RATES, AS_OF, persisted=known, parse=parse)
+    assert rows(got) == rows(want) and got.columns == want.columns
+    outcome = {r["id"]: r["outcome"] for r in got.collect()}
+    assert outcome == {"1": "success", "2": "duplicate_fingerprint", "3": "negative_amount", "5": "success", "6": "duplicate_fingerprint_db", "7": "duplicate_fingerprint"}
+    assert got.where(F.length("fingerprint") == 64).count() == 6
+
+
+def test_packed_outcomes_hold_bytes(spark):
+    from ledgerloom.functions.identity import job_id
+    from ledgerloom.plans.outcomes import packed, unpacked
+
+    rows = spark.createDataFrame([("p", 1, 2, "ab" * 32), ("", 3, 4, None)], "process_id string, batch_index int, record_index int, fingerprint string")
+    whole = rows.withColumn("job_id", job_id(F.col("process_id"), F.col("batch_index"), F.col("record_index")))
+    small = packed(whole)
+    assert dict(small.dtypes)["fingerprint"] == "binary" and "job_id" not in small.columns
+    assert sorted(map(str, unpacked(small).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
