@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from ledgerloom.constants import STANDARD_POLICY
 from ledgerloom.operators.dedup import delivered_once, first_deliveries
 from ledgerloom.operators.mapping import map_columns, valid
@@ -14,6 +15,7 @@ from ledgerloom.operators.policy import literal_policy
 from ledgerloom.operators.rules import evaluate
 from ledgerloom.session import stage
 from ledgerloom.sources.events import BATCH, envelope, write_batch_events
+from tests.conftest import SF
 
 COLUMNS = ["id", "empleado_id", "fecha", "monto", "moneda", "categoria", "cost_center"]
 
@@ -67,3 +69,8 @@ def test_envelopes_are_those_of_the_bare_events(spark, tmp_path):
     full = sorted(r.value for r in spark.read.text(str(tmp_path / "enveloped")).collect())
     assert full == sorted(r.value for r in bare.collect())
     assert [x["id"] for x in json.loads(full[0])["data"]["records"]] == ["a", "b\n"]
+
+
+def test_documents_are_checked_once_for_all_readers(spark):
+    saved = queries()["policy_upsert"](spark, SF)
+    assert "variant" not in plan(saved).lower()
