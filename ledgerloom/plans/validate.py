@@ -14,6 +14,7 @@ from ledgerloom.operators.lookup import dimension_join
 from ledgerloom.operators.policy import column_policy, literal_policy, policy_struct, tenant_documents
 from ledgerloom.operators.rules import STANDARD_RULES, Rule, evaluate
 from ledgerloom.plans.outcomes import normalize_amount, price
+from ledgerloom.session import stage
 
 STATUSES = [APROBADO, PENDIENTE, RECHAZADO]
 
@@ -45,19 +46,20 @@ def validate_tenants(
 ) -> DataFrame:
     """C-01 under a policy per row: each expense under the document of its ``key``, all of them judged or refused.
 
-    Documents are checked once each, before the join. Expenses without a document, or whose document has not the shape
+    Documents are checked and parsed once each, before the join, and stored, since several joins read them. Expenses without a document, or whose document has not the shape
     of one, come under the default; those whose document breaks the contract are refused with its violations. A popular
     key is spread unless the documents are few enough to broadcast.
     """
-    checked = tenant_documents(documents.select(key, F.col(document).alias("_policy_text")), "_policy_text", default)
+    checked = tenant_documents(documents.select(key, F.col(document).alias("_policy")), "_policy", default)
+    checked = stage(checked.withColumn("_policy", policy_struct(F.col("_policy"))), "tenant-documents")
     joined = dimension_join(expenses, checked, [key], [F.col("id"), F.col("fecha")])
     joined = joined.withColumns(
         {
-            "_policy_text": F.coalesce("_policy_text", F.lit(json.dumps(default))),
+            "_policy": F.coalesce("_policy", policy_struct(F.lit(json.dumps(default)))),
             "policy_from": F.coalesce("policy_from", F.lit("default")),
         }
     )
-    judged = validate(joined, "_policy_text", as_of, tz, rules).drop("_policy_text")
+    judged = evaluate(joined, column_policy(F.col("_policy")), as_of, tz, rules).drop("_policy")
     refused = F.col("policy_error").isNotNull()
     none = {c: F.when(~refused, F.col(c)) for c in ("status", "alertas", "sugerencias")}
     return judged.withColumns(none | {"error": F.coalesce("policy_error", "error")}).drop("policy_error")

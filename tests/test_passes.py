@@ -74,3 +74,8 @@ def test_envelopes_are_those_of_the_bare_events(spark, tmp_path):
 def test_documents_are_checked_once_for_all_readers(spark):
     saved = queries()["policy_upsert"](spark, SF)
     assert "variant" not in plan(saved).lower()
+
+
+def test_tenant_policies_are_parsed_before_they_meet_expenses(spark):
+    counted = queries()["tenant_policies"](spark, SF)
+    assert "from_json" not in plan(counted) and "variant" not in plan(counted).lower()
