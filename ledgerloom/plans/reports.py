@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -234,10 +234,13 @@ def page_info(runs: DataFrame, page: int = 1, page_size: int | None = None, **fi
     )
 
 
-def job_detail(runs: DataFrame, stages: DataFrame) -> DataFrame:
-    """C-08/J-07: each run with its stages, oldest first (at most five)."""
+def job_detail(runs: DataFrame, stages: DataFrame, fields: Sequence[str] = ("stage", "status", "data")) -> DataFrame:
+    """C-08/J-07: each run with its stages, oldest first (at most five).
+
+    ``fields`` of a stage are listed after what orders it; a list moves with all that it holds.
+    """
     listed = stages.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "stage_order", "stage", "status", "data"))).alias("stages")
+        F.array_sort(F.collect_list(F.struct("created_at", "stage_order", *fields))).alias("stages")
     )
     return runs.join(listed, "job_id", "left")
 

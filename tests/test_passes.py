@@ -13,6 +13,7 @@ from ledgerloom.operators.dedup import delivered_once, first_deliveries
 from ledgerloom.operators.mapping import map_columns, valid
 from ledgerloom.operators.policy import literal_policy
 from ledgerloom.operators.rules import evaluate
+from ledgerloom.plans.reports import job_detail
 from ledgerloom.session import stage
 from ledgerloom.sources.events import BATCH, envelope, write_batch_events
 from tests.conftest import SF
@@ -79,3 +80,15 @@ def test_documents_are_checked_once_for_all_readers(spark):
 def test_tenant_policies_are_parsed_before_they_meet_expenses(spark):
     counted = queries()["tenant_policies"](spark, SF)
     assert "from_json" not in plan(counted) and "variant" not in plan(counted).lower()
+
+
+def test_stages_move_without_what_nobody_reads(spark):
+    runs = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    stages = spark.createDataFrame(
+        [("a", 0, 2, "normalize", "success", "d2"), ("a", 0, 1, "dedup", "success", "d1")],
+        "job_id string, created_at int, stage_order int, stage string, status string, data string",
+    )
+    found = {r.job_id: r.stages for r in job_detail(runs, stages, ("stage", "status")).collect()}
+    assert [tuple(s) for s in found["a"]] == [(0, 1, "dedup", "success"), (0, 2, "normalize", "success")] and found["b"] is None
+    assert [s.data for s in job_detail(runs, stages).where("job_id = 'a'").first().stages] == ["d1", "d2"]
+    assert "data" not in plan(queries()["job_detail_stages"](spark, SF)).split("collect_list", 1)[1].split("\n")[0]
