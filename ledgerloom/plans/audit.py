@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import DUPLICATE, DUPLICATE_DB, FAILED, NEGATIVE, RUNNING, SKIPPED, STAGES, SUCCESS
 from ledgerloom.operators.upsert import last_per_key, upsert
+from ledgerloom.sources.tables import stage_id
 
 BATCH_PATTERN = "expense.batch"
 RECORD_PATTERN = "expense.created"
@@ -92,7 +93,7 @@ def _stage(name: str, reached: Column, state: Column, **data: Column) -> Column:
 
 
 def job_stages(outcomes: DataFrame) -> DataFrame:
-    """K-03: the stages each run reached.
+    """K-03: the stages each run reached, with its position, which the ids derive from.
 
     A run that fails leaves the stage it failed in as ``running``.
     """
@@ -144,11 +145,13 @@ def job_stages(outcomes: DataFrame) -> DataFrame:
         )
     )
     return outcomes.select(
-        "job_id", "process_id", "created_at", F.col("error").alias("_error"), F.explode(stages).alias("s")
+        "job_id", "process_id", "batch_index", "record_index", "created_at", F.col("error").alias("_error"), F.explode(stages).alias("s")
     ).select(
-        F.concat_ws("-", "job_id", F.col("s.stage_order").cast("string")).alias("id"),
+        stage_id(F.col("job_id"), F.col("s.stage_order")).alias("id"),
         "job_id",
         "process_id",
+        "batch_index",
+        "record_index",
         "s.stage",
         "s.stage_order",
         "s.status",

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.functions.identity import job_id
 from ledgerloom.session import CODEC
 
 # column whose values (or hash buckets) are the groups, and the number of buckets (0: a group per value)
@@ -43,6 +44,59 @@ PROBES = 4096  # values looked up by name, on the driver; beyond that by a join
 FAN = 8  # parts of one size that a group collects before they become one of the next size
 
 
+def _run_id() -> Column:
+    return job_id(F.col("process_id"), F.col("batch_index"), F.col("record_index"))
+
+
+def stage_id(run: Column, order: Column) -> Column:
+    return F.concat_ws("-", run, order.cast("string"))
+
+
+# Ids that follow from other columns of a row: 64 digits that no codec makes shorter than 32 bytes. Files hold null for such an id, and any
+# other id as it is; ``ESCAPE`` alone stands for an id that is null, and before one that begins with it.
+POSITION = ("process_id", "batch_index", "record_index")
+DERIVED: dict[str, dict[str, tuple[Sequence[str], Callable[[], Column]]]] = {
+    "job_runs": {"job_id": (POSITION, _run_id)},
+    "job_run_stages": {
+        "job_id": (POSITION, _run_id),
+        "id": ((*POSITION, "stage_order"), lambda: stage_id(_run_id(), F.col("stage_order"))),
+    },
+    "outcomes": {"job_id": (POSITION, _run_id)},
+}
+ESCAPE = "="
+
+
+def _derived(name: str, df: DataFrame) -> dict[str, Column | None]:
+    """The derivable ids of ``df``, with how; None where the columns they follow from are not there."""
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    ids = {c: how for c, how in DERIVED.get(name, {}).items() if c in texts}
+    return {c: make() if set(needs) <= set(df.columns) else None for c, (needs, make) in ids.items()}
+
+
+def as_filed(name: str, df: DataFrame) -> DataFrame:
+    """Rows as files hold them: derivable ids are left out."""
+
+    def code(column: str, same: Column | None) -> Column:
+        own = F.col(column)
+        kept = F.when(own.isNull(), ESCAPE).when(own.startswith(ESCAPE), F.concat(F.lit(ESCAPE), own)).otherwise(own)
+        return kept if same is None else F.when(~own.eqNullSafe(same), kept)
+
+    codes = {c: code(c, same) for c, same in _derived(name, df).items()}
+    return df.withColumns(codes) if codes else df
+
+
+def as_read(name: str, filed: DataFrame) -> DataFrame:
+    """The inverse of ``as_filed``."""
+
+    def value(column: str, same: Column | None) -> Column:
+        own = F.col(column)
+        kept = F.when(own != ESCAPE, F.when(own.startswith(ESCAPE), own.substr(F.lit(2), F.length(own))).otherwise(own))
+        return kept if same is None else F.when(own.isNull(), same).otherwise(kept)
+
+    values = {c: value(c, same) for c, same in _derived(name, filed).items()}
+    return filed.withColumns(values) if values else filed
+
+
 def _one_of(column: str, texts: Sequence[str]) -> Column:
     """``column IN (...)``, parsed as one text: thousands of literals would be built one by one."""
     quoted = ("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts)
@@ -129,7 +183,7 @@ class Store:
         """A table; with ``values`` only the groups in which rows of these process ids or buckets lie."""
         return self._scan(self.manifest(at), name, values)
 
-    def _scan(self, manifest: dict, name: str, values: Sequence[str] | None = None) -> DataFrame:
+    def _scan(self, manifest: dict, name: str, values: Sequence[str] | None = None, filed: bool = False) -> DataFrame:
         if name not in manifest["tables"]:
             raise FileNotFoundError(f"{self.root}/{name}")
         table = manifest["tables"][name]
@@ -137,7 +191,9 @@ class Store:
         groups = table["groups"] if values is None else {g: table["groups"].get(g, []) for g in {self.files.folder(v) for v in values}}
         paths = [f"{folder}/{name}/{g}" for g, parts in groups.items() for folder, _ in parts]
         reader = self.spark.read.schema(schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return reader.parquet(*paths) if filed else as_read(name, reader.parquet(*paths))
 
     def values(self, name: str) -> list[str]:
         """The folder names of a table's groups, without their prefix."""
@@ -265,8 +321,9 @@ class Commit:
     def exists(self, name: str) -> bool:
         return name in self.base["tables"]
 
-    def _write(self, name: str, df: DataFrame, dealt: bool = False) -> list[str]:
+    def _write(self, name: str, df: DataFrame, dealt: bool = False, filed: bool = False) -> list[str]:
         path = f"{self.folder}/{name}"
+        df = df if filed else as_filed(name, df)
         by = [c for c in LOOKED_UP.get(name, ()) if c in df.columns]
         rows = df.withColumn("_group", self.store.group_of(name))
         rows = (rows if dealt else rows.hint("rebalance", "_group")).sortWithinPartitions("_group", *by[:1])
@@ -315,8 +372,8 @@ class Commit:
         """The parts of one size in these groups (folder names) become one of the next size each."""
         entry = self.tables[name]
         old = {g: [p for p in entry["groups"][g] if p[1] == tier] for g in groups}
-        rows = self.store._scan({"tables": {name: entry | {"groups": old}}}, name)
-        self._write(name, rows)
+        rows = self.store._scan({"tables": {name: entry | {"groups": old}}}, name, filed=True)
+        self._write(name, rows, filed=True)
         for g in groups:
             entry["groups"][g] = [p for p in entry["groups"][g] if p[1] != tier] + [[self.folder, tier + 1]]
 

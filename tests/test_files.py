@@ -1,24 +1,27 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
+from ledgerloom.functions.identity import job_id
 from ledgerloom.operators.lookup import dimension_join, is_small
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.numbering import number_in_order, running_sum
 from ledgerloom.operators.upsert import last_per_key, upsert_policies
 from ledgerloom.plans import stored
+from ledgerloom.plans.audit import job_runs, job_stages
 from ledgerloom.plans.ingest import ingest_files, ingest_into, progress
 from ledgerloom.plans.outcomes import run_records
 from ledgerloom.plans.reports import list_processes
 from ledgerloom.session import stage, staging
 from ledgerloom.sources.events import bad_envelopes, known_patterns, read_batch_events, read_record_events
 from ledgerloom.sources.files import read_expense_csv, unique_names
-from ledgerloom.sources.tables import Changed, Store
+from ledgerloom.sources.tables import FAN, Changed, Store
 
 HEADER = "gasto_id,empleado_id, FECHA ,Monto,moneda,categoria,empleado_cost_center"
 
@@ -240,3 +243,42 @@ def test_dealt_rows_are_written_where_they_lie(spark, tmp_path):
     files = {n: [f for f in store.files.names(f"data/{store.files.names('data')[0]}/{n}/_group=p") if f.endswith(".parquet")] for n in ("job_runs", "job_run_stages")}
     assert len(files["job_runs"]) == 4 and len(files["job_run_stages"]) == 1 and all(".zstd." in f for f in files["job_runs"])
     assert store.read("job_runs", ["p"]).count() == store.read("job_run_stages", ["p"]).count() == 80
+
+
+def test_ids_that_follow_from_positions_are_not_filed(spark, tmp_path):
+    """Files hold no id that the position gives; any other id, null or not, comes back as it was, also after a merge."""
+    position = "process_id string, batch_index int, record_index int"
+    run = job_id(F.col("process_id"), F.col("batch_index"), F.col("record_index"))
+    own = spark.createDataFrame([("p", 1, i) for i in range(20)], position).withColumn("job_id", run)
+    strange = spark.createDataFrame([("p", 2, 1, None), ("p", 2, 2, "="), ("p", 2, 3, "=x"), ("p", 2, 4, "x"), ("p", 2, 5, ""), (None, None, None, None)], f"{position}, job_id string")
+    runs = own.unionByName(strange)
+    stages = runs.withColumn("stage_order", F.lit(2)).withColumn("id", F.concat_ws("-", "job_id", F.lit("2")))
+    bare = strange.select("process_id", "job_id")
+    store = Store(spark, str(tmp_path))
+    for _ in range(FAN):
+        with store.commit() as c:
+            c.append("job_runs", runs)
+            c.append("job_run_stages", stages)
+            c.append("outcomes", bare)
+    for _ in range(2):
+        for name, rows in (("job_runs", runs), ("job_run_stages", stages), ("outcomes", bare)):
+            got = [r for r in store.read(name).select(*rows.columns).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, rows.collect() * FAN))
+        store.compact("job_runs", "job_run_stages", "outcomes")
+    for name, columns in (("job_runs", ["job_id"]), ("job_run_stages", ["job_id", "id"])):
+        filed = spark.read.parquet(f"{tmp_path}/data/*/{name}/*").where("batch_index = 1")
+        assert filed.count() > 0 and all(filed.where(F.col(c).isNotNull()).isEmpty() for c in columns)
+
+
+def test_stages_file_no_ids(spark, tmp_path):
+    """The ids that ``job_stages`` makes are those that the store derives."""
+    rows = spark.createDataFrame([(f"g{i}", "2000-12-01", float(i), "USD", "p", 0, 1, i + 1) for i in range(9)], "id string, fecha string, monto_original double, moneda_original string, process_id string, process_seq int, batch_index int, record_index int")
+    rows = rows.withColumns({c: F.lit("x") for c in ("empleado_id", "categoria", "cost_center", "csv_row")} | {c: F.lit(None).cast("double") for c in ("monto_base", "tipo_cambio")})
+    outcomes = stage(run_records(rows, STANDARD_POLICY, STATIC_RATES, as_of=date(2001, 1, 1)), "outcomes")
+    store = Store(spark, str(tmp_path))
+    with store.commit() as c:
+        stored.store_outcomes(c, outcomes, STANDARD_POLICY)
+    for name, whole in (("job_runs", job_runs(outcomes, STANDARD_POLICY)), ("job_run_stages", job_stages(outcomes))):
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, whole.collect()))
+        filed = spark.read.parquet(f"{tmp_path}/data/*/{name}/*")
+        assert filed.count() > 0 and filed.where(F.col("job_id").isNotNull()).isEmpty()
