@@ -43,11 +43,10 @@ def number_in_order(df: DataFrame, group: str, order: Sequence[str], name: str =
     """Add dense 1-based ``name`` per ``group`` in ``order`` (a total order).
 
     The rows are range-partitioned on group and order together, so a group of any
-    size is spread, and stored once so that both passes see the same pieces. They are also stored before that: finding the ranges
-    takes a pass of its own, which must not compute them again.
+    size is spread, and stored once so that both passes see the same pieces. Finding the ranges takes a pass of its own, which
+    reads again what the last shuffle before it wrote: storing the rows for it would cost as much as they take.
     """
     local = F.monotonically_increasing_id()
-    df = stage(df, "unordered")
     ordered = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     stored = stage(
         ordered.withColumn("_piece", F.spark_partition_id()).withColumn("_local", local), "ordered"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
 from ledgerloom.functions.identity import job_id
+from ledgerloom.operators import numbering
 from ledgerloom.operators.lookup import dimension_join, is_small
 from ledgerloom.operators.mapping import map_columns, map_records, quarantined, valid, valid_records
 from ledgerloom.operators.numbering import number_in_order, running_sum
@@ -282,3 +283,11 @@ def test_stages_file_no_ids(spark, tmp_path):
         assert sorted(map(str, store.read(name).collect())) == sorted(map(str, whole.collect()))
         filed = spark.read.parquet(f"{tmp_path}/data/*/{name}/*")
         assert filed.count() > 0 and filed.where(F.col("job_id").isNotNull()).isEmpty()
+
+
+def test_numbering_stores_its_rows_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(numbering, "stage", lambda df, name: kept.append(name) or stage(df, name))
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
+    got = number_in_order(rows, "g", ["o"]).collect()
+    assert sorted(kept) == ["offsets", "ordered"] and all(r.seq == r.o // 3 + 1 for r in got)
