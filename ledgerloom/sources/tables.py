@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.identity import job_id
-from ledgerloom.session import CODEC
+from ledgerloom.session import CODEC, unsorted_groups
 
 # column whose values (or hash buckets) are the groups, and the number of buckets (0: a group per value)
 GROUPS: dict[str, tuple[str, int]] = {
@@ -326,7 +327,8 @@ class Commit:
         df = df if filed else as_filed(name, df)
         by = [c for c in LOOKED_UP.get(name, ()) if c in df.columns]
         rows = df.withColumn("_group", self.store.group_of(name))
-        rows = (rows if dealt else rows.hint("rebalance", "_group")).sortWithinPartitions("_group", *by[:1])
+        if by or not dealt:
+            rows = (rows if dealt else rows.hint("rebalance", "_group")).sortWithinPartitions("_group", *by[:1])
         grouped = rows.write.mode("append").option("compression", CODEC).partitionBy("_group")
         for column in by:
             grouped = grouped.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", FALSE_HITS)
@@ -334,7 +336,8 @@ class Commit:
             grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", str(32 << 20))
         if self.store.files.names(f"data/{self.name}/{name}"):
             raise ValueError(f"{name} is written twice in one commit")
-        grouped.parquet(path)
+        with nullcontext() if by or not dealt else unsorted_groups(df.sparkSession):
+            grouped.parquet(path)
         return [n for n in self.store.files.names(f"data/{self.name}/{name}") if n.startswith("_group=")]
 
     def _entry(self, name: str, df: DataFrame) -> dict:
@@ -347,7 +350,7 @@ class Commit:
     def replace(self, name: str, df: DataFrame, values: Sequence[str] | None = None, dealt: bool = False) -> None:
         """``df`` becomes the whole table, or the whole of the groups ``values``; other groups keep their files.
 
-        With ``dealt`` the rows are written from where they are: their partitions hold few groups each.
+        With ``dealt`` the rows are written from where they are, and not sorted: their partitions hold few groups each.
         """
         entry = self._entry(name, df)
         new = self._write(name, df, dealt)

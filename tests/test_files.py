@@ -4,9 +4,10 @@ import json
 from datetime import date
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import DataFrameWriter, Window
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
 from ledgerloom.functions.identity import job_id
 from ledgerloom.operators import numbering
@@ -291,3 +292,27 @@ def test_numbering_stores_its_rows_once(spark, monkeypatch):
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
     got = number_in_order(rows, "g", ["o"]).collect()
     assert sorted(kept) == ["offsets", "ordered"] and all(r.seq == r.o // 3 + 1 for r in got)
+
+
+def test_dealt_rows_are_not_sorted(spark, tmp_path, monkeypatch):
+    """A file stays open per group: wide rows are not sorted by group, also where a task has more groups than files it may open."""
+    monkeypatch.setattr(session, "OPEN_FILES", 3)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(key), []
+    write = DataFrameWriter.parquet
+
+    def watched(self, path, *rest):
+        plan = self._df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(("Sort" in plan, self._df.sparkSession.conf.get(key)))
+        write(self, path, *rest)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    rows = spark.range(100, numPartitions=2).select(F.concat(F.lit("j"), "id").alias("job_id"), (F.col("id") % 7).cast("string").alias("process_id"))
+    store = Store(spark, str(tmp_path))
+    with store.commit() as c:
+        c.replace("job_runs", rows, dealt=True)
+        c.replace("job_run_stages", rows)
+    assert seen == [(False, "3"), (True, before)] and spark.conf.get(key) == before
+    want = sorted(map(str, rows.collect()))
+    assert sorted(map(str, store.read("job_runs").collect())) == want
+    assert sorted(r.job_id for r in store.read("job_runs", ["5"]).collect()) == sorted(f"j{i}" for i in range(5, 100, 7))
