@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ledgerloom.operators.policy import literal_policy
 from ledgerloom.operators.rules import evaluate
 from ledgerloom.plans.reports import job_detail
 from ledgerloom.session import stage
-from ledgerloom.sources.events import BATCH, envelope, write_batch_events
+from ledgerloom.sources.events import BATCH, envelope, read_batch_events, write_batch_events
 from tests.conftest import SF
 
 COLUMNS = ["id", "empleado_id", "fecha", "monto", "moneda", "categoria", "cost_center"]
@@ -92,3 +94,21 @@ def test_stages_move_without_what_nobody_reads(spark):
     assert [tuple(s) for s in found["a"]] == [(0, 1, "dedup", "success"), (0, 2, "normalize", "success")] and found["b"] is None
     assert [s.data for s in job_detail(runs, stages).where("job_id = 'a'").first().stages] == ["d1", "d2"]
     assert "data" not in plan(queries()["job_detail_stages"](spark, SF)).split("collect_list", 1)[1].split("\n")[0]
+
+
+def test_a_record_does_not_carry_its_event(spark):
+    lines = spark.createDataFrame([('{"processId":"P","batchIndex":1,"records":[{"id":"a"},{"id":"b"}]}', 7)], "value string, n int")
+    records = read_batch_events(lines, "n")
+    assert [(r.n, r.process_id, r.batch_index, r.record_index, r.record) for r in records.collect()] == [(7, "P", 1, 1, {"id": "a"}), (7, "P", 1, 2, {"id": "b"})]
+    assert "processId AS" not in plan(records).split("Generate", 1)[0]
+
+
+def test_shuffles_are_gone_once_a_table_is_stored(spark):
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = files()
+    table = stage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(4, "k"), "counted")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 10

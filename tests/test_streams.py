@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.constants import STANDARD_POLICY, STATIC_RATES
 from ledgerloom.sources.tables import Commit, Store
 from ledgerloom.streaming import outcomes
@@ -183,3 +184,35 @@ def test_expiring_state_stays_small(spark, tmp_path):
     assert {r["n"]: r["mark"] for r in store.read("marked").collect()} == want
     assert max(sizes[6:]) <= max(sizes[:6]) + 8 < len(expires)
     assert len(store.versions()) <= 3
+
+
+def test_the_text_of_a_batch_is_not_stored_on_the_way(spark, tmp_path, monkeypatch):
+    stored = []
+
+    def kept(df, name):
+        table = session.stage(df, name)
+        stored.append((name, table))
+        return table
+
+    monkeypatch.setattr(outcomes, "stage", kept)
+    monkeypatch.setattr(session, "remove", lambda *_: None)
+    store = Store(spark, str(tmp_path / "s"))
+    alone = json.dumps({"pattern": "expense.created", "data": {"id": "x", "monto": "5"}})
+    RecordStream(store, STANDARD_POLICY, STATIC_RATES, AS_OF).run(batch(spark, enveloped(event("P0", 1, 1, 30)), alone, "{}"), 0)
+    for name, table in stored:
+        texts = [c for c, kind in table.dtypes if kind == "string"]
+        assert not [r for r in table.select(texts).collect() for v in r if v and '"records"' in v], name
+    letters = {(r.value, r.reason, r.attempts) for r in store.read("letters_waiting").collect()}
+    assert letters == {(alone, outcomes.INVALID, 1), ("{}", "sin pattern", 1)}
+
+
+def test_what_was_delivered_before_is_looked_for_once(spark, tmp_path, monkeypatch):
+    names = []
+    monkeypatch.setattr(outcomes, "stage", lambda df, name: names.append(name) or session.stage(df, name))
+    stream = RecordStream(Store(spark, str(tmp_path / "s")), STANDARD_POLICY, STATIC_RATES, AS_OF)
+    stream.run(batch(spark, enveloped(event("P0", 1, 1, 5))), 0)
+    before = content(stream.store)
+    stream.run(batch(spark, enveloped(event("P0", 1, 1, 5))), 1)
+    assert content(stream.store) == before and names.count("undelivered") == 1
+    stream.run(batch(spark, enveloped(event("P0", 2, 5, 9))), 2)  # nothing of it came before
+    assert names.count("undelivered") == 1 and stream.store.read("outcomes").count() == 4
