@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.identity import job_id
-from ledgerloom.session import CODEC, unsorted_groups
+from ledgerloom.session import CODEC, released_shuffles, unsorted_groups
 
 # column whose values (or hash buckets) are the groups, and the number of buckets (0: a group per value)
 GROUPS: dict[str, tuple[str, int]] = {
@@ -336,7 +336,8 @@ class Commit:
             grouped = grouped.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", str(32 << 20))
         if self.store.files.names(f"data/{self.name}/{name}"):
             raise ValueError(f"{name} is written twice in one commit")
-        with nullcontext() if by or not dealt else unsorted_groups(df.sparkSession):
+        spark = df.sparkSession
+        with released_shuffles(spark), nullcontext() if by or not dealt else unsorted_groups(spark):
             grouped.parquet(path)
         return [n for n in self.store.files.names(f"data/{self.name}/{name}") if n.startswith("_group=")]
 

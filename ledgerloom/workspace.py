@@ -20,7 +20,7 @@ from ledgerloom.plans.audit import job_runs, job_stages, new_expenses
 from ledgerloom.plans.ingest import file_batches, file_totals, to_batches
 from ledgerloom.plans.outcomes import packed, run_records, unpacked
 from ledgerloom.plans.stored import save_tables
-from ledgerloom.session import CODEC, new_path, stage, unsorted_groups
+from ledgerloom.session import CODEC, new_path, released_shuffles, stage, staging, unsorted_groups
 from ledgerloom.sources import bridge
 from ledgerloom.sources.tables import Store
 
@@ -90,9 +90,9 @@ class Workspace:
         They are written from where the record plan leaves them, as there are few processes here: a task has a file for each.
         """
         path = new_path(self.spark, "outcomes")
-        rows = packed(self.run())
-        with unsorted_groups(self.spark):
-            rows.write.option("compression", CODEC).partitionBy("process_id").parquet(path)
+        _ = self.numbered  # stays, what else is stored on the way does not
+        with staging(self.spark), unsorted_groups(self.spark), released_shuffles(self.spark):
+            packed(self.run()).write.option("compression", CODEC).partitionBy("process_id").parquet(path)
         return path
 
     @cached_property
